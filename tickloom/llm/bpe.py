@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -13,6 +14,8 @@ import regex
 SPECIAL = "<|endoftext|>"
 #: White space as Unicode's White_Space property has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space other than single blanks and line feeds between words.
+_IRREGULAR = re.compile(r"[^\S \n]|[ \n](?:[ \n]|\Z)|\A[ \n]")
 
 
 @lru_cache(1)
@@ -50,30 +53,30 @@ class TextUnits:
 
     A text whose white space is single blanks and line feeds between words is cut at these: the pattern starts a pre-token
     at each of them, so a unit's pre-tokens do not depend on its neighbours. Any other text goes through the pattern whole.
-    value(pre-token) gives what is folded: an int (summed) or bytes (joined).
+    Values are folded: ints summed or bytes joined. They are made of a pre-token (by_word) or of any run of whole ones.
     """
 
-    def __init__(self, value: Callable, fold: Callable, special, limit: int = 250_000):
-        self.words = Recent(value, limit)
-        self.fold, self.special, self.limit = fold, special, limit
+    def __init__(self, value: Callable, fold: Callable, special, limit: int = 250_000, by_word: bool = True):
+        self.words = Recent(value, limit) if by_word else {}
+        self.value, self.fold, self.special, self.by_word = value, fold, special, by_word
         self.units = Recent(self._unit, limit)
 
+    def _whole(self, text: str):
+        return self.fold(map(self.words.__getitem__, pattern().findall(text))) if self.by_word else self.value(text)
+
     def _unit(self, unit: str):
         # "\r" marks the unit at a text's start, "\n" one after a line feed; others follow a blank
-        if unit[0] == "\r":
-            return self.fold(map(self.words.__getitem__, pattern().findall(unit[1:])))
-        text = unit if unit[0] == "\n" else " " + unit
-        return self.fold(map(self.words.__getitem__, pattern().findall(text)))
+        return self._whole(unit[1:] if unit[0] == "\r" else unit if unit[0] == "\n" else " " + unit)
 
     def renew(self) -> None:
-        self.words, self.units = self.words.renewed(), self.units.renewed()
+        self.words, self.units = self.words.renewed() if self.by_word else {}, self.units.renewed()
 
     def plain(self, text: str):
         if not text:
             return self.fold(())
+        if _IRREGULAR.search(text):
+            return self._whole(text)
         units = text.replace("\n", " \n").split(" ")
-        if "\r" in text or len(units) != len(text.split()):
-            return self.fold(map(self.words.__getitem__, pattern().findall(text)))
         units[0] = "\r" + units[0]
         return self.fold(map(self.units.__getitem__, units))
 
@@ -100,6 +103,21 @@ def byte_chars() -> str:
     return "".join(out)
 
 
+@lru_cache(2)
+def rank_encoding(path: str):
+    """A tiktoken encoding with the file's own ids: in a vocabulary made by merging, ids after the bytes follow the merges."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    vocabulary = file["model"]["vocab"]
+    special = next((t["id"] for t in file["added_tokens"] if t["content"] == SPECIAL), None)
+    byte_of = {c: b for b, c in enumerate(byte_chars())}
+    ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in vocabulary.items() if token != SPECIAL}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
+
+
 @lru_cache(2)
 def merge_ranks(path: str) -> dict[tuple[str, str], int]:
     with open(path, encoding="utf-8") as f:
