@@ -1,0 +1 @@
+"""Order-book and tick analytics on Spark DataFrames."""
