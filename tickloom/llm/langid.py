@@ -74,6 +74,8 @@ def _forward(ids: list[np.ndarray], prob: np.ndarray, width: int) -> list[np.nda
 def word_scores(words: list[str], model: LanguageModel) -> np.ndarray:
     """Log-probability of each word in each language."""
     out = np.zeros((len(words), len(model.languages)))
+    if not model.languages:
+        return out
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)

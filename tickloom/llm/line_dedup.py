@@ -19,12 +19,12 @@ _MASK = (1 << 64) - 1
 
 @dataclass(frozen=True)
 class ChunkRules:
-    """A boundary follows a line if the rolling hash of the last `window` line hashes is a multiple of `spacing`, so chunks have
-    about `spacing` lines. A line of min_words words or more is a chunk of its own. Chunks of at least two lines with words, or
-    of min_words words, are compared."""
+    """A boundary follows a line where the rolling hash of the last `window` line hashes is higher than at its two neighbours, so
+    chunks have two lines at least, about three on average, and a line put in anywhere moves only the boundaries next to it. A
+    line of min_words words or more is a chunk of its own. Chunks of two or more lines with words, or of min_words words, are
+    compared."""
 
     window: int = 2
-    spacing: int = 2
     min_words: int = 50
 
 
@@ -32,28 +32,25 @@ def line_chunks(text: bytes, rules: ChunkRules) -> list[tuple[int, int, bool]]:
     """(first line, line after the last, whether the chunk is compared) of each chunk, in order."""
     lines = text.split(b"\n")
     counts = [len(line.split()) for line in lines]
-    out, begin, full, words = [], 0, 0, 0
     hashes = [xxhash.xxh64_intdigest(line) for line in lines]
-    top = pow(_ODD, rules.window, 1 << 64)
-    rolling = 0
-
-    def close(end: int) -> None:
-        nonlocal begin, full, words
-        if end > begin:
-            out.append((begin, end, full > 1 or words >= rules.min_words))
-        begin, full, words = end, 0, 0
-
-    for i, n in enumerate(counts):
-        rolling = (rolling * _ODD + hashes[i]) & _MASK
+    top, rolling, rolled = pow(_ODD, rules.window, 1 << 64), 0, [-1]
+    for i, h in enumerate(hashes):
+        rolling = (rolling * _ODD + h) & _MASK
         if i >= rules.window:
             rolling = (rolling - hashes[i - rules.window] * top) & _MASK
-        if n >= rules.min_words:
-            close(i)
+        rolled.append(rolling)
+    rolled.append(-1)
+    out, begin, full, words = [], 0, 0, 0
+    for i, n in enumerate(counts):
+        own = n >= rules.min_words
+        if own and begin < i:
+            out.append((begin, i, full > 1 or words >= rules.min_words))
+            begin, full, words = i, 0, 0
         full += n > 0
         words += n
-        if n >= rules.min_words or (rolling >> 32) % rules.spacing == 0:
-            close(i + 1)
-    close(len(lines))
+        if own or rolled[i] < rolled[i + 1] >= rolled[i + 2] or i == len(lines) - 1:
+            out.append((begin, i + 1, full > 1 or words >= rules.min_words))
+            begin, full, words = i + 1, 0, 0
     return out
 
 

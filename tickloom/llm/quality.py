@@ -27,7 +27,7 @@ class QualityRules:
     max_repeat_pct: int = 50
     min_repeat: int = 8
     max_covered: float = 0.4
-    max_longest: int = 200
+    max_longest: int = 100
 
 
 class _Ids(dict):

@@ -54,7 +54,7 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_toxicity(
-    bags: list[dict[str, int]], labels: np.ndarray, prior: float, buckets: int = 1 << 17, dim: int = 6, epochs: int = 120, seed: int = 7, z_least: float = 4.0, cut_score: float = 0.7
+    bags: list[dict[str, int]], labels: np.ndarray, prior: float, buckets: int = 1 << 17, dim: int = 6, epochs: int = 120, seed: int = 7, z_least: float = 3.0, cut_score: float = 0.7
 ) -> ToxicityModel:
     """Vectors and softmax together by Adam on whole batches of word bags.
 
@@ -127,9 +127,13 @@ def fit_toxicity(
     order = np.argsort(-u, kind="stable")
     hit, all_hits = np.cumsum((each * y)[order]), max(float((each * y).sum()), 1e-12)
     f1 = 2 * hit / (np.cumsum(each[order]) + all_hits)
-    best = int(f1.argmax())
-    at = (u[order][best] + u[order][min(best + 1, len(u) - 1)]) / 2
-    c = float(np.log(cut_score / (1 - cut_score)) - a * at)
+    falls = np.flatnonzero(u[order][:-1] > u[order][1:])  # a cut lies between two values
+    if len(falls):
+        best = falls[f1[falls].argmax()]
+        at = (u[order][best] + u[order][best + 1]) / 2
+        c = float(np.log(cut_score / (1 - cut_score)) - a * at)
+    else:
+        c = float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
     return ToxicityModel(weight, a / spread, c)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 VERSION = b"WARC/1.1"
 _MEMBER = b"\x1f\x8b\x08"
-_VERSION_LINE = re.compile(rb"(?:^|(?<=\n))WARC/1\.[01]\r\n")
+_VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
