@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def docs_in(
     binary: the values are UTF-8 bytes, else str. Null stays None.
     """
     for batch in batches:
-        lengths = batch.column(at).cast(pa.binary()).to_pandas().map(lambda x: len(x) if x is not None else 0).to_numpy()
+        lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
         begin, held = 0, 0
         for i, n in enumerate(lengths):
             if held and held + n > budget or i - begin >= 4096:
@@ -65,6 +66,8 @@ def docs_in(
         if begin < len(lengths):
             part = batch.slice(begin)
             yield part, _values(part.column(at), binary)
+        part = batch = None
+        pa.default_memory_pool().release_unused()  # workers are used again; what they hold counts for the executor
 
 
 def _values(column: pa.Array, binary: bool) -> list:
