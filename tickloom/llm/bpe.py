@@ -53,23 +53,23 @@ class TextUnits:
 
     A text whose white space is single blanks and line feeds between words is cut at these: the pattern starts a pre-token
     at each of them, so a unit's pre-tokens do not depend on its neighbours. Any other text goes through the pattern whole.
-    Values are folded: ints summed or bytes joined. They are made of a pre-token (by_word) or of any run of whole ones.
+    Values are folded, as by a sum.
     """
 
-    def __init__(self, value: Callable, fold: Callable, special, limit: int = 250_000, by_word: bool = True):
-        self.words = Recent(value, limit) if by_word else {}
-        self.value, self.fold, self.special, self.by_word = value, fold, special, by_word
+    def __init__(self, value: Callable, fold: Callable, special, limit: int = 250_000):
+        self.words = Recent(value, limit)
+        self.fold, self.special = fold, special
         self.units = Recent(self._unit, limit)
 
     def _whole(self, text: str):
-        return self.fold(map(self.words.__getitem__, pattern().findall(text))) if self.by_word else self.value(text)
+        return self.fold(map(self.words.__getitem__, pattern().findall(text)))
 
     def _unit(self, unit: str):
         # "\r" marks the unit at a text's start, "\n" one after a line feed; others follow a blank
         return self._whole(unit[1:] if unit[0] == "\r" else unit if unit[0] == "\n" else " " + unit)
 
     def renew(self) -> None:
-        self.words, self.units = self.words.renewed() if self.by_word else {}, self.units.renewed()
+        self.words, self.units = self.words.renewed(), self.units.renewed()
 
     def plain(self, text: str):
         if not text:

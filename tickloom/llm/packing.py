@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import TextUnits, rank_encoding
+from .bpe import SPECIAL, rank_encoding
 from .shared import docs_in
 
 
@@ -51,13 +51,17 @@ def pack(
             ids = encoding.encode_ordinary(text)
             return struct.pack(f"<{len(ids)}I", *ids)
 
-        units = TextUnits(wide, b"".join, b"" if special is None else special.to_bytes(4, "little"), 150_000, by_word=False)
+        def ids_of(text: str) -> bytes:
+            if special is None or SPECIAL not in text:
+                return wide(text)
+            return special.to_bytes(4, "little").join(map(wide, text.split(SPECIAL)))  # the library cuts there before all else
+
         end, task = end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         seen = [0] * max_len.bit_length()
         for batch, texts in docs_in(batches, 1, 1 << 20):
             row, start, length, total, bucket, sequence, ids = [], [], [], [], [], [], []
             for i, text in enumerate(texts):
-                data = memoryview((units.of(text) if text else b"") + end)
+                data = memoryview((ids_of(text) if text else b"") + end)
                 n, at = len(data) // 4, 0
                 for size in binary_lengths(n, max_len):
                     k = size.bit_length() - 1
@@ -70,7 +74,6 @@ def pack(
                     ids.append(data[4 * at : 4 * (at + size)])
                     seen[k] += 1
                     at += size
-            units.renew()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(row, pa.int64())),
@@ -83,6 +86,7 @@ def pack(
                 ],
                 names=["id", "start", "length", "doc_tokens", "bucket", "sequence_id", "ids"],
             )
+            batch = texts = text = data = ids = None  # let go before the next batch is read
 
     kind = docs.schema[id_col].dataType.simpleString()
     pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(
