@@ -59,7 +59,8 @@ def dedup_lines(docs: DataFrame, rules: ChunkRules = ChunkRules(), id_col: str =
 
     Earlier: by (id, hash of text, chunk number), null ids first. Only hashes of chunks are grouped over the corpus; the bytes
     of chunks whose hash repeats are then grouped themselves, which is the comparison. A chunk that a third of all documents
-    share is a pre-aggregated group and one side of an equality join whose other side is unique.
+    share is a pre-aggregated group and one side of an equality join whose other side is unique and written before, so adaptive
+    execution splits it.
 
     A document left without lines keeps its row with an empty text; null stays null; rows equal in id and text count as one
     document and get the same result; other columns pass unchanged; an empty table gives an empty result.
@@ -87,7 +88,8 @@ def dedup_lines(docs: DataFrame, rules: ChunkRules = ChunkRules(), id_col: str =
             )
 
     chunks = cut(slim.where(F.col("t").contains("\n") | (F.length("t") >= 2 * rules.min_words - 1)).mapInArrow(hashed, f"id {kind}, th bigint, no int, h bigint"), "chunks")
-    repeated = chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written: a join whose sides are plain shuffles can be split where one hash is hot, one with an aggregate in it cannot
+    repeated = cut(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     candidates = chunks.join(repeated, "h").groupBy("id", "th").agg(F.collect_set("no").alias("nos"))
     candidates = candidates.select(F.col("id").alias("cid"), F.col("th").alias("cth"), "nos")
 
@@ -110,6 +112,7 @@ def dedup_lines(docs: DataFrame, rules: ChunkRules = ChunkRules(), id_col: str =
     texts = cut(near.select("id", "th", "t", "nos").mapInArrow(spans, f"id {kind}, th bigint, no int, data binary"), "spans")
     place = F.struct("id", "th", "no")
     first = texts.groupBy("data").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("data", "first")
+    first = cut(first, "first")
     gone = texts.join(first, "data").where(~place.eqNullSafe(F.col("first")))
     gone = gone.groupBy("id", "th").agg(F.collect_set("no").alias("__gone")).select(F.col("id").alias("__gid"), F.col("th").alias("__gth"), "__gone")
     at, n_columns = docs.columns.index(text_col), len(docs.columns)
