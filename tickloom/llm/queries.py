@@ -14,7 +14,7 @@ from .quality import score_quality
 from .shared import cut, shared_path
 from .simhash import near_duplicates
 from .token_count import count_tokens
-from .toxicity import score_toxicity, train_toxicity
+from .toxicity import labelled_sample, score_toxicity, train_toxicity
 from .warc import read_archives, write_archives
 
 
@@ -41,8 +41,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    learnt = labels.where(~held_out).select("doc_id", "toxic")
-    model = train_toxicity(docs.select("doc_id", "text").join(learnt, "doc_id"))
+    sample, prior = labelled_sample(docs, labels.where(~held_out))
+    model = train_toxicity(sample, prior=prior)
     found = score_toxicity(docs, model)
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Recent
 from .ngrams import bounded_sample, char_matrix, substring_hashes
-from .shared import docs_in
+from .shared import cut, docs_in
 
 LONGEST_WORD = 32  # characters; longer words are taken in consecutive parts
 SIZES = range(3, 7)  # characters of a subword
@@ -137,8 +137,31 @@ def fit_toxicity(
     return ToxicityModel(weight, a / spread, c)
 
 
-def train_toxicity(labelled: DataFrame, per_class: int = 1200, text_col: str = "text", label_col: str = "toxic", **options) -> ToxicityModel:
-    """Fitted on at most per_class texts of each label (lowest CRC-32), whole texts; null texts and labels are left out."""
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, per_class: int = 1200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> tuple[DataFrame, float]:
+    """((id, text, label) of at most per_class documents of each label, those of lowest CRC-32; share of label 1 of all labelled).
+
+    Only ids and checksums meet the labels by a shuffle; texts are then fetched by the sample, a broadcast of at most
+    2 * per_class rows. Null ids, texts and labels are left out; rows equal in id and text come once each time they occur.
+    """
+    key = F.crc32(F.col(text_col).cast("string"))
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
+    slim = cut(docs.select(F.col(id_col).alias("id"), key.alias("key")).where("key is not null").join(marks, "id"), "labelled")
+    counts = {r["y"]: r["n"] for r in slim.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    picked = bounded_sample(slim, "y", per_class, F.col("key")).distinct()
+    picked = picked.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("y").alias("__y"))
+    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), key.alias("__own"))
+    found = texts.join(F.broadcast(picked), (F.col(id_col) == F.col("__id")) & (F.col("__own") == F.col("__key")))
+    found = found.select(id_col, text_col, F.col("__y").alias(label_col))
+    return cut(found, "sample"), counts.get(1, 0) / max(1, sum(counts.values()))
+
+
+def train_toxicity(
+    labelled: DataFrame, per_class: int = 1200, text_col: str = "text", label_col: str = "toxic", prior: float | None = None, **options
+) -> ToxicityModel:
+    """Fitted on at most per_class texts of each label (lowest CRC-32), whole texts; null texts and labels are left out.
+    prior: share of label 1 in the corpus, that of `labelled` if not given."""
     rows = labelled.select(F.col(label_col).cast("int").alias("y"), F.col(text_col).cast("string").alias("text")).where("y in (0, 1) and text is not null")
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bags, labels = [], []
@@ -150,7 +173,8 @@ def train_toxicity(labelled: DataFrame, per_class: int = 1200, text_col: str = "
         if bag:
             bags.append(bag)
             labels.append(row["y"])
-    prior = counts.get(1, 0) / max(1, sum(counts.values()))
+    if prior is None:
+        prior = counts.get(1, 0) / max(1, sum(counts.values()))
     return fit_toxicity(bags, np.array(labels), prior, **options)
 
 
