@@ -72,6 +72,16 @@ def test_packing_query_digest(spark, tmp_path):
     assert rows[1].ids_crc32 == zlib.crc32(b"\0\0\0\0") and rows[1].doc_tokens == 1
 
 
+def test_packing_long_white_space(spark, tokenizer):
+    texts = ["a" + " " * 1_100_000 + "b <|endoftext|>c", "\n" * 1_100_000, "d" + "\t " * 300_000]
+    by = defaultdict(list)
+    for r in packing.pack(docs(spark, texts), BPE).collect():
+        by[r.doc_id].append(r)
+    for i, t in enumerate(texts):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [0]
+        assert b"".join(r.ids for r in sorted(by[i], key=lambda r: r.start)) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_token_counts(spark, tokenizer):
     texts = HARD + fuzz(1500, 6)
     rows = {r.doc_id: r for r in token_count.count_tokens(docs(spark, texts).selectExpr("*", "1 as n_tokens"), BPE).collect()}

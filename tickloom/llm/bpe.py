@@ -14,6 +14,8 @@ import regex
 SPECIAL = "<|endoftext|>"
 #: White space as Unicode's White_Space property has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: tiktoken's regular expressions overflow their stack on white-space runs of about a million characters.
+LONG_SPACE = 500_000
 #: White space other than single blanks and line feeds between words.
 _IRREGULAR = re.compile(r"[^\S \n]|[ \n](?:[ \n]|\Z)|\A[ \n]")
 
@@ -118,6 +120,18 @@ def rank_encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
 
+@lru_cache(1)
+def library_tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def longest_space(text: str) -> int:
+    """Characters of the longest white-space run: one linear scan, of texts over LONG_SPACE characters only."""
+    return max((m.end() - m.start() for m in re.finditer(r"\s+", text)), default=0) if len(text) > LONG_SPACE else 0
+
+
 @lru_cache(2)
 def merge_ranks(path: str) -> dict[tuple[str, str], int]:
     with open(path, encoding="utf-8") as f:
