@@ -133,6 +133,45 @@ def test_line_dedup(spark):
     assert [r.text for r in line_dedup.dedup_lines(twin).collect()] == ["a\nb\nc\nd"] * 2
 
 
+def passages_brute(texts, min_words=50):
+    """Cleaned texts and lines removed, by growing every match of two lines; no chunks or pairs."""
+    places = [(d, i, line) for d, t in enumerate(texts) for i, line in enumerate((t or "").split("\n"))]
+    lines = [(t or "").split("\n") for t in texts]
+    gone = set()
+    by = defaultdict(list)
+    for d, i, line in places:
+        if not line.split():
+            continue
+        for e, j in by[line]:
+            k, worded, last = 0, 0, 0
+            while i + k < len(lines[d]) and j + k < len(lines[e]) and lines[d][i + k] == lines[e][j + k]:
+                worded += bool(lines[d][i + k].split())
+                last = k if lines[d][i + k].split() else last
+                k += 1
+            if worded > 1 or sum(len(x.split()) for x in lines[d][i : i + k]) >= min_words:
+                gone |= {(d, i + x) for x in range(last + 1)}
+        by[line].append((d, i))
+    left = [None if t is None else "\n".join(x for i, x in enumerate(lines[d]) if (d, i) not in gone) for d, t in enumerate(texts)]
+    return [(t, sum((d, i) in gone for i in range(len(lines[d])))) for d, t in enumerate(left)]
+
+
+def test_op2_passages_between_foreign_lines(spark, tmp_path):
+    rng = random.Random(11)
+    planted = ["\n".join(prose(rng, w, 5000) for _ in range(n)) for n, w in ((2, 30), (3, 20), (4, 15), (5, 15), (6, 12), (12, 10), (1, 60))]
+    planted.append("\n\n".join(prose(rng, 20, 5000) for _ in range(3)))
+    texts = [None, "", "\n", "one\nline\none\nline", "single short", "single short"]
+    for _ in range(5):
+        for p in planted:
+            texts.append("\n".join([prose(rng, 9), p, prose(rng, 9), "", prose(rng, 7)]))
+    few = ["a b", "c d", "e", "", " ", "f\t"]
+    texts += ["\n".join(rng.choice(few) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == passages_brute(texts)
+    whole = "\n".join(t for t, _ in got.values() if t).split("\n")
+    assert all(whole.count(line) == 1 for p in planted for line in p.split("\n") if line)
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:

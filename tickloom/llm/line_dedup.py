@@ -1,8 +1,8 @@
-"""Line dedup by content-defined chunks of lines: shift-resistant boundaries, byte comparison, first occurrence stays."""
+"""Line dedup by content-defined chunks of lines or by all pairs of adjacent lines: byte comparison, first occurrence stays."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -54,8 +54,34 @@ def line_chunks(text: bytes, rules: ChunkRules) -> list[tuple[int, int, bool]]:
     return out
 
 
-def dedup_lines(docs: DataFrame, rules: ChunkRules = ChunkRules(), id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
+def line_pairs(text: bytes, rules: ChunkRules) -> list[tuple[int, int, bool]]:
+    """Spans as of line_chunks, all compared: each two neighbouring lines with words (and what is blank between them), and each line
+    of min_words words or more. The repeated ones cover just the repeated runs of two or more lines with words, or of one long line,
+    whatever lines surround them, since every such run is a union of its spans."""
+    out, before = [], None
+    for i, line in enumerate(text.split(b"\n")):
+        if n := len(line.split()):
+            if before is not None:
+                out.append((before, i + 1, True))
+            if n >= rules.min_words:
+                out.append((i, i + 1, True))
+            before = i
+    return out
+
+
+def dedup_passages(docs: DataFrame, rules: ChunkRules = ChunkRules(), **columns) -> DataFrame:
+    """dedup_lines without the chunks' boundaries: a line goes if it lies in a run of two or more lines with words, or is a line of
+    min_words words, that occurs at an earlier place byte for byte. The first place of every line stays; so do blank lines at a
+    run's ends."""
+    return dedup_lines(docs, rules, spans_of=line_pairs, **columns)
+
+
+def dedup_lines(
+    docs: DataFrame, rules: ChunkRules = ChunkRules(), id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None,
+    spans_of: Callable[[bytes, ChunkRules], list[tuple[int, int, bool]]] = line_chunks,
+) -> DataFrame:
     """docs with every chunk of lines removed that an earlier one equals byte for byte; removed_col: also the lines removed.
+    spans_of: what is compared instead of chunks; spans may overlap.
 
     Earlier: by (id, hash of text, chunk number), null ids first. Only hashes of chunks are grouped over the corpus; the bytes
     of chunks whose hash repeats are then grouped themselves, which is the comparison. A chunk that a third of all documents
@@ -76,7 +102,7 @@ def dedup_lines(docs: DataFrame, rules: ChunkRules = ChunkRules(), id_col: str =
                 if not text:
                     continue
                 lines = text.split(b"\n")
-                for k, (a, b, compared) in enumerate(line_chunks(text, rules)):
+                for k, (a, b, compared) in enumerate(spans_of(text, rules)):
                     if compared:
                         row.append(i)
                         no.append(k)
@@ -97,7 +123,7 @@ def dedup_lines(docs: DataFrame, rules: ChunkRules = ChunkRules(), id_col: str =
         for batch, texts in docs_in(batches, 2, 2 << 20, binary=True):
             row, no, data = [], [], []
             for i, (text, nos) in enumerate(zip(texts, batch.column(3).to_pylist(), strict=True)):
-                lines, found = text.split(b"\n"), line_chunks(text, rules)
+                lines, found = text.split(b"\n"), spans_of(text, rules)
                 for k in nos:
                     row.append(i)
                     no.append(k)
@@ -125,13 +151,10 @@ def dedup_lines(docs: DataFrame, rules: ChunkRules = ChunkRules(), id_col: str =
             for text, nos in zip(texts, batch.column(n_columns).to_pylist(), strict=True):
                 lost = 0
                 if nos:
-                    lines, nos, left = text.split(b"\n"), set(nos), []
-                    for k, (a, b, _) in enumerate(line_chunks(text, rules)):
-                        if k in nos:
-                            lost += b - a
-                        else:
-                            left += lines[a:b]
-                    text = b"\n".join(left)
+                    lines, found = text.split(b"\n"), spans_of(text, rules)
+                    drop = {i for k in nos for i in range(*found[k][:2])}
+                    lost = len(drop)
+                    text = b"\n".join(line for i, line in enumerate(lines) if i not in drop)
                 new.append(text)
                 removed.append(lost)
             columns = [pa.array(new, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(n_columns)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .embedding_dedup import near_vectors
 from .langid import detect_language, train_languages
-from .line_dedup import dedup_lines
+from .line_dedup import dedup_passages
 from .mixing import mix
 from .packing import pack
 from .quality import score_quality
@@ -35,7 +35,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, removed_col="n_removed_lines")
+    return dedup_passages(docs, removed_col="n_removed_lines")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
