@@ -226,6 +226,15 @@ def test_simhash(spark):
     assert sorted((r.doc_id is None, r.text) for r in odd.collect()) == [(False, "one two"), (True, "other words here")]
 
 
+def test_keep_one_of_near_copies_without_ids(spark):
+    rng = random.Random(12)
+    base = prose(rng, 400, 5000)
+    texts = [base, *(base + f" end{i}" for i in range(20)), prose(rng, 400, 5000)]
+    fp, parts = simhash_brute(texts)
+    assert len(set(fp)) > len(set(parts.values()))  # near, not only equal, fingerprints
+    assert simhash.keep_one(docs(spark, texts, ids=[None] * len(texts))).count() == len(set(parts.values()))
+
+
 def test_bucket_links_keep_components():
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 1 << 63, 4, dtype=np.uint64)

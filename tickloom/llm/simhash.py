@@ -193,6 +193,11 @@ def near_duplicates(
     linked like any other; rows with a null id take part, and count for component_id only if all of the group are null;
     repeated rows give repeated rows; other columns are not read; an empty table gives an empty result.
     """
+    return _with_components(docs, max_bits, id_col, text_col, shingle, seed).drop("component")
+
+
+def _with_components(docs: DataFrame, max_bits: int, id_col: str, text_col: str, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """near_duplicates and component: the least fingerprint of the group, known also where all its ids are null."""
     rows = cut(fingerprint(docs, id_col, text_col, shingle, seed), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     parts = connected_components(fingerprint_links(nodes.select("fp"), max_bits))
@@ -200,15 +205,14 @@ def near_duplicates(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = labelled.join(ids, "component").select("fp", "component_id")
-    return rows.join(ids, "fp").select(F.col("id").alias(id_col), "row_hash", "fp", "component_id")
+    ids = labelled.join(ids, "component").select("fp", "component_id", "component")
+    return rows.join(ids, "fp").select(F.col("id").alias(id_col), "row_hash", "fp", "component_id", "component")
 
 
 def keep_one(docs: DataFrame, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each group of near-duplicates, the one with the smallest (id, hash of text); docs' columns only."""
-    found = near_duplicates(docs, max_bits, id_col, text_col)
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("#"), F.col("fp").cast("string")))
-    chosen = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"), "row_hash")).alias("row"))
+    found = _with_components(docs, max_bits, id_col, text_col)
+    chosen = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"), "row_hash")).alias("row"))
     chosen = chosen.select(F.col("row.id").alias("__id"), F.col("row.row_hash").alias("__hash")).distinct()
     rows = docs.withColumn("__row_hash", F.xxhash64(F.col(text_col).cast("string")))
     kept = rows.join(chosen, rows[id_col].eqNullSafe(chosen["__id"]) & (rows["__row_hash"] == chosen["__hash"]), "left_semi")
