@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -61,10 +62,10 @@ def pack(
         end, task = end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         seen = [0] * max_len.bit_length()
         for batch, texts in docs_in(batches, 1, 1 << 20):
-            row, start, length, total, bucket, sequence, ids = [], [], [], [], [], [], []
+            row, start, length, total, bucket, sequence, parts = [], [], [], [], [], [], []
             for i, text in enumerate(texts):
-                data = memoryview((ids_of(text) if text else b"") + end)
-                n, at = len(data) // 4, 0
+                parts.append((ids_of(text) if text else b"") + end)
+                n, at = len(parts[-1]) // 4, 0
                 for size in binary_lengths(n, max_len):
                     k = size.bit_length() - 1
                     row.append(i)
@@ -73,9 +74,12 @@ def pack(
                     total.append(n)
                     bucket.append(k)
                     sequence.append(k << 58 | task << 33 | seen[k])
-                    ids.append(data[4 * at : 4 * (at + size)])
                     seen[k] += 1
                     at += size
+            # pieces follow each other without a gap, so their ids are one buffer with the pieces' ends as offsets
+            ends = np.zeros(len(length) + 1, np.int32)
+            np.cumsum(np.array(length, np.int32) * 4, out=ends[1:])
+            ids = pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(parts))])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(row, pa.int64())),
@@ -84,11 +88,11 @@ def pack(
                     pa.array(total, pa.int64()),
                     pa.array(bucket, pa.int32()),
                     pa.array(sequence, pa.int64()),
-                    pa.array(ids, pa.binary()),
+                    ids,
                 ],
                 names=["id", "start", "length", "doc_tokens", "bucket", "sequence_id", "ids"],
             )
-            batch = texts = text = data = ids = None  # let go before the next batch is read
+            batch = texts = text = parts = ids = None  # let go before the next batch is read
 
     kind = docs.schema[id_col].dataType.simpleString()
     pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(
