@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,12 +17,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset (tests), a temporary one is set once."""
+    """The shared folder of spark.checkpoint.dir. Where it is unset and the master is local (tests), a temporary one is set once;
+    on a cluster that raises, since a local folder of the driver is not seen by executors."""
     sc = spark.sparkContext
     if root := sc.getConf().get("spark.checkpoint.dir"):
         return root.rstrip("/")
     if root := sc.getCheckpointDir():
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -44,7 +48,35 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: the lineage ends there and survives lost executors."""
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cuts(*cuts: DataFrame) -> None:
+    """Remove what cut() wrote, once nothing that is still to be computed reads it."""
+    for df in cuts:
+        drop_path(df.sparkSession, df._cut_path)
+
+
+def quoted(name: str) -> str:
+    """A column's name for F.col, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many leading underscores as it takes to differ from all columns of df in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow for columns of any name: run sees c0, c1, ... in df's order."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
 
 
 def docs_in(
@@ -78,8 +110,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for each node of edges (src, dst: long); component is the smallest node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014): each is a grouped minimum (combined on the map side)
-    and an equality join with it, so a centre of any degree is split like any skewed join. Self-loops and null ends carry
-    no link and are ignored; no edges give an empty result. Each round ends in the shared folder.
+    and an equality join with it. The minima are written before the join, so both its sides are plain shuffles and adaptive
+    execution can split a centre of any degree. Self-loops and null ends carry no link and are ignored; no edges give an empty
+    result. Each round ends in the shared folder, and what it has read is removed.
     """
     spark = edges.sparkSession
     state = cut(
@@ -92,13 +125,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             break
         before = mark
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        path = shared_path(spark, "stars")
-        small.union(low.select("u", F.col("m").alias("v"))).distinct().write.parquet(path)
-        state = spark.read.schema(state.schema).parquet(path)
+        fresh = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        drop_cuts(state, least, large, low)
+        state = fresh
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return (
