@@ -11,7 +11,7 @@ from .line_dedup import dedup_passages
 from .mixing import mix
 from .packing import pack
 from .quality import score_quality
-from .shared import cut, shared_path
+from .shared import cut, drop_path, shared_path
 from .simhash import near_duplicates
 from .token_count import count_tokens
 from .toxicity import labelled_sample, score_toxicity, train_toxicity
@@ -70,14 +70,9 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), root).agg(F.sum("records")).first()
-    records = cut(read_archives(spark, root, with_payload=False).where("kind = 'record'").drop("payload"), "records")
-    sizes = records.where("record_type = 'response'").select(F.col("page_id").alias("rid"), F.col("payload_bytes").alias("size"))
-    revisits = records.where("record_type = 'revisit'")
-    found = revisits.join(sizes.join(revisits.select(F.col("refers_to").alias("rid")).distinct(), "rid", "left_semi"), F.col("refers_to") == F.col("rid"))
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return records.where("record_type = 'response'").select(*columns).unionByName(
-        found.select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-    )
+    records = cut(read_archives(spark, root, with_payload=False).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    drop_path(spark, root)
+    return records
 
 
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 VERSION = b"WARC/1.1"
 _MEMBER = b"\x1f\x8b\x08"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
@@ -79,11 +80,38 @@ def parse_member(data: bytes, at: int) -> tuple[int, list[tuple[dict[str, str],
     return end, found
 
 
+def _plain_of(data: bytes, at: int) -> bytes:
+    """What the member at `at` inflates to up to its first fault, in small steps so that little before the fault is lost."""
+    inflate, parts = zlib.decompressobj(31), []
+    try:
+        for begin in range(at, len(data), 256):
+            parts.append(inflate.decompress(data[begin : begin + 256]))
+            if inflate.eof:
+                break
+    except zlib.error:
+        pass
+    return b"".join(parts)
+
+
+def _records_in(plain: bytes) -> list[tuple[dict[str, str], bytes]]:
+    """The records of a failed member's bytes that pass their own checks, found by their version lines."""
+    found, here = [], 0
+    while line := _VERSION_LINE.search(plain, here):
+        try:
+            here, headers, block = parse_record(plain, line.start())
+            found.append((headers, block))
+        except ValueError:
+            here = line.start() + 1
+    return found
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     """("record", begin, end, (headers, block)) or ("gap", begin, end, failed check), in order and without holes.
 
     At each place a gzip member or a plain record is read and checked. If that fails, the next member or version line whose
-    record passes all checks is searched for; the bytes up to it are one gap.
+    record passes all checks is searched for; the bytes up to it are one gap. A member that fails (a fault in its stream, its
+    end missing, one bad record among many) is a gap as a whole, but those of its records that pass their own checks are
+    given too, before the gap and with an empty span.
     """
     at, size = 0, len(data)
 
@@ -97,7 +125,10 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
         try:
             end, found = read(at)
         except ValueError as e:
-            why, here = str(e), at + 1
+            why, here, end = str(e), at + 1, size
+            if data.startswith(_MEMBER, at):
+                for one in _records_in(_plain_of(data, at)):
+                    yield "record", at, at, one
             while True:
                 member, line = data.find(_MEMBER, here), _VERSION_LINE.search(data, here)
                 spots = [x for x in (member, line.start() if line else -1) if x >= 0]
@@ -109,6 +140,9 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
                     end, found = read(here)
                     break
                 except ValueError:
+                    if data.startswith(_MEMBER, here) and _records_in(_plain_of(data, here)):
+                        end, found = here, []  # a failed member with records of its own: a gap by itself
+                        break
                     here += 1
             yield "gap", at, here, why
             at = here
@@ -207,8 +241,8 @@ def read_archives(spark: SparkSession, root: str, with_payload: bool = True) ->
     """(file, kind, begin, end, record_type, record_id, target_uri, page_id, refers_to, payload_bytes, payload_digest, reason, payload).
 
     kind is `record` or `gap`: a gap's bytes failed the check that `reason` names and are quarantined by their place only.
-    payload_bytes and payload_digest of a response are taken from its payload as read, those of a revisit from its headers (the
-    digest) and left null (the size). Files are read by Spark, so any store will do; one file is held at a time.
+    payload_bytes and payload_digest of a response are taken from its payload as read, those of a revisit, which holds no payload,
+    from its own headers: the digest from the record's, the size from the content length of the HTTP response revisited. Files are read by Spark, so any store will do; one file is held at a time.
     """
     schema = pa.schema(
         [("file", pa.string()), ("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("record_type", pa.string())]
@@ -228,6 +262,8 @@ def read_archives(spark: SparkSession, root: str, with_payload: bool = True) ->
             size, digest = len(payload), sha1_base32(payload)
         else:
             digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
+            length = _LENGTH.search(block.partition(b"\r\n\r\n")[0] + b"\r\n")
+            size = int(length[1]) if length else None
         own = (headers.get("warc-type"), headers.get("warc-record-id"), headers.get("warc-target-uri"), number(headers.get("x-page-id", "")))
         return (file, kind, begin, end, *own, number(refers), size, digest, None, payload if with_payload else None)
 
