@@ -10,10 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import connected_components, cut, docs_in
+from .shared import connected_components, cut, docs_in, drop_cuts, free_names, quoted
 
-#: Buckets of at most so many fingerprints are compared pair by pair, larger ones by pivots.
+#: Buckets of at most so many fingerprints are compared pair by pair, larger ones by pivots: both give the same components.
 SMALL_BUCKET = 48
+#: Larger buckets are dealt in blocks of this many, each pair of blocks to a task of its own.
+BLOCK = 2048
 
 
 def fingerprints_of(texts: list[bytes | None], shingle: int = 4, seed: int = 42) -> np.ndarray:
@@ -62,8 +64,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["id", "row_hash", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row_hash"), text.alias("t")).mapInArrow(
+    text = F.col(quoted(text_col)).cast("string")
+    return docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("row_hash"), text.alias("t")).mapInArrow(
         run, f"id {kind}, row_hash bigint, fp bigint"
     )
 
@@ -105,7 +107,8 @@ def star_links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 
 def bucket_links(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links among rows of equal key (adjacent). A pair of a small bucket is given in its first bucket only."""
+    """Verified links among rows of equal key (adjacent): variant, its bit above 32 bits, its tile above 38. A pair of a small
+    bucket is given in its first bucket only. Larger buckets give fewer links that join the same fingerprints (star_links)."""
     segs = segments(max_bits)
     owner = np.array([s for s, (_, width) in enumerate(segs) for _ in range(width)])
     masks = np.array([((1 << width) - 1) << low for low, width in segs], np.uint64)
@@ -125,7 +128,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.n
         hit = at[np.bitwise_count(x) <= max_bits]
         if len(hit):
             x = fps[hit] ^ fps[hit + k]
-            bit = keys[hit] >> 32
+            bit = keys[hit] >> 32 & 63
             seg = owner[bit]
             inside = x & masks[seg]
             here = (inside == np.uint64(1) << bit.astype(np.uint64)) | ((inside == 0) & (bit == lows[seg]))
@@ -143,12 +146,14 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.n
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
+def fingerprint_links(fps: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
     """Links (src, dst) that join all fingerprints (column fp, distinct) within max_bits, directly or by way of others.
 
     Of the segments, one differs by at most one bit, so the two share the variant in which that bit is a wildcard: each
     fingerprint is indexed under 64 variants, equal variants meet by a shuffle on the variant, and every link is verified on
-    all 64 bits. Rows are 16 bytes; a bucket of many close fingerprints is reduced to a tree where it lies (star_links).
+    all 64 bits. Rows are 16 bytes; a bucket of many close fingerprints is reduced to a tree where it lies (star_links). A bucket
+    of over `block` fingerprints is dealt in blocks, and each pair of its blocks is a bucket of its own, so no task holds more
+    than two blocks of a bucket and none of its pairs is left out.
     """
     variants = [
         (F.shiftrightunsigned("fp", low).bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << (bit - low)))) + F.lit(bit << 32))
@@ -180,8 +185,14 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
         if held:
             yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    indexed = fps.select(F.explode(F.array(*variants)).alias("key"), "fp").repartition(F.col("key")).sortWithinPartitions("key")
-    return indexed.mapInArrow(run, "src bigint, dst bigint")
+    indexed = fps.select(F.explode(F.array(*variants)).alias("key"), "fp")
+    large = cut(indexed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select(F.col("key").alias("k"), F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large")
+    if not large.isEmpty():
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.greatest(own, other) * F.col("blocks") + F.least(own, other))
+        joined = indexed.join(large, F.col("key") == F.col("k"), "left").withColumn("tile", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(tiles)))
+        indexed = joined.select((F.col("key") + F.shiftleft(F.col("tile").cast("bigint"), 38)).alias("key"), "fp")
+    return indexed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "src bigint, dst bigint")
 
 
 def near_duplicates(
@@ -199,22 +210,24 @@ def near_duplicates(
 def _with_components(docs: DataFrame, max_bits: int, id_col: str, text_col: str, shingle: int = 4, seed: int = 42) -> DataFrame:
     """near_duplicates and component: the least fingerprint of the group, known also where all its ids are null."""
     rows = cut(fingerprint(docs, id_col, text_col, shingle, seed), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     parts = connected_components(fingerprint_links(nodes.select("fp"), max_bits))
-    labelled = nodes.join(parts, nodes.fp == parts.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = labelled.join(ids, "component").select("fp", "component_id", "component")
-    return rows.join(ids, "fp").select(F.col("id").alias(id_col), "row_hash", "fp", "component_id", "component")
+    labelled = cut(nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "labelled")
+    # each side of these joins is written before, so a large component or a fingerprint of many copies can be split
+    ids = cut(labelled.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
+    named = cut(labelled.join(ids, "component").select("fp", "component_id", "component"), "named")
+    drop_cuts(nodes, labelled, ids)
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), "row_hash", "fp", "component_id", "component")
 
 
 def keep_one(docs: DataFrame, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each group of near-duplicates, the one with the smallest (id, hash of text); docs' columns only."""
-    found = _with_components(docs, max_bits, id_col, text_col)
-    chosen = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"), "row_hash")).alias("row"))
-    chosen = chosen.select(F.col("row.id").alias("__id"), F.col("row.row_hash").alias("__hash")).distinct()
-    rows = docs.withColumn("__row_hash", F.xxhash64(F.col(text_col).cast("string")))
-    kept = rows.join(chosen, rows[id_col].eqNullSafe(chosen["__id"]) & (rows["__row_hash"] == chosen["__hash"]), "left_semi")
-    once = Window.partitionBy(id_col, "__row_hash").orderBy(F.lit(1))
-    return kept.withColumn("__copy", F.row_number().over(once)).where("__copy = 1").select(*docs.columns)
+    """One row of docs for each group of near-duplicates, the one with the smallest (id, hash of text); docs' columns only, of any
+    names. Of rows equal in id and text, which one stays is open."""
+    found = _with_components(docs, max_bits, id_col, text_col).select(F.col(quoted(id_col)).alias("id"), "row_hash", "component")
+    chosen = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id"), "row_hash")).alias("row"))
+    own, copy, key, hashed = free_names(docs, "row_hash", "copy", "chosen_id", "chosen_hash")
+    chosen = chosen.select(F.col("row.id").alias(key), F.col("row.row_hash").alias(hashed)).distinct()
+    rows = docs.withColumn(own, F.xxhash64(F.col(quoted(text_col)).cast("string")))
+    kept = rows.join(chosen, F.col(quoted(id_col)).eqNullSafe(F.col(key)) & (F.col(own) == F.col(hashed)), "left_semi")
+    once = Window.partitionBy(F.col(quoted(id_col)), own).orderBy(F.lit(1))
+    return kept.withColumn(copy, F.row_number().over(once)).where(F.col(copy) == 1).select(*(F.col(quoted(c)) for c in docs.columns))
