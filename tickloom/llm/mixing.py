@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut
+from .shared import WORD, cut, quoted
 
 #: Seeded order is cut into so many bins a source, so that no task sorts a whole source.
 BINS = 4096
@@ -56,28 +56,33 @@ def mix(
     source_col: str = "source",
     keep: bool = False,
 ) -> DataFrame:
-    """(id, source, size, source_size, target, taken) for each row of docs; keep: also `row`, a struct of all its columns.
+    """(id, source, size, source_size, target, taken) for each row of docs; keep: also `row`, a struct of all its columns as c0, c1, ...
 
     size: words of the text (null: 0). Every document is taken floor(target / source_size) times; of what is then missing,
     documents are taken once more in seeded order (MD5 of seed and id) until the words are reached, the last one in part. So a
     source's taken words are its target rounded down, and reruns agree. The order is summed in bins of its hash, whose
     offsets come from a pre-aggregated table, so the largest source is spread over as many tasks as any.
 
-    A null source is a source of its own (last); a null id is ordered as an empty one; rows that are equal in id and size are
-    interchangeable; a source without words has target 0; an empty table gives an empty result.
+    A null source is a source of its own (last); a null id is ordered as an empty one; rows equal in id and size are
+    ordered by a hash of their text, and interchangeable if that is equal too; a source without words has target 0; an empty table gives an empty result.
     """
-    text = F.col(text_col).cast("string")
-    digest = F.md5(F.concat(F.lit(f"{seed}#"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    text, bits = F.col(quoted(text_col)).cast("string"), BINS.bit_length() - 1
+    digest = F.md5(F.concat(F.lit(f"{seed}#"), F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit(""))))
     spot = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
     columns = [
-        F.col(id_col).alias("id"),
-        F.col(source_col).cast("string").alias("source"),
+        F.col(quoted(id_col)).alias("id"),
+        F.col(quoted(source_col)).cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         spot.alias("spot"),
+        F.xxhash64(text).alias("hash"),
+        F.shiftright(spot, 60 - bits).alias("bin"),
     ]
-    sized = docs.select(*columns, *([F.struct(*(F.col(c) for c in docs.columns)).alias("row")] if keep else []))
-    sized = sized.withColumn("bin", F.shiftright("spot", 60 - (BINS.bit_length() - 1)))
-    bins = cut(docs.select(*columns).withColumn("bin", F.shiftright("spot", 60 - (BINS.bit_length() - 1))).groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
+    sized = docs.select(*columns)
+    if keep:
+        rows = docs.select(*columns, F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"))
+    else:
+        rows = sized = cut(sized, "sized")  # words are counted once
+    bins = cut(sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
     targets = source_targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, max_epochs)
     whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("bigint")
     offsets = (
@@ -94,8 +99,8 @@ def mix(
             (F.floor("target").cast("bigint") - whole * F.col("source_size")).alias("rest"),
         )
     )
-    order = Window.partitionBy("source", "bin").orderBy("spot", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(
+    order = Window.partitionBy("source", "bin").orderBy("spot", "id", "size", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(
         offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b"))
     )
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("ahead") - F.col("before")))
@@ -116,7 +121,8 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     A document taken in part is cut after its words taken; the words of a cut text are joined by single blanks.
     """
     placed = mix(docs, text_col=text_col, keep=True, **options)
-    text, size, taken = F.col(f"row.{text_col}"), F.col("size"), F.col("taken")
+    at = docs.columns.index(text_col)
+    text, size, taken = F.col(f"row.c{at}").cast("string"), F.col("size"), F.col("taken")
     copies = F.when(size > 0, F.floor(taken / size)).otherwise(0).cast("int")
     rest = F.when(size > 0, taken - copies * size).otherwise(0)
     blank = r"[\x20\x09-\x0D]+"
@@ -124,5 +130,5 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     cut_text = F.when(rest > 0, F.array_join(F.slice(words, F.lit(1), rest.cast("int")), " "))
     texts = F.concat(F.array_repeat(text, copies), F.when(rest > 0, F.array(cut_text)).otherwise(F.array().cast("array<string>")))
     return placed.select("row", F.explode(texts).alias("__text")).select(
-        *(F.col("__text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns)
+        *(F.col("__text" if i == at else f"row.c{i}").alias(c) for i, c in enumerate(docs.columns))
     )
