@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngrams import bounded_sample, char_matrix, substring_hashes
+from .ngrams import char_matrix, distinct_sample, substring_hashes
 from .shared import docs_in
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"\P{L}+")  # what str.isalpha denies
 START = "▁"  # marks a word's start in the vocabulary
 FLOOR = 1e-9  # probability of a character that no piece holds
-LONGEST_WORD = 24  # characters; longer words are scored in consecutive parts
+WIDE = 32  # longer words are summed one by one with rescaling, since their probabilities leave the range of doubles
+ROWS = 1 << 16  # characters of a long word hashed at a time
 
 
 @dataclass(frozen=True)
@@ -31,23 +32,18 @@ class LanguageModel:
     longest: int
 
 
-def vocabulary_pieces(path: str, longest: int = 8) -> list[str]:
-    """The letter pieces, in lower case, of a sentencepiece model, at most `longest` characters (the start mark counts)."""
+def vocabulary_pieces(path: str) -> list[str]:
+    """The letter pieces, in lower case, of a sentencepiece model: all of them."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())}
-    return sorted(p for p in pieces if p and len(p) <= longest and p.lstrip(START).isalpha() and START not in p[1:])
+    return sorted(p for p in pieces if p and p.lstrip(START).isalpha() and START not in p[1:])
 
 
 def words_of(token: str) -> list[str]:
-    """The marked words of one blank-separated token in lower case: letters only, long ones in parts."""
-    out = []
-    for word in _OTHER.sub(" ", token).split():
-        parts = [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
-        out.append(START + parts[0])
-        out += parts[1:]
-    return out
+    """The marked words of one blank-separated token in lower case: letters only, whole."""
+    return [START + word for word in _OTHER.sub(" ", token).split()]
 
 
 def _piece_ids(chars: np.ndarray, model_keys: np.ndarray, longest: int) -> list[np.ndarray]:
@@ -71,21 +67,46 @@ def _forward(ids: list[np.ndarray], prob: np.ndarray, width: int) -> list[np.nda
     return alpha
 
 
+def _long_score(word: str, model: LanguageModel) -> np.ndarray:
+    """_forward's last row in logarithms for a word of any length: the sums of the last few places are kept, and rescaled by the
+    best language's at each place. Time and memory: linear, and bounded by the longest piece."""
+    keep, scale = model.longest, np.zeros(len(model.languages))
+    last = np.zeros((keep, len(model.languages)))  # of the places before, the latest first
+    last[0] = 1.0
+    for begin in range(0, len(word), ROWS):
+        here = max(0, begin - keep + 1)  # pieces that end in this part may start before it
+        part = char_matrix([word[here : begin + ROWS]])
+        ids = _piece_ids(part, model.keys, keep)
+        for j in range(begin, min(begin + ROWS, len(word))):
+            most = min(keep, j + 1, len(ids))
+            prob = model.prob[[ids[m][0, j - m - here] for m in range(most)]]
+            prob[0] = np.maximum(prob[0], FLOOR)
+            total = (last[:most] * prob).sum(axis=0)
+            last[1:] = last[:-1]
+            last[0] = total
+            scale += np.log(total)
+            last /= total
+    return scale
+
+
 def word_scores(words: list[str], model: LanguageModel) -> np.ndarray:
     """Log-probability of each word in each language."""
     out = np.zeros((len(words), len(model.languages)))
     if not model.languages:
         return out
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    for size in np.unique(sizes):
+    for size in np.unique(sizes[sizes <= WIDE]):
         at = np.flatnonzero(sizes == size)
         ids = _piece_ids(char_matrix([words[i] for i in at]), model.keys, model.longest)
         out[at] = np.log(_forward(ids, model.prob, int(size))[-1])
+    for i in np.flatnonzero(sizes > WIDE):
+        out[i] = _long_score(words[i], model)
     return out
 
 
 def fit_languages(counts: dict[str, Counter], pieces: list[str], rounds: int = 3) -> LanguageModel:
-    """Piece probabilities by expectation-maximisation over word counts per language (rounds of forward and backward sums)."""
+    """Piece probabilities by expectation-maximisation over word counts per language (rounds of forward and backward sums). Words of
+    over WIDE characters, whose sums leave the range of doubles, are scored but not learnt from."""
     languages, longest = sorted(counts), max(map(len, pieces))
     keys = np.empty(len(pieces), np.uint64)
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -97,7 +118,8 @@ def fit_languages(counts: dict[str, Counter], pieces: list[str], rounds: int = 3
     for g, language in enumerate(languages):
         groups: dict[int, list[str]] = {}
         for word in counts[language]:
-            groups.setdefault(len(word), []).append(word)
+            if len(word) <= WIDE:
+                groups.setdefault(len(word), []).append(word)
         ready = [
             (size, _piece_ids(char_matrix(words), keys, longest), np.array([counts[language][w] for w in words], float))
             for size, words in groups.items()
@@ -130,19 +152,17 @@ def fit_languages(counts: dict[str, Counter], pieces: list[str], rounds: int = 3
     return LanguageModel(languages, keys, prob, longest)
 
 
-def train_languages(
-    docs: DataFrame, vocabulary: str, per_language: int = 300, words_per_language: int = 20_000, text_col: str = "text", lang_col: str = "lang"
-) -> LanguageModel:
-    """Fitted on at most per_language documents a language (lowest CRC-32 of their text), whole texts, and of their words the
-    words_per_language most frequent; rows with a null text or language are left out."""
+def train_languages(docs: DataFrame, vocabulary: str, per_language: int = 300, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Fitted on at most per_language different texts a language (lowest CRC-32), whole, with all their words; rows with a null text
+    or language are left out."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     counts: dict[str, Counter] = {}
-    for row in bounded_sample(rows, "lang", per_language, F.crc32("text")).toLocalIterator():
+    for row in distinct_sample(rows, "lang", per_language).toLocalIterator():
         mine = counts.setdefault(row["lang"], Counter())
         for token, n in Counter(row["text"].lower().split()).items():
             for word in words_of(token):
                 mine[word] += n
-    counts = {k: Counter(dict(c.most_common(words_per_language))) for k, c in counts.items() if c}
+    counts = {k: c for k, c in counts.items() if c}
     if not counts:
         return LanguageModel([], np.zeros(0, np.uint64), np.zeros((1, 0)), 1)
     return fit_languages(counts, vocabulary_pieces(vocabulary))
@@ -151,12 +171,17 @@ def train_languages(
 class _Tokens:
     """Scores and letters of tokens seen lately, by token, in bounded memory."""
 
-    def __init__(self, model: LanguageModel, limit: int = 200_000):
+    def __init__(self, model: LanguageModel, limit: int = 60 << 20):
         self.model, self.limit = model, limit
         self.clear()
 
+    def full(self) -> bool:
+        """Whether keys (each its characters and 200 bytes) and scores take more than limit bytes."""
+        return self.held + self.scores.nbytes > self.limit
+
     def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.held = 0
         self.scores = np.zeros((1024, len(self.model.languages)))
         self.letters = np.zeros(1024)
 
@@ -178,15 +203,17 @@ class _Tokens:
                     self.scores[begin:end, g] = np.bincount(owner, found[:, g], len(fresh))
                 self.letters[begin:end] = np.bincount(owner, [len(w) for w in words], len(fresh))
             self.at.update(zip(fresh, range(begin, end), strict=True))
+            self.held += sum(map(len, fresh)) + 200 * len(fresh)
         return np.fromiter(map(self.at.__getitem__, tokens), np.int64, len(tokens))
 
 
-def detect_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detect_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", evidence: int = 40) -> DataFrame:
     """(id, lang_pred, score) for each row of docs, from its whole text.
 
     A word's probability in a language is the sum over all its segmentations into pieces; a text's is the product over its
-    words. score: the posterior at equal priors, of the mean evidence a character times at most 40 characters, so it tells
-    mixed texts from pure ones. `und` with score 0 if the text is null or has no letter, or the model no language; ties go to
+    words; letters are those of str.isalpha. The prediction is the language of the highest product over the whole text. score: the
+    posterior at equal priors of the mean evidence a character times at most `evidence` characters, a calibration that keeps
+    the score of a long mixed text from 1. `und` with score 0 if the text is null or has no letter, or the model no language; ties go to
     the first language in order. A null id stays null; repeated rows give repeated rows; other columns are not read; an empty
     table gives an empty result. One narrow pass, no shuffle; the model (a few MB, bounded by the vocabulary) goes with the tasks.
     """
@@ -204,13 +231,13 @@ def detect_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
             pred, score = np.full(n, "und", object), np.zeros(n)
             if names:
                 total = np.stack([np.bincount(doc, tokens.scores[at, g], n) for g in range(len(names))], axis=1)
-                z = total / np.maximum(letters, 1)[:, None] * np.minimum(letters, 40)[:, None]
+                z = total / np.maximum(letters, 1)[:, None] * np.minimum(letters, evidence)[:, None]
                 z = np.exp(z - z.max(axis=1, keepdims=True))
                 best = z.argmax(axis=1)
                 known = letters > 0
                 pred[known] = np.array(names, object)[best[known]]
                 score[known] = (z[np.arange(n), best] / z.sum(axis=1))[known]
-            if len(tokens.at) > tokens.limit:
+            if tokens.full():
                 tokens.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 

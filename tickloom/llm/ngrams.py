@@ -35,3 +35,16 @@ def bounded_sample(rows: DataFrame, by: str, per_class: int, order: Column) -> D
     thin = thin.where(F.col("__o") * F.col("__n") < F.lit((1.3 * per_class + 50) * 2**32))
     rank = F.row_number().over(Window.partitionBy(by).orderBy("__o"))
     return thin.withColumn("__rank", rank).where(F.col("__rank") <= per_class).select(*rows.columns)
+
+
+def distinct_sample(rows: DataFrame, by: str, per_class: int) -> DataFrame:
+    """(by, text): at most per_class different texts of each value of `by`, those of lowest CRC-32 (then XXH64).
+
+    Copies are collapsed first, as hashes and combined on the map side, so a text copied very often is one row; only the chosen
+    hashes, at most per_class a class and so few, then meet the texts.
+    """
+    marked = rows.select(by, "text", F.crc32("text").alias("crc"), F.xxhash64("text").alias("hash"))
+    hashes = marked.groupBy(by, "crc", "hash").agg(F.count("*").alias("copies"))
+    picked = bounded_sample(hashes, by, per_class, F.col("crc")).select(F.col(by).alias("picked_by"), F.col("crc").alias("picked_crc"), F.col("hash").alias("picked_hash"))
+    found = marked.join(F.broadcast(picked), (F.col(by) == F.col("picked_by")) & (F.col("hash") == F.col("picked_hash")) & (F.col("crc") == F.col("picked_crc")))
+    return found.groupBy(by, "crc", "hash").agg(F.first("text").alias("text")).select(by, "text")

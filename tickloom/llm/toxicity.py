@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Recent
-from .ngrams import bounded_sample, char_matrix, substring_hashes
+from .ngrams import bounded_sample, char_matrix, distinct_sample, substring_hashes
 from .shared import cut, docs_in
 
 LONGEST_WORD = 32  # characters; longer words are taken in consecutive parts
@@ -143,13 +143,14 @@ def labelled_sample(
     """((id, text, label) of at most per_class documents of each label, those of lowest CRC-32; share of label 1 of all labelled).
 
     Only ids and checksums meet the labels by a shuffle; texts are then fetched by the sample, a broadcast of at most
-    2 * per_class rows. Null ids, texts and labels are left out; rows equal in id and text come once each time they occur.
+    2 * per_class rows. Null ids, texts and labels are left out; of rows with texts equal by CRC-32, one id stands for all.
     """
     key = F.crc32(F.col(text_col).cast("string"))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     slim = cut(docs.select(F.col(id_col).alias("id"), key.alias("key")).where("key is not null").join(marks, "id"), "labelled")
     counts = {r["y"]: r["n"] for r in slim.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked = bounded_sample(slim, "y", per_class, F.col("key")).distinct()
+    once = slim.groupBy("y", "key").agg(F.min("id").alias("id"))  # copies fill no class
+    picked = bounded_sample(once, "y", per_class, F.col("key"))
     picked = picked.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("y").alias("__y"))
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), key.alias("__own"))
     found = texts.join(F.broadcast(picked), (F.col(id_col) == F.col("__id")) & (F.col("__own") == F.col("__key")))
@@ -160,12 +161,12 @@ def labelled_sample(
 def train_toxicity(
     labelled: DataFrame, per_class: int = 1200, text_col: str = "text", label_col: str = "toxic", prior: float | None = None, **options
 ) -> ToxicityModel:
-    """Fitted on at most per_class texts of each label (lowest CRC-32), whole texts; null texts and labels are left out.
+    """Fitted on at most per_class different texts of each label (lowest CRC-32), whole texts; null texts and labels are left out.
     prior: share of label 1 in the corpus, that of `labelled` if not given."""
     rows = labelled.select(F.col(label_col).cast("int").alias("y"), F.col(text_col).cast("string").alias("text")).where("y in (0, 1) and text is not null")
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bags, labels = [], []
-    for row in bounded_sample(rows, "y", per_class, F.crc32("text")).toLocalIterator():
+    for row in distinct_sample(rows, "y", per_class).toLocalIterator():
         bag: Counter = Counter()
         for token, n in Counter(row["text"].lower().split()).items():
             for word in _parts(token):
@@ -189,7 +190,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        known = Recent(lambda token: None, 250_000)
+        known = Recent(lambda token: None, 60 << 20)
 
         def learn(tokens: set[str]) -> None:
             fresh = []
@@ -199,7 +200,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7
                     if value is None:
                         fresh.append(token)
                     else:
-                        known[token] = value
+                        known.add(token, value)
             owner, words = [], []
             for k, token in enumerate(fresh):
                 for word in _parts(token):
@@ -210,7 +211,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7
                 at, bucket = subwords(words, len(own.weight))
                 means = np.bincount(at, own.weight[bucket], len(words)) / np.maximum(np.bincount(at, minlength=len(words)), 1)
                 sums = np.bincount(owner, means, len(fresh))
-            known.update(zip(fresh, zip(sums.tolist(), sizes.tolist(), strict=True), strict=True))
+            for token, value in zip(fresh, zip(sums.tolist(), sizes.tolist(), strict=True), strict=True):
+                known.add(token, value)
 
         for batch, texts in docs_in(batches, 1, 1 << 20):
             split = [t.lower().split() if t else [] for t in texts]
