@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -30,21 +31,28 @@ def pattern() -> regex.Pattern:
 
 
 class Recent(dict):
-    """Values by key, made on demand. renewed() starts a new generation when this one is full, keeping the last at hand."""
+    """Values by string, made on demand. renewed() starts a new generation when this one is full, keeping the last at hand.
+    limit: bytes, of which a key takes its characters and KEY_BYTES."""
+
+    KEY_BYTES = 200
 
     def __init__(self, make: Callable, limit: int, old: dict | None = None):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, old or {}
+        self.make, self.limit, self.old, self.held = make, limit, old or {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        self.add(key, value)
         return value
 
+    def add(self, key: str, value) -> None:
+        self[key] = value
+        self.held += self.KEY_BYTES + len(key)
+
     def renewed(self) -> Recent:
-        if len(self) <= self.limit:
+        if self.held <= self.limit:
             return self
         self.old = {}
         return Recent(self.make, self.limit, self)
@@ -58,7 +66,7 @@ class TextUnits:
     Values are folded, as by a sum.
     """
 
-    def __init__(self, value: Callable, fold: Callable, special, limit: int = 250_000):
+    def __init__(self, value: Callable, fold: Callable, special, limit: int = 40 << 20):
         self.words = Recent(value, limit)
         self.fold, self.special = fold, special
         self.units = Recent(self._unit, limit)
@@ -142,34 +150,39 @@ def merge_ranks(path: str) -> dict[tuple[str, str], int]:
 def heap_token_count(piece: str, ranks: dict[tuple[str, str], int]) -> int:
     """Tokens of one pre-token: its bytes less the merges made.
 
-    The symbols are a linked list over byte positions; the heap holds adjacent pairs by (rank, position). A popped pair
-    whose ends have changed since is stale and skipped; else its right symbol joins the left one and the pairs to both
-    sides enter the heap. n bytes make at most 3n pushes, so a piece takes O(n log n).
+    The symbols are a linked list over byte positions; the heap holds adjacent pairs as rank * bytes + position. A popped pair is
+    stale, and skipped, if the rank of the pair at its position has changed since (a rank names one pair of symbols); else its
+    right symbol joins the left one and the pairs to both sides enter the heap. n bytes make at most 3n pushes, so a piece takes
+    O(n log n) and about 70 bytes of memory a byte.
     """
     symbols = piece.encode("utf-8").decode("latin-1").translate(byte_chars())
     n = len(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n))
+    after, before, current = array("i", range(1, n + 1)), array("i", range(-1, n)), array("i", [-1]) * n
     heap = []
     for i in range(n - 1):
         r = ranks.get((symbols[i], symbols[i + 1]))
         if r is not None:
-            heap.append((r, i, i + 1, i + 2))
+            current[i] = r
+            heap.append(r * n + i)
     heapq.heapify(heap)
     merges = 0
     while heap:
-        _, i, mid, end = heapq.heappop(heap)
-        if after[i] != mid or after[mid] != end:
+        r, i = divmod(heapq.heappop(heap), n)
+        if current[i] != r:
             continue
-        after[i], after[mid] = end, -1
+        mid = after[i]
+        after[i] = end = after[mid]
+        current[mid] = current[i] = -1
         merges += 1
         if end < n:
             before[end] = i
-            far = after[end]
-            r = ranks.get((symbols[i:end], symbols[end:far]))
+            r = ranks.get((symbols[i:end], symbols[end : after[end]]))
             if r is not None:
-                heapq.heappush(heap, (r, i, end, far))
+                current[i] = r
+                heapq.heappush(heap, r * n + i)
         if (p := before[i]) >= 0:
             r = ranks.get((symbols[p:i], symbols[i:end]))
+            current[p] = -1 if r is None else r
             if r is not None:
-                heapq.heappush(heap, (r, p, i, end))
+                heapq.heappush(heap, r * n + p)
     return n - merges
