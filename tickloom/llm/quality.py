@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import docs_in
+from .shared import docs_in, map_batches, quoted
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -51,7 +51,7 @@ def suffix_repeats(words: np.ndarray, doc: np.ndarray, min_repeat: int) -> tuple
     end = np.searchsorted(doc, doc, "right")  # the place after each document
     key = doc.astype(np.int64) * (int(words.max()) + 1) + words
     order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)  # the ranks of all rounds are held, 4 bytes a word and round
     ordered = key[order]
     first = np.r_[True, ordered[1:] != ordered[:-1]]
     starts = np.maximum.accumulate(np.where(first, place, 0))
@@ -63,7 +63,7 @@ def suffix_repeats(words: np.ndarray, doc: np.ndarray, min_repeat: int) -> tuple
         last = ranks[-1]
         ahead = active + step
         inside = ahead < end[active]
-        nxt = np.where(inside, last[np.minimum(ahead, n - 1)] + 1, 0)
+        nxt = np.where(inside, last[np.minimum(ahead, n - 1)] + np.int32(1), np.int32(0))
         own = last[active]
         sort = np.lexsort((nxt, own))
         active, own, nxt = active[sort], own[sort], nxt[sort]
@@ -82,7 +82,7 @@ def suffix_repeats(words: np.ndarray, doc: np.ndarray, min_repeat: int) -> tuple
         if len(ranks) == 2:  # ranks of two words: add the third
             two = active[active + 3 <= end[active]]
             if len(two):
-                pair = rank[two] * (n + 1) + ranks[0][two + 2]
+                pair = rank[two].astype(np.int64) * (n + 1) + ranks[0][two + 2]
                 _, where, count = np.unique(pair, return_inverse=True, return_counts=True)
                 three[two[count[where] > 1]] = True
     longest = np.zeros(n, np.int64)
@@ -160,7 +160,8 @@ COLUMNS = (
 def score_quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, counts, covered_words, longest_repeat, base_failed, kept) for each row of docs, from its whole text.
 
-    One narrow pass, no shuffle; a task holds a few MB of texts at a time, or one longer text. A null or empty text has no
+    One narrow pass, no shuffle; a task holds a few MB of texts at a time, or one longer text; its suffix array takes 4 bytes a
+    word for each doubling of the longest repeat (4 MB of one repeated word, 2 million words: about 250 MB). A null or empty text has no
     words and so fails the base rules; a null id stays null; repeated rows give repeated rows; other columns are not read;
     an empty table gives an empty result.
     """
@@ -171,16 +172,16 @@ def score_quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.values())], names=["id", *found])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, {COLUMNS}")
+    scored = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("t")).mapInArrow(run, f"id {kind}, {COLUMNS}")
     return scored.withColumnRenamed("id", id_col)
 
 
 def keep_quality(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, with all their columns and no others; nulls and empty texts are rejected."""
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in docs_in(batches, at, 1 << 20, binary=True):
-            yield batch.filter(pa.array(measure(texts, rules)["kept"]))
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(measure(texts, rules)["kept"])).columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
