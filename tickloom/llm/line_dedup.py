@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, docs_in
+from .shared import cut, docs_in, drop_cuts, free_names, map_batches, quoted
 
 _ODD = 0x9E3779B97F4A7C15  # multiplier of the rolling hash, any odd 64-bit number
 _MASK = (1 << 64) - 1
@@ -54,26 +54,33 @@ def line_chunks(text: bytes, rules: ChunkRules) -> list[tuple[int, int, bool]]:
     return out
 
 
-def line_pairs(text: bytes, rules: ChunkRules) -> list[tuple[int, int, bool]]:
-    """Spans as of line_chunks, all compared: each two neighbouring lines with words (and what is blank between them), and each line
-    of min_words words or more. The repeated ones cover just the repeated runs of two or more lines with words, or of one long line,
-    whatever lines surround them, since every such run is a union of its spans."""
-    out, before = [], None
-    for i, line in enumerate(text.split(b"\n")):
-        if n := len(line.split()):
-            if before is not None:
+def passage_spans(text: bytes, rules: ChunkRules) -> list[tuple[int, int, bool]]:
+    """The compared chunks of line_chunks, without blank lines at their ends, and, so that no repeated run is missed whose ends share a chunk with other lines or that holds no
+    whole chunk, each two neighbouring lines with words (and what is blank between them). All repeated spans together cover
+    just the repeated runs of two or more lines with words and the repeated lines of min_words words, whatever surrounds them."""
+    lines, out, before = text.split(b"\n"), [], None
+    full = [bool(line) and not line.isspace() for line in lines]
+    for a, b, compared in line_chunks(text, rules):
+        if compared:
+            while not full[a]:
+                a += 1
+            while not full[b - 1]:
+                b -= 1
+            out.append((a, b, True))
+    held = {(a, b) for a, b, _ in out}
+    for i, worded in enumerate(full):
+        if worded:
+            if before is not None and (before, i + 1) not in held:
                 out.append((before, i + 1, True))
-            if n >= rules.min_words:
-                out.append((i, i + 1, True))
             before = i
-    return out
+    return sorted(out)  # spans are numbered in text order: the lowest number of equal ones stays
 
 
 def dedup_passages(docs: DataFrame, rules: ChunkRules = ChunkRules(), **columns) -> DataFrame:
-    """dedup_lines without the chunks' boundaries: a line goes if it lies in a run of two or more lines with words, or is a line of
-    min_words words, that occurs at an earlier place byte for byte. The first place of every line stays; so do blank lines at a
-    run's ends."""
-    return dedup_lines(docs, rules, spans_of=line_pairs, **columns)
+    """dedup_lines whose chunks are completed by pairs of lines (passage_spans): a line goes if it lies in a run of two or more lines
+    with words, or is a line of min_words words, that occurs at an earlier place byte for byte. The first place of every line
+    stays; so do blank lines at a run's ends."""
+    return dedup_lines(docs, rules, spans_of=passage_spans, **columns)
 
 
 def dedup_lines(
@@ -92,8 +99,9 @@ def dedup_lines(
     document and get the same result; other columns pass unchanged; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    key = F.xxhash64(F.col(text_col).cast("string"))
-    slim = docs.select(F.col(id_col).alias("id"), key.alias("th"), F.col(text_col).cast("string").alias("t"))
+    text = F.col(quoted(text_col)).cast("string")
+    key = F.xxhash64(text)
+    slim = docs.select(F.col(quoted(id_col)).alias("id"), key.alias("th"), text.alias("t"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in docs_in(batches, 2, 2 << 20, binary=True):
@@ -140,9 +148,12 @@ def dedup_lines(
     first = texts.groupBy("data").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("data", "first")
     first = cut(first, "first")
     gone = texts.join(first, "data").where(~place.eqNullSafe(F.col("first")))
-    gone = gone.groupBy("id", "th").agg(F.collect_set("no").alias("__gone")).select(F.col("id").alias("__gid"), F.col("th").alias("__gth"), "__gone")
+    hashed_as, gone_id, gone_hash, gone_lines = free_names(docs, "th", "gid", "gth", "gone")
+    gone = gone.groupBy("id", "th").agg(F.collect_set("no").alias(gone_lines)).select(F.col("id").alias(gone_id), F.col("th").alias(gone_hash), gone_lines)
+    drop_cuts(chunks, repeated)
     at, n_columns = docs.columns.index(text_col), len(docs.columns)
-    schema = T.StructType([*docs.schema.fields, *([T.StructField(removed_col, T.LongType())] if removed_col else [])])
+    kept = [T.StructField(f.name, T.StringType(), f.nullable) if i == at else f for i, f in enumerate(docs.schema.fields)]
+    schema = T.StructType([*kept, *([T.StructField(removed_col, T.LongType())] if removed_col else [])])
     names = schema.names
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,6 +171,6 @@ def dedup_lines(
             columns = [pa.array(new, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(n_columns)]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(removed, pa.int64())] if removed_col else [])], names=names)
 
-    rows = docs.withColumn("__th", key)
-    joined = rows.join(gone, rows[id_col].eqNullSafe(gone["__gid"]) & (rows["__th"] == gone["__gth"]), "left")
-    return joined.select(*(F.col(c) if c != text_col else F.col(c).cast("string").alias(c) for c in docs.columns), "__gone").mapInArrow(clean, schema)
+    rows = docs.withColumn(hashed_as, key)
+    joined = rows.join(gone, F.col(quoted(id_col)).eqNullSafe(F.col(gone_id)) & (F.col(hashed_as) == F.col(gone_hash)), "left")
+    return map_batches(joined.select(*(text.alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns), gone_lines), clean, schema)
