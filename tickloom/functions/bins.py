@@ -33,6 +33,20 @@ def tercile_bucket(df: DataFrame, column: str, out: str, q: int = 3, by: Sequenc
     return found.withColumn(out, code.cast("int")).drop("__edges")
 
 
+def tercile_buckets(df: DataFrame, columns: dict[str, str], q: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """tercile_bucket of several columns (name of the bucket by column): one aggregation and one join for all edges, so df is planned
+    twice however many columns there are."""
+    points = [i / q for i in range(q + 1)]
+    edges = df.groupBy(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(by))).agg(*(F.percentile(c, points).alias(f"__edges{i}") for i, c in enumerate(columns)))
+    on = [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)]
+    found = df.join(edges, on) if by else df.crossJoin(F.broadcast(edges))
+    codes = {}
+    for i, (column, out) in enumerate(columns.items()):
+        e = F.col(f"__edges{i}")
+        codes[out] = F.when(F.size(F.array_distinct(e)) < q + 1, F.when(F.col(column).isNotNull(), 0)).otherwise(right_closed(F.col(column), e, q)).cast("int")
+    return found.withColumns(codes).select(*df.columns, *codes)
+
+
 def quantile_bin(df: DataFrame, column: str, out: str, q: int, by: Sequence[str] = ()) -> DataFrame:
     """Bins by q quantiles, coinciding edges dropped."""
     found = _with_edges(df, column, [i / q for i in range(q + 1)], by).withColumn("__edges", F.array_distinct("__edges"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The name patterns of the targets, tried in this order.
@@ -16,8 +17,9 @@ PATTERNS = {
 }
 
 
-def target_fields(name: Column) -> dict[str, Column]:
-    """kind, direction, threshold, adverse, horizon_s, symmetric and excursion_type of a target's name; NULL for what is no target."""
+def pattern_fields(name: Column) -> dict[str, Column]:
+    """The same fields as target_fields, but kind is the pattern's name, symmetric tells whether it is the symmetric one, and adverse is
+    what the name says."""
     kind = F.coalesce(*(F.when(name.rlike(p), k) for k, p in PATTERNS.items()))
     group = lambda i: F.coalesce(*(F.when(name.rlike(p), F.nullif(F.regexp_extract(name, p, i), F.lit(""))) for p in PATTERNS.values()))
     return {
@@ -44,3 +46,104 @@ def is_target(name: str) -> bool:
 
 def file_token(name: str) -> str:
     return re.sub(r"[^A-Za-z0-9_.-]+", "_", name)
+
+
+#: Suffixes of feature names with long horizons, regime-like features, identifier columns and prefixes of columns that know the future.
+LONG_SUFFIX = r"_(?:60|300|900|1800|3600)s$"
+REGIME_LIKE = ("spread_regime", "volatility_regime", "update_regime", "seconds_since_large_move")
+IDENTIFIERS = ("ts_event", "inst_id", "anchor_snapshot_ts", "reconstruction_mode", "tick_size")
+FUTURE_PREFIXES = ("target_", "label_", "mid_move_ticks_", "best_bid_move_ticks_", "best_ask_move_ticks_")
+
+
+def target_fields(name: Column) -> dict[str, Column]:
+    """kind (binary or regression), direction, threshold_ticks, adverse_ticks, horizon_sec, symmetric and excursion_type of a target's
+    name; NULL for what is no target. A symmetric name's adverse ticks are its threshold; a plain hit has neither of the two."""
+    found = {k: name.rlike(p) for k, p in PATTERNS.items()}
+    of = lambda k, i: F.when(found[k], F.nullif(F.regexp_extract(name, PATTERNS[k], i), F.lit("")))
+    number = lambda *x: F.coalesce(*x).cast("int")
+    threshold = number(*(of(k, 2) for k in ("asymmetric", "symmetric", "hit")))
+    adverse = number(of("asymmetric", 3), of("symmetric", 2))
+    return {
+        "kind": F.when(found["excursion"], "regression").when(found["asymmetric"] | found["symmetric"] | found["hit"], "binary"),
+        "direction": F.coalesce(*(of(k, 1) for k in PATTERNS)), "threshold_ticks": threshold, "adverse_ticks": adverse,
+        "horizon_sec": number(*(of(k, 4) for k in PATTERNS)), "symmetric": threshold == adverse,
+        "excursion_type": F.when(found["excursion"], F.regexp_extract(name, "_max_(favorable|adverse)_", 1)),
+    }
+
+
+def favorable_ticks(name: Column) -> Column:
+    """Threshold of a binary target, NULL for any other name."""
+    fields = target_fields(name)
+    return F.when(fields["kind"] == "binary", fields["threshold_ticks"])
+
+
+def modeling_eligible(name: Column, least: int = 260) -> Column:
+    return F.coalesce(favorable_ticks(name) >= least, F.lit(False))
+
+
+def int_list(text: str) -> list[int]:
+    return [int(x) for x in text.split(",") if x.strip()]
+
+
+def is_long_horizon(name: str) -> bool:
+    return re.search(LONG_SUFFIX, name) is not None
+
+
+def feature_groups(windows_s: Sequence[int]) -> dict[str, list[str]]:
+    """Names of the wall-clock builder's columns by group, for summaries."""
+    each = lambda *patterns: [p.format(w) for p in patterns for w in windows_s]
+    flows = [f"{s}_{what}" for s in ("bid", "ask") for what in ("added", "removed", "net_flow")]
+    sides = [f"{s}_{what}" for s in ("bid", "ask") for what in (*(f"dist_{i:02d}" for i in range(1, 11)), *(f"sz_norm_{i:02d}" for i in range(1, 11)), *(f"cum_{k}" for k in (1, 3, 5, 10)), *(f"cum_ratio_{k}" for k in (1, 3, 5, 10)), "slope", "convexity")]
+    return {
+        "price": ["spread_ticks", "spread_over_mid", *each("mid_return_{}s", "mid_velocity_{}s"), "mid_acceleration_1s", *each("realized_vol_{}s")],
+        "depth": sides,
+        "imbalance": [*(f"imbalance_{k}" for k in (1, 3, 5, 10)), *(f"imbalance_{k}_delta_{w}s" for w in windows_s for k in (1, 3, 5, 10)), "imbalance_5_acceleration_1s"],
+        "order_flow": [*(f"{f}_{w}s" for w in windows_s for f in (*flows, "order_flow_imbalance")), *each("update_intensity_{}s")],
+        "regime": ["volatility_regime", "spread_regime", "activity_regime", "seconds_since_large_move"],
+    }
+
+
+def experiment_features(features: Sequence[str], group: str) -> list[str]:
+    """The features of an experiment group: SHORT_ONLY (no mid price, long horizon or regime), that plus one horizon, ALL or ALL without price."""
+    short = [c for c in features if c != "mid_px" and not is_long_horizon(c) and c not in REGIME_LIKE]
+    if group == "SHORT_ONLY":
+        return short
+    if group in ("SHORT_PLUS_300", "SHORT_PLUS_3600"):
+        return sorted({*short, *(c for c in features if c.endswith(f"_{group[11:]}s"))})
+    if group == "ALL_WITHOUT_PRICE":
+        return [c for c in features if c != "mid_px"]
+    if group == "ALL_FEATURES":
+        return list(features)
+    raise ValueError(f"unknown group {group!r}")
+
+
+def present(wanted: Sequence[str], have: Sequence[str]) -> list[str]:
+    return [c for c in wanted if c in set(have)]
+
+
+def primary_target(columns: Sequence[str], horizon_ms: int, priority: Sequence[str] = ("net", "gross", "mid_dir")) -> str:
+    """The first target column that is there."""
+    names = {"net": f"target_net_profitable_h{horizon_ms}", "gross": f"target_gross_profitable_h{horizon_ms}", "mid_dir": f"target_mid_dir_h{horizon_ms}"}
+    if unknown := [p for p in priority if p not in names]:
+        raise ValueError(f"unknown priorities: {unknown}")
+    for p in priority:
+        if names[p] in columns:
+            return names[p]
+    raise ValueError(f"no target for horizon {horizon_ms}: {[names[p] for p in priority]}")
+
+
+def safe_features(df: DataFrame, target: str, candidates: Sequence[str] | None = None) -> tuple[list[str], dict[str, str]]:
+    """(numeric columns that may be features, reason by column left out): no target, identifier or column that knows the future."""
+    kinds, used, why = dict(df.dtypes), [], {}
+    for c in candidates or df.columns:
+        if c == target:
+            why[c] = "target column"
+        elif c in IDENTIFIERS:
+            why[c] = "identifier / time column"
+        elif c.startswith(FUTURE_PREFIXES):
+            why[c] = "future/label-derived column"
+        elif not re.match(r"(tinyint|smallint|int|bigint|float|double|decimal|boolean)", kinds[c]):
+            why[c] = "non-numeric feature"
+        else:
+            used.append(c)
+    return used, why

@@ -81,6 +81,25 @@ def past_start(df: DataFrame, seconds: float, value: Column, out: str = "start",
     return found.withColumn(out, F.when(F.col("ts_us") - w >= F.col("__first"), F.col("__hit"))).drop("__first", "__hit")
 
 
+def past_starts(rows: DataFrame, seconds: Sequence[int], value: Column, by: Sequence[str] = BY) -> DataFrame:
+    """(by, rn, s_<w> for each window): past_start's value for all windows at once. rows has by, ts_us, event_id, rn and what value needs.
+
+    Probes and points of all windows meet in one union, dealt by (instrument, window, time bucket of the window's length), so one
+    shuffle serves every window; only value and the row's number travel, and a second shuffle brings a row's windows together.
+    """
+    width = F.greatest(F.col("__w"), F.lit(1).cast("bigint")) * SECOND
+    window = F.explode(F.array(*(F.lit(int(s)).cast("bigint") for s in seconds))).alias("__w")
+    first = rows.groupBy(*(F.col(c).alias(f"__f{i}") for i, c in enumerate(by))).agg(F.min("ts_us").alias("__first"))
+    a = rows.select(*by, "ts_us", "rn", window).join(first, [F.col(c).eqNullSafe(F.col(f"__f{i}")) for i, c in enumerate(by)])
+    a = a.withColumn("__k", F.col("ts_us") - F.col("__w") * SECOND).where("__k >= __first").select(*by, "__w", "__k", "rn", F.lit(1).alias("__p"))
+    b = rows.select(*by, window, F.col("ts_us").alias("__k"), F.lit(0).alias("__p"), F.col("event_id").alias("__t"), F.struct(value.alias("v")).alias("__v"))
+    bucket = F.floor(F.col("__k") / width)
+    both = a.withColumn("__b", bucket).unionByName(b.withColumn("__b", F.explode(F.array(bucket, bucket - 1))), allowMissingColumns=True)
+    over = Window.partitionBy(*by, "__w", "__b").orderBy(F.desc("__k"), F.asc("__p"), F.desc("__t")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__f", F.last("__v", ignorenulls=True).over(over)).where("__p = 1")
+    return found.groupBy(*by, "rn").agg(*(F.max(F.when(F.col("__w") == s, F.col("__f.v"))).alias(f"s_{s}") for s in seconds))
+
+
 def forward_end(df: DataFrame, seconds: float, value: Column, out: str = "end", by: Sequence[str] = BY) -> DataFrame:
     """df with `out`: value at the last row whose time is at or before ts + seconds; NULL if that is after the last row."""
     w = int(seconds * SECOND)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rowwise as R
-from ..functions.bins import tercile_bucket
-from ..functions.timewin import SECOND, full_frame, ordered, past_start, prefix_sums, with_rn
+from ..functions.bins import tercile_buckets
+from ..functions.timewin import SECOND, full_frame, ordered, past_starts, prefix_sums, with_rn
 from ..schema import DEPTH, levels, ratio, safe_divide
 from .labels import Fees, direction_targets, future_values, profit_targets, tp_sl_label
 
@@ -54,8 +54,8 @@ def wallclock_features(df: DataFrame, tick: float, windows_s: Sequence[int] = (1
     """Price, depth, imbalance, order-flow and regime groups; only rows at or before a row's time enter its features, but for the
     regime edges, which are full-sample quantiles of each instrument.
 
-    A window's start is the first row at or after ts - w, found by an as-of union; sums over a window are differences of prefix
-    sums, so cost does not depend on its length.
+    A window's start is the first row at or after ts - w, found for all windows by one as-of union of slim rows; sums over a window
+    are differences of prefix sums, so cost does not depend on its length.
     """
     book = [c for c in df.columns if c.startswith(("bid_px_", "bid_sz_", "ask_px_", "ask_sz_"))]
     rows = with_rn(df)
@@ -66,10 +66,12 @@ def wallclock_features(df: DataFrame, tick: float, windows_s: Sequence[int] = (1
     rows = step_flows(rows.withColumn("step", step), depth).withColumn("step_sq", F.col("step") * F.col("step"))
     summed = ("step", "step_sq", "bid_added", "bid_removed", "ask_added", "ask_removed")
     rows = prefix_sums(rows, summed)
-    carried = F.struct("ts_us", "rn", "mid_px", *(f"imbalance_{k}" for k in (1, 3, 5, depth)), *(f"cum_{c}" for c in summed), *summed)
+    names = ("ts_us", "rn", "mid_px", *(f"imbalance_{k}" for k in (1, 3, 5, depth)), *(f"cum_{c}" for c in summed), *summed)
     temp = ["rn", "step", "step_sq", *(f"cum_{c}" for c in summed)]
+    starts = past_starts(rows.select("inst_id", "event_id", *names), windows_s, F.struct(*names))
+    rows = rows.join(starts, ["inst_id", "rn"], "left")
     for s in windows_s:
-        rows = past_start(rows, s, carried, "__s")
+        rows = rows.withColumn("__s", F.col(f"s_{s}"))
         start = lambda c: F.col(f"__s.{c}")
         elapsed = (F.col("ts_us") - start("ts_us")) / SECOND
         move = (F.col("mid_px") - start("mid_px")) / tick
@@ -86,19 +88,19 @@ def wallclock_features(df: DataFrame, tick: float, windows_s: Sequence[int] = (1
             | {f"update_intensity_{s}s": F.col("rn") - start("rn") + 1}
         ).drop("__s")
     if 1 in windows_s:
-        rows = past_start(rows, 1, F.struct("mid_velocity_1s", "imbalance_5_delta_1s", "ts_us"), "__s")
+        before = rows.select(F.col("inst_id").alias("__i"), F.col("rn").alias("__rn"), F.struct("mid_velocity_1s", "imbalance_5_delta_1s", "ts_us").alias("__s"))
+        rows = rows.join(before, F.col("inst_id").eqNullSafe(F.col("__i")) & (F.col("s_1.rn") == F.col("__rn")), "left").drop("__i", "__rn")
         elapsed = (F.col("ts_us") - F.col("__s.ts_us")) / SECOND
         rows = rows.withColumns(
             {n: safe_divide(F.col(c) - F.col(f"__s.{c}"), elapsed) for n, c in (("mid_acceleration_1s", "mid_velocity_1s"), ("imbalance_5_acceleration_1s", "imbalance_5_delta_1s"))}
         ).drop("__s")
     vol = f"realized_vol_{30 if 30 in windows_s else max(windows_s)}s"
     intensity = f"update_intensity_{5 if 5 in windows_s else min([w for w in windows_s if w >= 5] or windows_s)}s"
-    for column, name in ((vol, "volatility_regime"), ("spread_ticks", "spread_regime"), (intensity, "activity_regime")):
-        rows = tercile_bucket(rows, column, name, by=("inst_id",))
+    rows = tercile_buckets(rows, {vol: "volatility_regime", "spread_ticks": "spread_regime", intensity: "activity_regime"}, by=("inst_id",))
     moved = F.when(F.abs(F.col(f"mid_return_{1 if 1 in windows_s else min(windows_s)}s")) > large_move_ticks, F.col("ts_us"))
     last = F.last(moved, ignorenulls=True).over(ordered().rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("seconds_since_large_move", (F.col("ts_us") - last) / SECOND)
-    return rows.drop(*temp, *([] if keep_book else book), *(f"elapsed_{s}s" for s in windows_s))
+    return rows.drop(*temp, *(f"s_{s}" for s in windows_s), *([] if keep_book else book), *(f"elapsed_{s}s" for s in windows_s))
 
 
 @dataclass(frozen=True)

@@ -111,9 +111,96 @@ def chunk_ranges(start_us: int, end_us: int, hours: int) -> list[tuple[int, int]
 
 
 def to_long(book: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(inst_id, ts_us, level, side, price, size) for heat maps; stops at the first missing level."""
-    rows = wide_to_levels(book.na.fill(0.0, [level(s, "sz", i) for s in SIDES for i in range(1, depth + 1)]), depth=depth)
-    return rows.select("inst_id", "ts_us", "level", "side", "price", "size")
+    """(inst_id, ts_us, level, side, price, size) for heat maps: every level whose columns are there, up to the first level without
+    them; levels with NULL prices or sizes stay."""
+    have = next((i - 1 for i in range(1, depth + 1) if level("bid", "px", i) not in book.columns), depth)
+    items = F.array(*(F.struct(F.lit(i).alias("level"), F.lit(s).alias("side"), F.col(level(s, "px", i)).alias("price"), F.col(level(s, "sz", i)).alias("size")) for i in range(1, have + 1) for s in SIDES))
+    return book.select("inst_id", "ts_us", F.explode(items).alias("l")).select("inst_id", "ts_us", "l.*")
+
+
+def padded_levels(rows: DataFrame, depth: int = DEPTH, keys: tuple[str, ...] = ("inst_id", "ts_us")) -> DataFrame:
+    """Level rows filled up with NULL levels, so that each key has `depth` levels of both sides."""
+    slots = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.lit(i).alias("level")) for s in SIDES for i in range(1, depth + 1))))
+    every = rows.select(*keys).distinct().select(*keys, slots.alias("s")).select(*keys, "s.*")
+    return every.join(rows.select(*keys, "side", "level", "price", "size"), [*keys, "side", "level"], "left")
+
+
+def chunk_segments(snapshot_times: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    """(inst_id, seg_us, next_us, out_start, out_end) of a chunk: the last snapshot at or before its start and those in (start, end].
+    A segment goes up to the next one's start (not in it), the last one to the chunk's end (in it; next_us is NULL). Instruments
+    without a snapshot at or before the start have none."""
+    t = F.col("ts_us")
+    anchor = F.max(F.when(t <= start_us, t)).over(Window.partitionBy("inst_id"))
+    used = snapshot_times.select("inst_id", "ts_us").distinct().withColumn("__a", anchor).where(F.col("__a").isNotNull() & (t >= F.col("__a")) & (t <= end_us))
+    nxt = F.lead("ts_us").over(Window.partitionBy("inst_id").orderBy("ts_us"))
+    return used.select("inst_id", t.alias("seg_us"), nxt.alias("next_us"), F.greatest(t, F.lit(start_us)).alias("out_start"), F.coalesce(nxt, F.lit(end_us)).alias("out_end"))
+
+
+def aligned_start(at: Column, start_us: int, step_us: int) -> Column:
+    """The first time of the chunk's grid (start, start + step, ...) at or after `at`."""
+    return F.lit(start_us) + F.ceil(F.greatest(at - start_us, F.lit(0)) / step_us) * step_us
+
+
+def reconstruct_chunk(
+    snapshot_levels: DataFrame, deltas: DataFrame, start_us: int, end_us: int, mode: str = "event", step_us: int = SECOND // 10,
+    policy: str = "snapshot_to_snapshot", depth: int = DEPTH, seq: tuple[str, ...] = ("seq",), bucket_us: int = 3600 * SECOND,
+) -> DataFrame:
+    """Flat records of all instruments in [start, end]: level columns, mid_px, spread_px, anchor_snapshot_us, reconstruction_mode.
+
+    policy snapshot_to_snapshot resets the book at every snapshot (chunk_segments), single keeps the anchor's book. event emits at
+    every time of a delta, and a segment without deltas once, at its start; grid emits on the chunk's grid. Segments do not
+    overlap, so a time of an instrument comes once. Instruments without an anchor give nothing.
+    """
+    if mode not in ("event", "grid") or policy not in ("snapshot_to_snapshot", "single"):
+        raise ValueError(f"unknown mode {mode!r} or policy {policy!r}")
+    segments = chunk_segments(snapshot_levels, start_us, end_us)
+    if policy == "single":
+        segments = segments.where(F.col("seg_us") <= start_us).withColumns({"next_us": F.lit(None).cast("bigint"), "out_end": F.lit(end_us)})
+    times = segments.select("inst_id", F.col("seg_us").alias("ts_us"))
+    opening = snapshot_levels.join(times, ["inst_id", "ts_us"], "left_semi").select("inst_id", F.col("ts_us").alias("seg_us"), "ts_us", "side", "price", "size", *(F.lit(-1).alias(c) for c in seq))
+    changes = assign_segments(deltas.where(F.col("ts_us") <= end_us), times).select("inst_id", "seg_us", "ts_us", "side", "price", "size", *seq)
+    if mode == "event":
+        own = changes.select(*SEGMENT, "ts_us").distinct()
+        idle = segments.join(own.select(*SEGMENT).distinct(), list(SEGMENT), "left_anti").select(*SEGMENT, F.col("out_start").alias("ts_us"))
+        emits = own.where(F.col("ts_us") >= start_us).unionByName(idle)
+    else:
+        spans = segments.select(*SEGMENT, "next_us", aligned_start(F.col("out_start"), start_us, step_us).alias("start_us"), F.col("out_end").alias("end_us"))
+        emits = spans.where("start_us <= end_us").select(*SEGMENT, "next_us", F.explode(F.sequence("start_us", "end_us", F.lit(step_us))).alias("ts_us"))
+        emits = emits.where("next_us is null or ts_us < next_us").drop("next_us")
+    found = levels_to_wide(states(validity(opening.unionByName(changes), seq), emits, depth, bucket_us), (*SEGMENT, "ts_us"), depth)
+    rows = emits.join(found, [*SEGMENT, "ts_us"], "left")  # an empty book is a row too
+    return rows.withColumnRenamed("seg_us", "anchor_snapshot_us").withColumn("reconstruction_mode", F.lit(mode))
+
+
+def segment_check(records: DataFrame, snapshots: DataFrame, depth: int = DEPTH, tol: float = 1e-9) -> DataFrame:
+    """The last record of each segment against the next snapshot (wide rows): best prices match within tol (a missing one counts as a
+    match), greatest price and size differences of levels that both have."""
+    last = records.groupBy("inst_id", "anchor_snapshot_us").agg(F.max_by(F.struct(*(F.col(c) for c in records.columns)), "ts_us").alias("r"))
+    following = last.withColumn("next_us", F.lead("anchor_snapshot_us").over(Window.partitionBy("inst_id").orderBy("anchor_snapshot_us"))).where("next_us is not null")
+    wide = snapshots.select(F.col("inst_id").alias("__i"), F.col("ts_us").alias("__t"), F.struct(*(F.col(level(s, w, i)) for s in SIDES for w in ("px", "sz") for i in range(1, depth + 1))).alias("n"))
+    both = following.join(wide, (F.col("inst_id") == F.col("__i")) & (F.col("next_us") == F.col("__t")))
+    diff = lambda c: F.abs(F.col(f"r.{c}") - F.col(f"n.{c}"))
+    widest = lambda w: F.array_max(F.array(*(diff(level(s, w, i)) for s in SIDES for i in range(1, depth + 1))))
+    match = lambda s: F.coalesce(diff(level(s, "px", 1)) <= tol, F.lit(True))
+    return both.select("inst_id", F.col("r.ts_us").alias("last_us"), "next_us", match("bid").alias("top1_bid_match"), match("ask").alias("top1_ask_match"), widest("px").alias("max_px_diff"), widest("sz").alias("max_sz_diff"))
+
+
+def dry_run(snapshot_levels: DataFrame, deltas: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
+    """(start_us, end_us, inst_id, anchor_us, n_snapshots, n_deltas) of each chunk: what a reconstruction would read."""
+    spark = deltas.sparkSession
+    chunks = F.broadcast(spark.createDataFrame(ranges, "start_us bigint, end_us bigint"))
+    t = snapshot_levels.select("inst_id", "ts_us").distinct().join(chunks, F.col("ts_us") <= F.col("end_us"))
+    a = t.groupBy("start_us", "end_us", "inst_id").agg(F.max(F.when(F.col("ts_us") <= F.col("start_us"), F.col("ts_us"))).alias("anchor_us"), F.count_if(F.col("ts_us") > F.col("start_us")).alias("n_snapshots"))
+    d = deltas.join(chunks, F.col("ts_us").between(F.col("start_us"), F.col("end_us"))).groupBy("start_us", "end_us", "inst_id").agg(F.count("*").alias("n_deltas"))
+    return a.join(d, ["start_us", "end_us", "inst_id"], "full").na.fill(0, ["n_snapshots", "n_deltas"])
+
+
+def reconstruct_job(snapshot_levels: DataFrame, deltas: DataFrame, path: str, ranges: list[tuple[int, int]], **options) -> None:
+    """Reconstruct and append chunk by chunk under `path` (Hive layout), each chunk one Spark job over all instruments."""
+    from ..sources.tables import write_book
+
+    for a, z in ranges:
+        write_book(reconstruct_chunk(snapshot_levels, deltas, a, z, **options), path)
 
 
 def compare_levels(real: DataFrame, rec: DataFrame, keys: tuple[str, ...] = ("inst_id", "ts_us"), tol: float = 1e-9) -> DataFrame:
@@ -135,6 +222,49 @@ def compare_levels(real: DataFrame, rec: DataFrame, keys: tuple[str, ...] = ("in
     )
 
 
+def compare_forensic(real: DataFrame, rec: DataFrame, keys: tuple[str, ...] = ("inst_id", "ts_us")) -> DataFrame:
+    """compare_levels over levels that both have only: greatest differences start at 0, a best price that one side lacks is no match."""
+    found = compare_levels(real, rec, keys)
+    return found.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("max_px_diff", "max_sz_diff", "mean_px_diff", "mean_sz_diff")})
+
+
+def grid_nearest(real: DataFrame, grid: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Snapshots (wide rows) against the last grid row at or before each: the comparison and how many microseconds the row is old."""
+    from ..functions.timewin import asof
+
+    probes = real.select("inst_id", "ts_us", F.struct(*(F.col(c) for c in real.columns)).alias("real"))
+    found = asof(probes, grid.withColumn("__tie", F.lit(0)), F.col("ts_us"), F.col("ts_us"), F.struct(*(F.col(c) for c in grid.columns)), tie=("__tie",), out="rec").where("rec is not null")
+    age = found.select("inst_id", "ts_us", (F.col("ts_us") - F.col("rec.ts_us")).alias("age_us"))
+    rec = wide_to_levels(found.select("inst_id", "ts_us", *(F.col(f"rec.{c}") for c in grid.columns if c not in ("inst_id", "ts_us"))), depth=depth)
+    return compare_levels(wide_to_levels(found.select("real.*"), depth=depth), rec).join(age, ["inst_id", "ts_us"])
+
+
+def snapshot_aligned_run(snapshots: DataFrame, opening: DataFrame, deltas: DataFrame, k: int = 10, depth: int = DEPTH, **options) -> dict[str, DataFrame]:
+    """points (every snapshot, wide rows, against the book replayed up to and with its time), summary, and the k worst points."""
+    emits = snapshots.select("inst_id", "ts_us").distinct()
+    rec = segmented_replay(opening, deltas, emits, depth, **options)
+    points = compare_levels(wide_to_levels(snapshots, depth=depth), wide_to_levels(rec, depth=depth))
+    return {"points": points, "summary": validation_summary(points), "worst": worst(points, k)}
+
+
+def order_forensics(real: DataFrame, deltas: DataFrame, k: int, orders: dict[str, tuple[str, ...]], depth: int = DEPTH) -> DataFrame:
+    """The k worst points under the first order, replayed under all orders, with a flag whether the last one is nearer to the snapshot."""
+    names = list(orders)
+    checked = replay_order_check(real, deltas, orders, depth)
+    first, last = (F.col(f"max_px_diff_{n}") for n in (names[0], names[-1]))
+    flagged = checked.withColumn("improved", F.coalesce(last < first, F.lit(False)))
+    return flagged.orderBy(F.desc_nulls_last(first), "inst_id", "ts_us").limit(k)
+
+
+def sanity_counters(points: DataFrame) -> DataFrame:
+    """Crossed books, sizes at or below zero, match shares and worst differences over all compared points, one row."""
+    return points.agg(
+        F.count("*").alias("n"), F.count_if("crossed_book_real").alias("crossed_real"), F.count_if("crossed_book_rec").alias("crossed_rec"),
+        F.sum("negative_or_zero_size_real").alias("empty_sizes_real"), F.sum("negative_or_zero_size_rec").alias("empty_sizes_rec"),
+        F.avg((F.col("top1_bid_match") & F.col("top1_ask_match")).cast("int")).alias("match_share"), F.max("max_px_diff").alias("worst_px_diff"), F.max("max_sz_diff").alias("worst_sz_diff"),
+    )
+
+
 def validation_summary(points: DataFrame) -> DataFrame:
     rate = lambda c: F.avg(F.col(c).cast("int"))
     return points.agg(

@@ -121,9 +121,17 @@ def best_f1(df: DataFrame, y: str, score: str, points: int = 399) -> DataFrame:
 
 
 def top_precision(df: DataFrame, y: str, score: str, share: float = 0.1, tie: str = "doc_id") -> DataFrame:
-    """Precision of the max(1, floor(share * n)) highest scores (a top-k)."""
-    k = max(1, int(df.count() * share))
-    return df.orderBy(F.desc(score), tie).limit(k).agg(F.count("*").alias("n"), F.avg(y).alias("precision"))
+    """Precision of the max(1, floor(share * n)) highest scores. The cut is found by counts a distinct score; only rows at the cut's own
+    score are ranked by `tie`, so no task holds the top tenth of the table."""
+    per = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
+    k = F.greatest(F.lit(1), F.floor(F.sum("n").over(Window.partitionBy()) * share))
+    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc_nulls_last("s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = per.select("s", k.alias("k"), above.alias("above"), "n").where("above < k and above + n >= k").select(F.col("s").alias("__s"), (F.col("k") - F.col("above")).alias("__left"))
+    rows = df.crossJoin(F.broadcast(cut))
+    sure = rows.where(F.col(score) > F.col("__s")).agg(F.count("*").alias("n"), F.sum(y).alias("hits"))
+    at = rows.where(F.col(score).eqNullSafe(F.col("__s"))).withColumn("__r", F.row_number().over(Window.partitionBy("__s").orderBy(tie)))
+    edge = at.where("__r <= __left").agg(F.count("*").alias("n"), F.sum(y).alias("hits"))
+    return sure.unionByName(edge).agg(F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("precision"))
 
 
 def calibration_curve(df: DataFrame, y: str, score: str, q: int = 5) -> DataFrame:
@@ -142,7 +150,7 @@ def multiclass_report(df: DataFrame, y: str, pred: str) -> DataFrame:
     return all_.select(F.col("k").alias("class"), "support", d("tp", "predicted").alias("precision"), d("tp", "support").alias("recall"), d("2 * tp", "support + predicted").alias("f1"))
 
 
-def train_gbt(train: DataFrame, features: Sequence[str], label: str, rounds: int = 20, depth: int = 5, seed: int = 42):
+def train_gbt(train: DataFrame, features: Sequence[str], label: str, rounds: int = 20, depth: int = 5, seed: int = 42, weights: tuple[str, Column] | None = None):
     """Gradient-boosted trees over median-imputed features (Spark ML); rows with validation = true stop it early, if there is such a column."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
@@ -151,6 +159,121 @@ def train_gbt(train: DataFrame, features: Sequence[str], label: str, rounds: int
     filled = [f"__{c}" for c in features]
     stages = [Imputer(inputCols=list(features), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="features")]
     booster = GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=depth, seed=seed)
+    if weights:
+        train, booster = train.withColumn(*weights), booster.setWeightCol(weights[0])
     if "validation" in train.columns:
         booster = booster.setValidationIndicatorCol("validation")
     return Pipeline(stages=[*stages, booster]).fit(train)
+
+
+def target_kind(df: DataFrame, y: str) -> str:
+    """binary for at most two values, else multiclass."""
+    return "binary" if df.where(F.col(y).isNotNull()).select(y).distinct().limit(3).count() <= 2 else "multiclass"
+
+
+def class_codes(df: DataFrame, y: str, out: str = "code") -> DataFrame:
+    """df with labels as 0 .. K-1 in rising order; the labels are one broadcast row each, at most `K` of them."""
+    labels = df.where(F.col(y).isNotNull()).select(F.col(y).alias("__y")).distinct().withColumn(out, F.row_number().over(Window.orderBy("__y")) - 1)
+    return df.join(labels, F.col(y) == F.col("__y"), "left").drop("__y")
+
+
+def class_confidence_buckets(df: DataFrame, y: str, pred: str, confidence: str, edges: Sequence[float] = (0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
+    """Rows by confidence in [low, high) from 0 to 1, the last closed: n, coverage of all rows, share of right predictions; empty ones are left out."""
+    bounds = [0.0, *edges, 1.0]
+    conf, bucket = F.col(confidence), F.when(F.col(confidence) == 1.0, len(bounds) - 2)
+    for i in range(len(bounds) - 1):
+        bucket = bucket.when((conf >= bounds[i]) & (conf < bounds[i + 1]), i)
+    counts = df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg((F.col(y) == F.col(pred)).cast("int")).alias("top1_correct_rate"))
+    return counts.withColumn("coverage", F.col("n") / F.sum("n").over(Window.partitionBy())).where("bucket is not null")
+
+
+def multiclass_summary(df: DataFrame, y: str, pred: str) -> DataFrame:
+    """accuracy, macro and weighted F1, balanced accuracy, one row, from the report of the classes."""
+    per = multiclass_report(df, y, pred)
+    total = F.sum("support")
+    return per.agg(
+        (F.sum(F.col("recall") * F.col("support")) / total).alias("accuracy"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / total).alias("weighted_f1"),
+        F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"), total.alias("n"),
+    )
+
+
+def train_multiclass(train: DataFrame, features: Sequence[str], label: str, classes: int, rounds: int = 20, depth: int = 5, seed: int = 42):
+    """One booster a class against the rest (Spark ML has binary boosting only), over median-imputed features."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+    from pyspark.ml.feature import Imputer, VectorAssembler
+
+    filled = [f"__{c}" for c in features]
+    booster = OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed), labelCol=label, featuresCol="features")
+    return Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="features"), booster]).fit(train)
+
+
+def feature_importance(model, features: Sequence[str], top: int = 20) -> list[tuple[str, float]]:
+    """The booster's most important features, best first."""
+    values = model.stages[-1].featureImportances.toArray()
+    return sorted(zip(features, map(float, values), strict=True), key=lambda x: (-x[1], x[0]))[:top]
+
+
+def group_experiment(df: DataFrame, label: str, features: Sequence[str], groups: Sequence[str], order: Sequence[str], train: float = 0.7, **options) -> DataFrame:
+    """(group, n_features, roc_auc, average_precision): a booster for each feature group, fitted on the first `train` of the rows in
+    time and scored on the rest."""
+    from functools import reduce
+
+    from pyspark.ml.functions import vector_to_array
+
+    from ..functions.names import experiment_features
+
+    split, parts = time_split(df, order, train, 1 - train, least=options.pop("least", 1000)), []
+    for group in groups:
+        chosen = experiment_features(features, group)
+        scored = train_gbt(split.where("split = 'train'"), chosen, label, **options).transform(split.where("split <> 'train'"))
+        scored = scored.select(F.col(label).alias("y"), F.round(vector_to_array("probability")[1], 6).alias("p"))
+        parts.append(ranking_metrics(scored, "y", "p").select(F.lit(group).alias("group"), F.lit(len(chosen)).alias("n_features"), "roc_auc", "average_precision"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def univariate_screen(df: DataFrame, features: Sequence[str], y: str, bins: int = 20) -> DataFrame:
+    """(feature, corr, auc, mutual_info, score): correlation, AUC of the feature as a score, mutual information with y over quantile bins
+    (natural logarithm), and the mean of |corr|, 2 |auc - 1/2| and mutual information as a share of y's entropy."""
+    from functools import reduce
+
+    from ..functions.bins import quantile_bin
+
+    parts = []
+    for c in features:
+        known = df.where(F.col(c).isNotNull() & F.col(y).isNotNull()).select(F.col(c).cast("double").alias("x"), F.col(y).cast("int").alias("y"))
+        cells = quantile_bin(known, "x", "b", bins).groupBy("b", "y").agg(F.count("*").alias("n"))
+        every = Window.partitionBy()
+        p, pb, py = (F.col("n") / F.sum("n").over(every)), F.sum("n").over(Window.partitionBy("b")) / F.sum("n").over(every), F.sum("n").over(Window.partitionBy("y")) / F.sum("n").over(every)
+        info = cells.select((p * F.ln(p / (pb * py))).alias("i"), (-p * F.ln(py)).alias("h")).agg(F.sum("i").alias("mutual_info"), F.sum("h").alias("entropy"))
+        auc = ranking_metrics(known, "y", "x").select(F.col("roc_auc").alias("auc"))
+        parts.append(known.agg(F.corr("x", "y").alias("corr")).crossJoin(auc).crossJoin(info).select(F.lit(c).alias("feature"), "corr", "auc", "mutual_info", "entropy"))
+    rows = reduce(DataFrame.unionByName, parts)
+    share = F.coalesce(F.try_divide("mutual_info", "entropy"), F.lit(0.0))
+    return rows.select("feature", "corr", "auc", "mutual_info", ((F.abs("corr") + 2 * F.abs(F.col("auc") - 0.5) + share) / 3).alias("score"))
+
+
+def experiment_report(results: list[dict], importance: dict[str, list[tuple[str, float]]], watched: Sequence[str] = ("mid_px",)) -> str:
+    """A text report of group_experiment's collected rows: groups by AUC, and where a watched feature leads the importances."""
+    lines = ["group | features | ROC AUC | average precision"]
+    for r in sorted(results, key=lambda r: -(r["roc_auc"] or 0)):
+        lines.append(f"{r['group']} | {r['n_features']} | {r['roc_auc'] or 0:.4f} | {r['average_precision'] or 0:.4f}")
+    for group, found in importance.items():
+        if found and found[0][0] in watched:
+            lines.append(f"{group}: {found[0][0]} dominates with {found[0][1]:.3f}")
+    return "\n".join(lines)
+
+
+def train_model(df: DataFrame, label: str, features: Sequence[str], order: Sequence[str], weight_below: float = 0.3, least: int = 1000, **options):
+    """(model, scored test rows (y, score), metrics): split by time, rows weighted by class if label 1 has under `weight_below` of them,
+    a booster, ranking and threshold metrics on the test part."""
+    from pyspark.ml.functions import vector_to_array
+
+    split = time_split(df.where(F.col(label).isNotNull()), order, least=least)
+    fit = split.where("split <> 'test'").withColumn("validation", F.col("split") == "valid")
+    share = fit.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
+    if 0 < share < weight_below:
+        options["weights"] = ("__w", F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+    model = train_gbt(fit, features, label, **options)
+    scored = model.transform(split.where("split = 'test'")).select(F.col(label).alias("y"), F.round(vector_to_array("probability")[1], 6).alias("score"))
+    return model, scored, ranking_metrics(scored, "y", "score").crossJoin(binary_metrics(scored, "y", "score"))

@@ -37,11 +37,19 @@ def grid_regularity(df: DataFrame, grid_us: int, by: tuple[str, ...] = ("inst_id
     return found.withColumn("regular", F.coalesce(F.col("share") >= least, F.lit(False)))
 
 
-def future_values(df: DataFrame, columns: list[str], horizon_ms: int, grid_ms: int, method: str) -> DataFrame:
-    """df with future_<c>: after ceil(horizon / grid) rows (shift), or at the first row at or after ts + horizon (nearest_forward)."""
+def future_values(df: DataFrame, columns: list[str], horizon_ms: int, grid_ms: int, method: str = "auto") -> DataFrame:
+    """df with future_<c>: after ceil(horizon / grid) rows (shift), or at the first row at or after ts + horizon (nearest_forward, with
+    exact_match). auto takes shift for instruments whose times lie on the grid, nearest_forward for the others."""
+    k = max(1, ceil(horizon_ms / grid_ms))
     if method == "shift":
-        k = max(1, ceil(horizon_ms / grid_ms))
         return df.select("*", *(F.lead(c, k).over(ordered()).alias(f"future_{c}") for c in columns))
+    if method == "auto":
+        on_grid = grid_regularity(df, grid_ms * 1000).select(F.col("inst_id").alias("__i"), F.col("regular").alias("__regular"))
+        both = future_values(df, columns, horizon_ms, grid_ms, "nearest_forward").join(on_grid, F.col("inst_id").eqNullSafe(F.col("__i")), "left").drop("__i")
+        both = both.withColumns({f"__s_{c}": F.lead(c, k).over(ordered()) for c in columns})
+        shifted = {f"future_{c}": F.when(F.col("__regular"), F.col(f"__s_{c}")).otherwise(F.col(f"future_{c}")) for c in columns}
+        exact = F.when(F.col("__regular"), F.when(F.col(f"__s_{columns[0]}").isNotNull(), True)).otherwise(F.col("exact_match"))
+        return both.withColumns(shifted | {"exact_match": exact}).select(*df.columns, *shifted, "exact_match")
     if method != "nearest_forward":
         raise ValueError(f"unknown alignment {method!r}")
     value = F.struct(*(F.col(c) for c in columns), "ts_us")
@@ -49,6 +57,31 @@ def future_values(df: DataFrame, columns: list[str], horizon_ms: int, grid_ms: i
     return found.select("*", *(F.col(f"__f.{c}").alias(f"future_{c}") for c in columns), (F.col("__f.ts_us") == F.col("ts_us") + horizon_ms * 1000).alias("exact_match")).drop("__f")
 
 
+def tick_direction_targets(df: DataFrame, tick: float, grid_ms: int, horizons_ms: tuple[int, ...] = (500, 1000, 3000, 5000, 10000), steps: tuple[int, ...] = (1, 2, 3), method: str = "auto") -> DataFrame:
+    """df with, for each horizon h: mid_move_ticks_h<h>, best_bid_ and best_ask_move_ticks_h<h>, target_mid_dir_h<h> (beyond half a tick),
+    target_mid_ge_<n>tick_h<h>, target_mid_le_minus_<n>tick_h<h> and exact_h<h> (alignment). Moves are NULL in the tail, labels 0."""
+    names = list(df.columns)
+    for h in horizons_ms:
+        df = future_values(df, ["mid_px", "bid_px_01", "ask_px_01"], h, grid_ms, method)
+        move = lambda c: (F.col(f"future_{c}") - F.col(c)) / tick
+        mid = move("mid_px")
+        out = {f"mid_move_ticks_h{h}": mid, f"best_bid_move_ticks_h{h}": move("bid_px_01"), f"best_ask_move_ticks_h{h}": move("ask_px_01")}
+        out[f"target_mid_dir_h{h}"] = F.when(mid > 0.5, 1).when(mid < -0.5, -1).otherwise(0)
+        for n in steps:
+            out |= {f"target_mid_ge_{n}tick_h{h}": flag(mid >= n), f"target_mid_le_minus_{n}tick_h{h}": flag(mid <= -n)}
+        out[f"exact_h{h}"] = F.col("exact_match") if "exact_match" in df.columns else mid.isNotNull()
+        names += out
+        df = df.withColumns(out).select(*names)
+    return df
+
+
+def alignment_report(df: DataFrame, horizons_ms: tuple[int, ...], grid_ms: int) -> DataFrame:
+    """(horizon_ms, steps, aligned_ms, inexact) of a table of tick_direction_targets: how many future rows are not exactly at the horizon."""
+    items = F.array(*(F.struct(F.lit(h).alias("horizon_ms"), F.lit(ceil(h / grid_ms)).alias("steps"), (F.col(f"mid_move_ticks_h{h}").isNotNull() & ~F.coalesce(F.col(f"exact_h{h}"), F.lit(True))).alias("off")) for h in horizons_ms))
+    rows = df.select(F.explode(items).alias("i")).groupBy("i.horizon_ms", "i.steps").agg(F.count_if("i.off").alias("inexact"))
+    return rows.withColumn("aligned_ms", F.col("steps") * grid_ms)
+
+
 def direction_targets(name: str, now: str, future: str, tick: float, steps: tuple[int, ...] = (1, 2, 3)) -> dict[str, Column]:
     move = (F.col(future) - F.col(now)) / tick
     out = {f"{name}_move_ticks": move, f"{name}_dir": F.when(move > 0.5, 1).when(move < -0.5, -1).otherwise(0)}
@@ -71,10 +104,11 @@ def profit_targets(tick: float, min_ticks: float = 1.0, fees: Fees = Fees()) ->
 
 def tp_sl_label(side: str, tick: float, take: float, stop: float, steps: int, over: WindowSpec) -> Column:
     """1 if the mid first gains `take` ticks on the entry (long: best bid, short: best ask) within `steps` rows, -1 if it first loses
-    `stop` or both fall on one row, else 0. The tail's windows are shorter."""
+    `stop` or both fall on one row, else 0. The tail's windows are shorter. One list a row, of the frame's mids, so the plan does not
+    grow with `steps`."""
     entry = F.col("bid_px_01" if side == "long" else "ask_px_01")
-    path = F.array(*(F.lead("mid_px", k).over(over) for k in range(1, steps + 1)))
-    gain = (lambda m: (m - entry) / tick) if side == "long" else (lambda m: (entry - m) / tick)
+    path = F.collect_list(F.struct("mid_px")).over(over.rowsBetween(1, steps))
+    gain = (lambda m: (m["mid_px"] - entry) / tick) if side == "long" else (lambda m: (entry - m["mid_px"]) / tick)
     first = lambda test: F.array_position(F.transform(path, lambda m: F.coalesce(test(gain(m)), F.lit(False))), True)
     tp, sl = first(lambda g: g >= take), first(lambda g: g <= -stop)
     return F.when((tp > 0) & ((sl == 0) | (tp < sl)), 1).when(sl > 0, -1).otherwise(0)

@@ -12,15 +12,45 @@ from pyspark.sql import functions as F
 from ..functions.timewin import SECOND
 
 
-def excursions(df: DataFrame, horizon_s: int, tick: float, mid: str = "mid_px", by: Sequence[str] = ("inst_id",)) -> DataFrame:
+def excursions(df: DataFrame, horizon_s: int, tick: float, mid: str = "mid_px", by: Sequence[str] = ("inst_id",), key: str = "event_id", bucket_s: int | None = None) -> DataFrame:
     """df with mfe_long, mae_long (greatest gain and loss in ticks over the rows in (t, t + H], at least 0; a short's are swapped)
-    and complete (t + H is not after the last row). Times of an instrument must be distinct for ties to count once."""
-    frame = Window.partitionBy(*by).orderBy("ts_us").rangeBetween(1, horizon_s * SECOND)
-    x = F.col(mid)
-    up, down = (F.max(mid).over(frame) - x) / tick, (x - F.min(mid).over(frame)) / tick
-    zero = F.lit(0.0)
-    complete = F.col("ts_us") + horizon_s * SECOND <= F.max("ts_us").over(Window.partitionBy(*by))
-    return df.withColumns({"mfe_long": F.greatest(F.coalesce(up, zero), zero), "mae_long": F.greatest(F.coalesce(down, zero), zero), "complete": complete})
+    and complete (t + H is not after the last row). `key` tells rows of one instrument apart.
+
+    Rows are dealt by time buckets with a halo of one horizon, and a frame's extremes are read off two overlapping blocks of a
+    doubling table, so neither an instrument nor a long horizon is one task's or one row's work.
+    """
+    step, reach = (bucket_s or max(4 * horizon_s, 86400)) * SECOND, horizon_s * SECOND
+    own = F.floor(F.col("ts_us") / step)
+    rows = df.select(*by, F.col(key).alias("__key"), "ts_us", F.col(mid).cast("double").alias("__mid"), own.alias("__own"))
+    rows = rows.withColumn("__b", F.explode(F.sequence(F.floor((F.col("ts_us") - reach) / step), own)))
+    names = [f"__by{i}" for i in range(len(by))]
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts_us", kind="stable")
+        ts, x = pdf["ts_us"].to_numpy(), pdf["__mid"].to_numpy(float)
+        anchors = np.flatnonzero((pdf["__own"] == pdf["__b"]).to_numpy())
+        out = pdf.iloc[anchors][[*by, "__key"]].set_axis([*names, "__k"], axis=1)
+        begin, end = np.searchsorted(ts, ts[anchors], "right"), np.searchsorted(ts, ts[anchors] + reach, "right")
+        size = end - begin
+        level = np.where(size > 0, np.frexp(np.maximum(size, 1))[1] - 1, 0)
+        for name, sign in (("__hi", 1.0), ("__lo", -1.0)):
+            best, last = np.full(len(anchors), np.nan), sign * x
+            for j in range(int(level.max(initial=0)) + 1):
+                at = np.flatnonzero((level == j) & (size > 0))
+                best[at] = np.fmax(last[begin[at]], last[end[at] - (1 << j)])
+                w = 1 << j
+                last = np.fmax(last, np.r_[last[w:], np.full(min(w, len(x)), np.nan)][: len(x)])
+            out[name] = sign * best
+        return out
+
+    parts = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, by, strict=True))
+    found = rows.groupBy(*by, "__b").applyInPandas(scan, f"{parts}, __k {df.schema[key].dataType.simpleString()}, __hi double, __lo double")
+    ends = df.groupBy(*(F.col(c).alias(f"__end{i}") for i, c in enumerate(by))).agg(F.max("ts_us").alias("__last"))
+    joined = df.join(found, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)] + [F.col(key) == F.col("__k")], "left")
+    joined = joined.join(ends, [F.col(c).eqNullSafe(F.col(f"__end{i}")) for i, c in enumerate(by)], "left")
+    x, zero, whole = F.col(mid), F.lit(0.0), lambda c: F.when(~F.isnan(c), F.col(c))
+    ticks = lambda d: F.greatest(F.coalesce(d / tick, zero), zero)
+    return joined.select(*(F.col(c) for c in df.columns), ticks(whole("__hi") - x).alias("mfe_long"), ticks(x - whole("__lo")).alias("mae_long"), (F.col("ts_us") + reach <= F.col("__last")).alias("complete"))
 
 
 def first_passage(df: DataFrame, horizon_s: int, tick: float, ticks: Sequence[float], mid: str = "mid_px", key: str = "event_id", by: Sequence[str] = ("inst_id",), bucket_s: int | None = None) -> DataFrame:
@@ -78,7 +108,7 @@ def passage_targets(df: DataFrame, horizon_s: int, tick: float, thresholds: Sequ
     keep NULL targets."""
     levels = sorted({*thresholds, *adverse})
     passed = first_passage(df, horizon_s, tick, levels, key=key).withColumnRenamed(key, "__k2").withColumnRenamed("inst_id", "__i2")
-    found = excursions(df, horizon_s, tick)
+    found = excursions(df, horizon_s, tick, key=key)
     found = found.join(passed, (found["inst_id"] == passed["__i2"]) & (found[key] == passed["__k2"])).drop("__i2", "__k2")
     h = f"within_{horizon_s}s"
     out = {
@@ -98,6 +128,64 @@ def passage_targets(df: DataFrame, horizon_s: int, tick: float, thresholds: Sequ
     return found.select(*df.columns, *(F.when(F.col("complete"), c).cast("float").alias(n) for n, c in out.items()))
 
 
+def targets_dataset(
+    df: DataFrame, tick: float, horizons_s: Sequence[int], thresholds: Sequence[int], pairs: Sequence[tuple[int, int]] = (),
+    step_rows: int = 1, drop_incomplete: bool = True, key: str = "event_id",
+) -> DataFrame:
+    """Excursions, hits, symmetric and paired (target, adverse) first-hit targets of every horizon at each instrument's rows 0, step,
+    2 step, ...; a row whose window is not whole for any horizon goes, or keeps NULL in that horizon's targets.
+
+    First passages are found once, for the longest horizon: a shorter one's hits are those that come in time.
+    """
+    for name, values in (("tick", [tick]), ("horizons_s", horizons_s), ("thresholds", thresholds), ("step_rows", [step_rows]), ("pairs", [x for p in pairs for x in p] or [1])):
+        if not values or any(not x > 0 for x in values):
+            raise ValueError(f"{name} must be positive and not empty: {values!r}")
+    over = Window.partitionBy("inst_id").orderBy("ts_us", key)
+    anchors = df.withColumn("__n", F.row_number().over(over) - 1)
+    passed = first_passage(df, max(horizons_s), tick, sorted({*thresholds, *(x for p in pairs for x in p)}), key=key)
+    waits = [c for c in passed.columns if c not in ("inst_id", key)]
+    rows = anchors.join(passed.select(F.col("inst_id").alias("__i"), F.col(key).alias("__k"), *waits), F.col("inst_id").eqNullSafe(F.col("__i")) & (F.col(key) == F.col("__k"))).drop("__i", "__k")
+    out, whole = {}, []
+    for h in horizons_s:
+        rows = excursions(rows, h, tick, key=key).withColumnsRenamed({c: f"__{c}_{h}" for c in ("mfe_long", "mae_long", "complete")})
+        mfe, mae, fits, w = F.col(f"__mfe_long_{h}"), F.col(f"__mae_long_{h}"), F.col(f"__complete_{h}"), f"within_{h}s"
+        in_time = lambda c, h=h: F.when(F.col(c) <= h * SECOND, F.col(c))
+        first = lambda a, b: F.coalesce(in_time(a).isNotNull() & (in_time(b).isNull() | (F.col(a) < F.col(b))), F.lit(False))
+        found = {f"long_max_favorable_excursion_ticks_{w}": mfe, f"long_max_adverse_excursion_ticks_{w}": mae, f"short_max_favorable_excursion_ticks_{w}": mae, f"short_max_adverse_excursion_ticks_{w}": mfe}
+        for k in thresholds:
+            found |= {f"long_hit_up_{k}t_{w}": in_time(f"up_{k}").isNotNull(), f"short_hit_down_{k}t_{w}": in_time(f"down_{k}").isNotNull()}
+            found |= {f"long_hit_up_{k}t_before_down_{w}": first(f"up_{k}", f"down_{k}"), f"short_hit_down_{k}t_before_up_{w}": first(f"down_{k}", f"up_{k}")}
+        for k, a in pairs:
+            found |= {f"long_hit_up_{k}t_before_down_{a}t_{w}": first(f"up_{k}", f"down_{a}"), f"short_hit_down_{k}t_before_up_{a}t_{w}": first(f"down_{k}", f"up_{a}")}
+        out |= {n: F.when(fits, c.cast("float")) for n, c in found.items()}
+        whole.append(fits)
+    rows = rows.where(F.col("__n") % step_rows == 0)
+    if drop_incomplete:
+        for fits in whole:
+            rows = rows.where(fits)
+    return rows.select(*df.columns, *(c.alias(n) for n, c in out.items()))
+
+
+def half_pairs(thresholds: Sequence[int], shares: Sequence[float] = (0.5, 0.75)) -> list[tuple[int, int]]:
+    """(target, adverse) pairs whose adverse move is each share of the target, rounded down."""
+    return [(k, int(s * k)) for s in shares for k in thresholds]
+
+
+def tp_sl_times(df: DataFrame, take: int, stop: int, horizon_s: int, tick: float, key: str = "event_id") -> DataFrame:
+    """(inst_id, key, outcome, t_tp_s, t_sl_s, target, stop, timeout): 1 if the mid gains `take` ticks before it loses `stop`, -1 if not before,
+    0 if neither is reached in time; the seconds to both; the outcome as three flags."""
+    passed = first_passage(df, horizon_s, tick, sorted({take, stop}), key=key)
+    tp, sl = F.col(f"up_{take}"), F.col(f"down_{stop}")
+    outcome = F.when(tp.isNotNull() & (sl.isNull() | (tp < sl)), 1).when(sl.isNotNull(), -1).otherwise(0)
+    rows = passed.select("inst_id", key, outcome.alias("outcome"), (tp / SECOND).alias("t_tp_s"), (sl / SECOND).alias("t_sl_s"))
+    return rows.withColumns(outcome_flags("outcome"))
+
+
+def outcome_flags(outcome: str) -> dict[str, object]:
+    """target, stop and timeout; an unknown outcome is none of them."""
+    return {n: F.coalesce(F.col(outcome) == v, F.lit(False)).cast("int") for n, v in (("target", 1), ("stop", -1), ("timeout", 0))}
+
+
 def target_summary(df: DataFrame, binary: Sequence[str], excursion: Sequence[str]) -> DataFrame:
     """A row a target: kind, share of ones or mean, std, min, median, max."""
     parts = []

@@ -556,7 +556,7 @@ _NAMES = ["long_hit_up_300t_before_down_150t_within_60s", "short_hit_down_300t_b
 )
 def target_name_parse(spark, d):
     rows = spark.createDataFrame([(n,) for n in _NAMES], "name string")
-    return rows.withColumns(names.target_fields(F.col("name")))
+    return rows.withColumns(names.pattern_fields(F.col("name")))
 
 
 @query("SELECT inst_id, ts_us, max((l_orderkey, l_linenumber, l_partkey))[1] AS l_orderkey FROM daily GROUP BY ALL", "daily")
@@ -589,3 +589,6 @@ def modeling_dataset(spark, d):
 def snapshot_choice(spark, d):
     rows = V.daily(spark, d).withColumnRenamed("l_orderkey", "snapshot_id")
     return one_snapshot_id(rows).groupBy("inst_id", "ts_us", "snapshot_id").agg(F.count("*").alias("n"))
+
+
+from . import more_queries  # noqa: E402, F401  registers its queries in QUERIES and ORACLE_SQL

@@ -15,11 +15,12 @@ _LEVELS = ", ".join(
 )
 _BOOK = f"SELECT inst_id, ts_us, event_id, value, {_LEVELS} FROM t"
 _MID = "SELECT *, (bid_px_01 + ask_px_01) / 2e0 AS mid_px, ask_px_01 - bid_px_01 AS spread_px FROM b"
-_DELTA = (
-    "CAST(user_id % 4 AS {text}) AS inst_id, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, "
-    "CASE WHEN event_id % 2 = 0 THEN 1e2 - (k % 30) / 1e1 ELSE 1e2 + (k % 30 + 1) / 1e1 END AS price, "
-    "CASE WHEN event_type = 'error' THEN 0e0 ELSE CAST(floor(value) AS DOUBLE) + 1 END AS size"
+_DELTA_PARTS = (
+    "CAST(user_id % 4 AS {text})", "event_id", "CASE WHEN event_id % 2 = 0 THEN 'bid' ELSE 'ask' END",
+    "CASE WHEN event_id % 2 = 0 THEN 1e2 - (k % 30) / 1e1 ELSE 1e2 + (k % 30 + 1) / 1e1 END",
+    "CASE WHEN event_type = 'error' THEN 0e0 ELSE CAST(floor(value) AS DOUBLE) + 1 END",
 )
+_DELTA = ", ".join(f"{x} AS {n}" for x, n in zip(_DELTA_PARTS, ("inst_id", "seq", "side", "price", "size"), strict=True))
 
 #: Common table expressions of DuckDB by name.
 CTE = {
@@ -63,8 +64,8 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).withColumn("ts_us", F.expr(_micros("ts")))
-    e.createOrReplaceTempView("tickloom_delta_source")
-    return spark.sql("SELECT ts_us, " + _DELTA.format(text="STRING") + " FROM tickloom_delta_source")
+    inst, seq, side, price, size = (_DELTA_PARTS[i].format(text="STRING") for i in range(5))
+    return e.select("ts_us", F.expr(inst).alias("inst_id"), F.expr(seq).alias("seq"), F.expr(side).alias("side"), F.expr(price).alias("price"), F.expr(size).alias("size"))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schema import DEPTH, book_columns, require
+
 #: Columns of the scans.
 TRADE_COLUMNS = ("inst_id", "trade_id", "ts_event", "ts_ingest", "price", "size", "side")
 MARK_PRICE_COLUMNS = ("inst_id", "ts_event", "ts_ingest", "mark_px")
@@ -28,8 +32,47 @@ def jdbc_table(spark: SparkSession, url: str, schema: str, table: str, partition
     return reader.load()
 
 
-def postgres_url(host: str = "localhost", port: int = 5432, database: str = "postgres") -> str:
-    return f"jdbc:postgresql://{host}:{port}/{database}"
+def postgres_url(host: str | None = None, port: int | str | None = None, database: str | None = None, user: str | None = None, password: str | None = None) -> tuple[str, dict[str, str]]:
+    """(JDBC URL, options with user and password); what is not given comes from PGHOST, PGPORT, PGDATABASE, PGUSER and PGPASSWORD."""
+    take = lambda x, name, default=None: x if x is not None else os.environ.get(name, default)
+    url = f"jdbc:postgresql://{take(host, 'PGHOST', 'localhost')}:{take(port, 'PGPORT', 5432)}/{take(database, 'PGDATABASE', 'postgres')}"
+    return url, {k: v for k, v in (("user", take(user, "PGUSER")), ("password", take(password, "PGPASSWORD"))) if v is not None}
+
+
+def snapshot_scan(df: DataFrame, inst_id: str, start=None, end=None, depth: int = DEPTH) -> DataFrame:
+    """Wide snapshots of an instrument, both bounds in, in time order; raises if a column of the contract is missing."""
+    require(df, ["inst_id", "ts_event", *book_columns(depth)])
+    return scan(df, inst_id, start, end, columns=["inst_id", "ts_event", *book_columns(depth)]).orderBy("ts_event")
+
+
+def renamed_time(df: DataFrame, time_col: str) -> DataFrame:
+    return df if time_col == "ts_event" else df.withColumnRenamed(time_col, "ts_event")
+
+
+def core_updates(df: DataFrame, inst_id: str, start=None, end=None, time_col: str = "ts_event", price_col: str = "price", size_col: str = "size") -> DataFrame:
+    """(ts_event, side, price, size) of an instrument's updates, both bounds in."""
+    return scan(df, inst_id, start, end, time_col).select(F.col(time_col).alias("ts_event"), "side", F.col(price_col).alias("price"), F.col(size_col).alias("size"))
+
+
+def update_stats(df: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    """(inst_id, n, first_us, last_us) of the updates in [start, end]: what a scan would read."""
+    return presence(df.where(F.col("ts_us").between(start_us, end_us)))
+
+
+def anchor_rows(snapshots: DataFrame, at: Column, strict: bool = True, by: Sequence[str] = ("inst_id",), time_col: str = "ts_us") -> DataFrame:
+    """All rows (levels) of the last snapshot before `at` (strict) or at it too: a grouped maximum and a join with it."""
+    near = snapshots.where(F.col(time_col) < at if strict else F.col(time_col) <= at)
+    last = near.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.max(time_col).alias("__last"))
+    on = [F.col(c) == F.col(f"__{c}") for c in by] + [F.col(time_col) == F.col("__last")]
+    return near.join(last, on).select(*snapshots.columns)
+
+
+def snapshot_at(snapshots: DataFrame, inst_id: str, at_us: int, time_col: str = "ts_us") -> DataFrame:
+    """The rows of an instrument's snapshot at exactly this time; FileNotFoundError if there is none."""
+    found = snapshots.where((F.col("inst_id") == inst_id) & (F.col(time_col) == at_us))
+    if found.isEmpty():
+        raise FileNotFoundError(f"no snapshot of {inst_id} at {at_us}")
+    return found
 
 
 def scan(df: DataFrame, inst_id: str | None = None, start=None, end=None, time_col: str = "ts_event", columns: Sequence[str] | None = None, closed: bool = True) -> DataFrame:
@@ -77,10 +120,54 @@ def read_book(spark: SparkSession, path: str, inst_id: str, start_us: int, end_u
     return df.where(F.col("mode") == mode) if mode else df
 
 
+#: The end of a shard's file name: <date>_<HH-MM-SS>__<date>_<HH-MM-SS>.parquet
+SHARD_NAME = r"_(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})__(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})\.parquet$"
+
+
 def shard_bounds(name: Column) -> tuple[Column, Column]:
-    """(start, end) stamps of a shard's file name ..._<start>__<end>.parquet; empty if it has none."""
-    pattern = r"_(\d{8}T\d{6}|\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}Z?)__(\d{8}T\d{6}|\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}Z?)\.parquet$"
-    return F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)
+    """(start, end) of a shard's file name as timestamps without a zone (UTC); NULL if it names none."""
+    part = lambda i: F.try_to_timestamp(F.nullif(F.regexp_extract(name, SHARD_NAME, i), F.lit("")), F.lit("yyyy-MM-dd_HH-mm-ss")).cast("timestamp_ntz")
+    return part(1), part(2)
+
+
+def shard_overlaps(lo: Column, hi: Column, start: Column, end: Column, closed: bool = True) -> Column:
+    """Whether [lo, hi] meets [start, end]; not closed: touching ends do not count."""
+    return (lo <= end) & (hi >= start) if closed else (lo < end) & (hi > start)
+
+
+def read_shards(spark: SparkSession, directory: str, inst_id: str, start_us: int, end_us: int, prefix: str = "book_grid100ms") -> DataFrame:
+    """Rows in [start, end] of an instrument's hourly shards <prefix>_<inst>_<start>__<end>.parquet, only files that overlap are read.
+
+    Names are listed through Hadoop's file system, so any store will do; rows of the time that two shards share come once.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    stamp = lambda t: int(datetime.strptime(t, "%Y-%m-%d_%H-%M-%S").replace(tzinfo=timezone.utc).timestamp()) * 1_000_000
+    keep = []
+    for name in sorted(s.getPath().getName() for s in status):
+        m = re.search(SHARD_NAME, name)
+        if m and name.startswith(f"{prefix}_{inst_id}_2") and stamp(m[1]) <= end_us and stamp(m[2]) >= start_us:
+            keep.append(f"{directory.rstrip('/')}/{name}")
+    if not keep:
+        raise FileNotFoundError(f"no shard of {inst_id} in {directory} overlaps")
+    return spark.read.parquet(*keep).where(F.col("ts_us").between(start_us, end_us)).dropDuplicates(["inst_id", "ts_us"])
+
+
+def overlapping_bounds(df: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    """(file, lo, hi) of the files of df whose own times overlap the range, for files whose names tell nothing."""
+    per = df.groupBy(F.input_file_name().alias("file")).agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
+    return per.where(shard_overlaps(F.col("lo"), F.col("hi"), F.lit(start_us), F.lit(end_us)))
+
+
+def export_sample(df: DataFrame, inst_id: str, path: str, start=None, end=None, depth: int = DEPTH) -> None:
+    snapshot_scan(df, inst_id, start, end, depth).write.mode("overwrite").parquet(path)
+
+
+def markdown_table(df: DataFrame, most: int = 1000) -> str:
+    """A report (bounded: at most `most` rows) as a Markdown table."""
+    cell = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
+    rows = [[cell(v) for v in r] for r in df.limit(most).collect()]
+    return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["-"] * len(df.columns), *rows])
 
 
 def presence(df: DataFrame, by: Sequence[str] = ("inst_id",), time_col: str = "ts_us") -> DataFrame:
