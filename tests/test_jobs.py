@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import names
+from tickloom.functions.timewin import value_sums, with_average_rank_pct
 from tickloom.operators import book as B
 from tickloom.operators import eda, evaluate, labels, passage
 from tickloom.schema import book_columns
@@ -134,3 +135,34 @@ def test_models(spark):
 def test_first_shard_with_a_tick(spark):
     df = spark.createDataFrame([("a", "s1", None), ("a", "s2", 0.1), ("a", "s3", 0.2)], "inst_id string, shard string, tick double")
     assert [tuple(r) for r in eda.first_with_tick(df).collect()] == [("a", "s2", 0.1)]
+
+
+def test_sums_and_ranks_over_values(spark):
+    values = [None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0] + [float(i % 37) - 5 for i in range(400)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    key = lambda v: (v != v, 0.0 if v != v else v)  # noqa: E731  NaN is the highest
+    known = [v for v in values if v is not None]
+
+    def want(v):
+        below, equal = sum(key(x) < key(v) for x in known), sum(key(x) == key(v) for x in known)
+        return (below + (equal + 1) / 2) / len(known)
+
+    got = {r.i: r.pct for r in with_average_rank_pct(rows, "v").collect()}
+    assert got.keys() == set(range(len(values))) and got[0] is None
+    assert all(abs(got[i] - want(v)) < 1e-12 for i, v in enumerate(values) if v is not None)
+    per = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    for descending in (False, True):
+        out = value_sums(per, "v", ["n"], descending, buckets=8).collect()
+        for r in out:
+            assert r.cum_n == sum(q.n for q in out if (key(q.v) >= key(r.v) if descending else key(q.v) <= key(r.v)))
+    assert with_average_rank_pct(rows.where("false"), "v").count() == 0
+
+
+def test_top_precision_with_missing_scores_and_ties(spark):
+    data = [(i, [None, 0.2, 0.9, 0.9][i % 4], int(i % 3 == 0)) for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, s double, y int")
+    order = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    for share in (0.0, 0.1, 0.3, 0.6, 0.9, 1.0):
+        k = max(1, int(40 * share))
+        r = evaluate.top_precision(df, "y", "s", share).first()
+        assert (r.n, round(r.precision, 9)) == (k, round(sum(y for *_, y in order[:k]) / k, 9))

@@ -73,6 +73,28 @@ def prefix_sums(df: DataFrame, columns: Sequence[str], by: Sequence[str] = BY, o
     return summed.select(*df.columns, *((F.coalesce(f"__s_{c}", F.lit(0)) + F.col(f"__o_{c}")).alias(f"cum_{c}") for c in columns))
 
 
+def value_sums(df: DataFrame, key: str, columns: Sequence[str], descending: bool = False, buckets: int = 64) -> DataFrame:
+    """df, one row a value of the numeric `key`, with cum_<c>: the sum of c over the rows up to and with this one in the order of key.
+
+    Rows are dealt into buckets between approximate quantiles of key (fewer than `buckets` numbers, taken to the driver as constants, so
+    every use of them agrees); each bucket is summed by itself and its offset comes from the totals, one row a bucket. NULL keys must be gone.
+    """
+    edges = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.5 / buckets)))
+
+    def place(low: int, high: int) -> Column:  # how many edges lie below key, by halving
+        middle = (low + high) // 2
+        return F.lit(low) if low == high else F.when(F.col(key) > edges[middle], place(middle + 1, high)).otherwise(place(low, middle))
+
+    dealt = df.withColumn("__b", place(0, len(edges)))
+    totals = dealt.groupBy("__b").agg(*(F.sum(c).alias(f"__t_{c}") for c in columns))
+    side = F.desc if descending else F.asc
+    before = Window.orderBy(side("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__b", *(F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in columns))
+    own = Window.partitionBy("__b").orderBy(side(key)).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.select("*", *(F.sum(c).over(own).alias(f"__s_{c}") for c in columns)).join(F.broadcast(offsets), "__b")
+    return summed.select(*df.columns, *((F.coalesce(f"__s_{c}", F.lit(0)) + F.col(f"__o_{c}")).alias(f"cum_{c}") for c in columns))
+
+
 def past_start(df: DataFrame, seconds: float, value: Column, out: str = "start", by: Sequence[str] = BY) -> DataFrame:
     """df with `out`: value at the first row whose time is at or after ts - seconds; NULL if the instrument's first row is later."""
     w = int(seconds * SECOND)
@@ -120,3 +142,12 @@ def average_rank_pct(column: str, by: Sequence[str] = ()) -> Column:
     rank = F.rank().over(here.orderBy(column))
     peers = F.count("*").over(Window.partitionBy(*by, column))
     return F.when(F.col(column).isNotNull(), (rank + (peers - 1) / 2) / F.count("*").over(here))
+
+
+def with_average_rank_pct(df: DataFrame, column: str, out: str = "pct") -> DataFrame:
+    """df with average_rank_pct over the whole table. Values are counted first, then joined back, so no task ranks the whole table."""
+    per = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__k")).agg(F.count("*").alias("__n"))
+    total = per.agg(F.sum("__n").alias("__all"))
+    ranks = value_sums(per, "__k", ["__n"]).crossJoin(F.broadcast(total))
+    ranks = ranks.select("__k", ((F.col("cum___n") - (F.col("__n") - 1) / 2) / F.col("__all")).alias("__pct"))
+    return df.join(ranks, F.col(column) == F.col("__k"), "left").select(*df.columns, F.col("__pct").alias(out))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.timewin import value_sums
+
 
 def _share(hit: Column, among: Column) -> Column:
     return F.coalesce(F.avg(F.when(among, F.coalesce(hit, F.lit(False)).cast("int"))), F.lit(0.0))
@@ -63,11 +65,9 @@ def reliability(df: DataFrame, y: str, score: str, bins: int = 10) -> DataFrame:
 
 
 def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
-    """A row a distinct score: positives, negatives, and both at or above it. What is sorted in one place are distinct scores;
-    callers with unbounded ones round them first."""
+    """A row a distinct score: positives, negatives, and both at or above it."""
     per = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("s"))
-    return per.select("s", "pos", "n", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("above"))
+    return value_sums(per, "s", ["pos", "n"], descending=True).withColumnsRenamed({"cum_pos": "tp", "cum_n": "above"})
 
 
 def ranking_metrics(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -124,11 +124,13 @@ def top_precision(df: DataFrame, y: str, score: str, share: float = 0.1, tie: st
     """Precision of the max(1, floor(share * n)) highest scores. The cut is found by counts a distinct score; only rows at the cut's own
     score are ranked by `tie`, so no task holds the top tenth of the table."""
     per = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
-    k = F.greatest(F.lit(1), F.floor(F.sum("n").over(Window.partitionBy()) * share))
-    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc_nulls_last("s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = per.select("s", k.alias("k"), above.alias("above"), "n").where("above < k and above + n >= k").select(F.col("s").alias("__s"), (F.col("k") - F.col("above")).alias("__left"))
+    total = per.agg(F.sum("n").alias("all"))
+    unscored = per.where("s is null").crossJoin(F.broadcast(total)).select("s", "n", F.col("all").alias("cum_n"))  # NULLs come last
+    summed = value_sums(per.where("s is not null"), "s", ["n"], descending=True).unionByName(unscored).crossJoin(F.broadcast(total))
+    cut = summed.withColumns({"k": F.greatest(F.lit(1), F.floor(F.col("all") * share)), "above": F.col("cum_n") - F.col("n")})
+    cut = cut.where("above < k and cum_n >= k").select(F.col("s").alias("__s"), (F.col("k") - F.col("above")).alias("__left"))
     rows = df.crossJoin(F.broadcast(cut))
-    sure = rows.where(F.col(score) > F.col("__s")).agg(F.count("*").alias("n"), F.sum(y).alias("hits"))
+    sure = rows.where((F.col(score) > F.col("__s")) | (F.col("__s").isNull() & F.col(score).isNotNull())).agg(F.count("*").alias("n"), F.sum(y).alias("hits"))
     at = rows.where(F.col(score).eqNullSafe(F.col("__s"))).withColumn("__r", F.row_number().over(Window.partitionBy("__s").orderBy(tie)))
     edge = at.where("__r <= __left").agg(F.count("*").alias("n"), F.sum(y).alias("hits"))
     return sure.unionByName(edge).agg(F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("precision"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, rowwise
 from ..functions.bins import fixed_bin, histogram, quantile_bin, tercile_bucket
-from ..functions.timewin import SECOND, asof, average_rank_pct, ordered, run_length
+from ..functions.timewin import SECOND, asof, average_rank_pct, ordered, run_length, with_average_rank_pct
 from ..operators import assemble, book as B, evaluate, labels, passage, stats
 from ..schema import DEPTH, levels
 from ..sources import deltas as deltas_source
@@ -481,6 +481,11 @@ def pct_rank_ties(spark, d):
     return V.daily(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "value", F.round(average_rank_pct("value", ("inst_id",)), 9).alias("pct"))
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, value, round((rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2e0) / count(*) OVER (), 9) AS pct FROM daily", "daily")
+def pct_rank_whole_table(spark, d):
+    return with_average_rank_pct(V.daily(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "value"), "value").withColumn("pct", F.round("pct", 9))
+
+
 @query("WITH n AS (SELECT *, row_number() OVER (ORDER BY ts_us, event_id) - 1 AS p, count(*) OVER () AS n FROM ticks) SELECT event_id, CASE WHEN p < floor(n * 0.7::DOUBLE) THEN 'train' WHEN p < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'valid' ELSE 'test' END AS split FROM n", "ticks")
 def time_split(spark, d):
     return evaluate.time_split(V.ticks(spark, d), ("ts_us", "event_id")).select("event_id", "split")
