@@ -485,3 +485,46 @@ def _baseline_sql() -> str:
 def baseline_sums(spark, d):
     names_ = [f"{c}_h{ms}" for ms in _LOOK for c in ("mid_return", "spread_change", "bid_sz_01_change", "ask_sz_01_change", "mid_range_ticks", "mid_changes")]
     return _sums(assemble.baseline_features(V.book(spark, d), TICK, 100), names_)
+
+
+_MOVES = (500, 1000, 3000, 5000, 10000)
+_PRICES = {"mid": "mid_px", "bid": "bid_px_01", "ask": "ask_px_01"}
+_EXITS = {f"tp_sl_{side}_tp{a}_sl{b}_h1000": (side, a, b) for side in ("long", "short") for a in (2, 3) for b in (2, 3)}
+
+
+def _modeling_columns() -> dict[str, str]:
+    """Each target of the modelling table over rows with f<h>_<price>, the price after h ms, and path, the mids of the next second."""
+    out = {}
+    for h in _MOVES:
+        for name, c in _PRICES.items():
+            move = f"((f{h}_{name} - {c}) / 0.1::DOUBLE)"
+            out |= {f"{name}_h{h}_move_ticks": move, f"{name}_h{h}_dir": f"CASE WHEN {move} > 0.5 THEN 1 WHEN {move} < -0.5 THEN -1 ELSE 0 END"}
+            out |= {f"{name}_h{h}_{way}_{n}t": f"coalesce({move} {test}{n}, false)::INT" for n in (1, 2, 3) for way, test in (("up", ">= "), ("down", "<= -"))}
+        for side, entry, leave, gain in (("long", "bid_px_01", f"f{h}_ask", f"(f{h}_ask - bid_px_01)"), ("short", "ask_px_01", f"f{h}_bid", f"(ask_px_01 - f{h}_bid)")):
+            gross, cost = f"{gain} / 0.1::DOUBLE", f"({entry} * 0.0002::DOUBLE + {leave} * 0.0007::DOUBLE) / 0.1::DOUBLE"
+            out |= {f"gross_profitable_{side}_h{h}": f"coalesce({gross} >= 1, false)::INT", f"net_profitable_{side}_h{h}": f"coalesce({gross} - {cost} >= 0, false)::INT"}
+        out |= {f"{kind}_profitable_any_h{h}": f"greatest({out[f'{kind}_profitable_long_h{h}']}, {out[f'{kind}_profitable_short_h{h}']})" for kind in ("gross", "net")}
+    for name, (side, take, stop) in _EXITS.items():
+        gain = "(m - bid_px_01) / 0.1::DOUBLE" if side == "long" else "(ask_px_01 - m) / 0.1::DOUBLE"
+        tp, sl = (f"coalesce(list_position(list_transform(path, lambda m: coalesce({gain} {test}, false)), true), 0)" for test in (f">= {take}", f"<= -{stop}"))
+        out[name] = f"CASE WHEN {tp} > 0 AND ({sl} = 0 OR {tp} < {sl}) THEN 1 WHEN {sl} > 0 THEN -1 ELSE 0 END"
+    return out
+
+
+def _modeling_sql() -> str:
+    future = ", ".join(f"lead({c}, {h // 100}) OVER w AS f{h}_{name}" for h in _MOVES for name, c in _PRICES.items())
+    back = ", ".join(f"{_D('mid_px', ms // 100)} / nullif(lag(mid_px, {ms // 100}) OVER w, 0) AS mid_return_h{ms}, {_D('spread_px', ms // 100)} / 0.1::DOUBLE AS spread_ticks_change_h{ms}" for ms in _LOOK)
+    known = " AND ".join(f"f{h}_{name} IS NOT NULL AND {c} IS NOT NULL" for h in _MOVES for name, c in _PRICES.items())
+    named = _modeling_columns()
+    kept = [*named, *(f"{c}_h{ms}" for ms in _LOOK for c in ("mid_return", "spread_ticks_change"))]
+    return (
+        f"WITH f AS (SELECT *, {future}, {back}, list(mid_px) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS path FROM book {_F}), o AS (SELECT f.*, {', '.join(f'{v} AS {k}' for k, v in named.items())} FROM f WHERE {known}) "
+        f"SELECT inst_id, count(*) AS n, {', '.join(f'round(sum({c})::DOUBLE, 2) AS {c}' for c in kept)} FROM o GROUP BY inst_id"
+    )
+
+
+@query(_modeling_sql(), "book")
+def modeling_sums(spark, d):
+    """Every target of the modelling table at its default horizons, look-backs and exits."""
+    kept = [*_modeling_columns(), *(f"{c}_h{ms}" for ms in _LOOK for c in ("mid_return", "spread_ticks_change"))]
+    return _sums(assemble.modeling_dataset(V.book(spark, d)), kept)
