@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import with_quantiles
 from ..functions.timewin import SECOND
 from ..schema import DEPTH, SIDES, level
 
@@ -267,10 +268,14 @@ def sanity_counters(points: DataFrame) -> DataFrame:
 
 def validation_summary(points: DataFrame) -> DataFrame:
     rate = lambda c: F.avg(F.col(c).cast("int"))
-    return points.agg(
+    worst_of = ("max_px_diff", "max_sz_diff")
+    found = points.agg(
         F.count("*").alias("n"), rate("top1_bid_match").alias("bid_match_rate"), rate("top1_ask_match").alias("ask_match_rate"),
-        *(f(c).alias(f"{n}_{c}") for c in ("max_px_diff", "max_sz_diff") for n, f in (("avg", F.avg), ("p95", lambda x: F.percentile(x, 0.95)), ("max", F.max))),
+        *(f(c).alias(f"{n}_{c}") for c in worst_of for n, f in (("avg", F.avg), ("max", F.max))),
     )
+    for c in worst_of:
+        found = with_quantiles(found, F.col(c), [0.95], out=f"__{c}", of=points)
+    return found.select("n", "bid_match_rate", "ask_match_rate", *(x for c in worst_of for x in (F.col(f"avg_{c}"), F.col(f"__{c}")[0].alias(f"p95_{c}"), F.col(f"max_{c}"))))
 
 
 def worst(points: DataFrame, k: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rowwise as R
 from ..functions.bins import quantile_bin
+from ..functions.quantiles import quantiles, with_quantiles
 from ..functions.timewin import SECOND, ordered
 from ..schema import ratio
 from .stats import long_form
@@ -81,7 +82,7 @@ def persistence_seconds(df: DataFrame, condition: Column, out: str, most: float
     """df with `out`: rows of the current run of true conditions times the instrument's median gap in seconds, `most` at most."""
     over = ordered(order=order)
     gap = (F.col("ts_us") - F.lag("ts_us").over(over)) / SECOND
-    dt = df.select("inst_id", gap.alias("g")).groupBy(F.col("inst_id").alias("__i")).agg(F.percentile("g", 0.5).alias("__dt"))
+    dt = quantiles(df.select(F.col("inst_id").alias("__i"), gap.alias("g")), F.col("g"), [0.5], ["__i"]).select("__i", F.col("q")[0].alias("__dt"))
     hit = F.coalesce(condition, F.lit(False))
     rows = df.withColumn("__h", hit).withColumn("__g", F.sum(F.when(F.col("__h"), 0).otherwise(1)).over(over.rowsBetween(Window.unboundedPreceding, 0)))
     run = F.count_if("__h").over(Window.partitionBy("inst_id", "__g").orderBy(*order))
@@ -128,9 +129,9 @@ def trim_lookback(df: DataFrame, column: str) -> DataFrame:
 
 def shocks(df: DataFrame, depth_change: str, imbalance: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """df with liquidity_shock (depth change at or below its `low` quantile) and imbalance_spike (abs at or above its `high` one)."""
-    q = df.agg(F.percentile(depth_change, low).alias("__lo"), F.percentile(F.abs(F.col(imbalance)), high).alias("__hi"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    return df.crossJoin(F.broadcast(q)).withColumns({"liquidity_shock": flag(F.col(depth_change) <= F.col("__lo")), "imbalance_spike": flag(F.abs(F.col(imbalance)) >= F.col("__hi"))}).drop("__lo", "__hi")
+    rows = with_quantiles(with_quantiles(df, F.col(depth_change), [low], out="__lo"), F.abs(F.col(imbalance)), [high], out="__hi", of=df)
+    return rows.withColumns({"liquidity_shock": flag(F.col(depth_change) <= F.col("__lo")[0]), "imbalance_spike": flag(F.abs(F.col(imbalance)) >= F.col("__hi")[0])}).drop("__lo", "__hi")
 
 
 def level_heat(long_rows: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def level_heat(long_rows: DataFrame) -> DataFrame:
 def pivot_2d(df: DataFrame, a: str, b: str, y: str, q: int = 5, least: int = 10) -> DataFrame:
     """Mean of y by quantile bins of a (rows) and b (columns b0 ...); empty for under `least` rows with all three known."""
     known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(y).isNotNull())
-    binned = quantile_bin(quantile_bin(known, a, "bin_a", q), b, "bin_b", q)
+    binned = quantile_bin(quantile_bin(known, a, "bin_a", q), b, "bin_b", q, of=known)
     n = known.agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
     wide = binned.groupBy("bin_a").pivot("bin_b", list(range(q))).agg(F.avg(y))
     return wide.crossJoin(F.broadcast(n)).select("bin_a", *(F.col(str(i)).alias(f"b{i}") for i in range(q)))
@@ -162,15 +163,14 @@ def basic_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def market_stats(df: DataFrame, returns: str) -> DataFrame:
     """Per instrument: rows, first and last time, mean mid and spread, and the 1, 50 and 99 % quantiles of the returns."""
-    q = F.percentile(returns, [0.01, 0.5, 0.99])
-    return df.groupBy("inst_id").agg(
-        F.count("*").alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.avg("mid_px").alias("mean_mid"), F.avg("spread_px").alias("mean_spread"), q.alias("__q")
-    ).select("inst_id", "n", "first_us", "last_us", "mean_mid", "mean_spread", *(F.col("__q")[i].alias(f"ret_{n}") for i, n in enumerate(("p01", "p50", "p99"))))
+    found = df.groupBy("inst_id").agg(F.count("*").alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.avg("mid_px").alias("mean_mid"), F.avg("spread_px").alias("mean_spread"))
+    return with_quantiles(found, F.col(returns), [0.01, 0.5, 0.99], ["inst_id"], "__q", df).select("inst_id", "n", "first_us", "last_us", "mean_mid", "mean_spread", *(F.col("__q")[i].alias(f"ret_{n}") for i, n in enumerate(("p01", "p50", "p99"))))
 
 
 def regime_summary(df: DataFrame, regime: str, wait_us: str) -> DataFrame:
     """Per regime: rows, share that reach the target, and the median wait in seconds of those."""
-    return df.groupBy(regime).agg(F.count("*").alias("n"), F.avg(F.col(wait_us).isNotNull().cast("int")).alias("share"), (F.percentile(wait_us, 0.5) / SECOND).alias("median_s"))
+    found = df.groupBy(regime).agg(F.count("*").alias("n"), F.avg(F.col(wait_us).isNotNull().cast("int")).alias("share"))
+    return with_quantiles(found, F.col(wait_us), [0.5], [regime], "__q", df).select(regime, "n", "share", (F.col("__q")[0] / SECOND).alias("median_s"))
 
 
 def group_summary(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:

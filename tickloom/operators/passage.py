@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import with_quantiles
 from ..functions.timewin import SECOND
 
 
@@ -192,9 +193,8 @@ def target_summary(df: DataFrame, binary: Sequence[str], excursion: Sequence[str
     for kind, names in (("binary", binary), ("excursion", excursion)):
         if names:
             items = F.array(*(F.struct(F.lit(n).alias("target"), F.col(n).cast("double").alias("x")) for n in names))
-            parts.append(
-                df.select(F.explode(items).alias("i")).groupBy("i.target").agg(
-                    F.lit(kind).alias("kind"), F.avg("i.x").alias("mean"), F.stddev_samp("i.x").alias("std"), F.min("i.x").alias("min"), F.percentile("i.x", 0.5).alias("median"), F.max("i.x").alias("max")
-                )
-            )
+            rows = df.select(F.explode(items).alias("i")).select("i.*")
+            found = rows.groupBy("target").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+            found = with_quantiles(found, F.col("x"), [0.5], ["target"], "__q", rows)
+            parts.append(found.select("target", F.lit(kind).alias("kind"), "mean", "std", "min", F.col("__q")[0].alias("median"), "max"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

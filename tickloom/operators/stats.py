@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles, with_quantiles
 from ..functions.timewin import SECOND, ordered
 
 
@@ -27,10 +28,9 @@ def diagnostics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def feature_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return long_form(df, columns).groupBy("feature").agg(
-        (F.avg(F.col("x").isNull().cast("int")) * 100).alias("null_pct"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.percentile("x", 0.5).alias("median"), F.max("x").alias("max"),
-    )
+    rows = long_form(df, columns)
+    found = rows.groupBy("feature").agg((F.avg(F.col("x").isNull().cast("int")) * 100).alias("null_pct"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return with_quantiles(found, F.col("x"), [0.5], ["feature"], "__q", rows).select("feature", "null_pct", "mean", "std", "min", F.col("__q")[0].alias("median"), "max")
 
 
 def book_quality(df: DataFrame, sizes: Sequence[str], by: Sequence[str] = ("inst_id",)) -> DataFrame:
@@ -53,16 +53,17 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 def gap_stats(df: DataFrame, limits_s: Sequence[float], by: Sequence[str] = ("inst_id",)) -> DataFrame:
     gap = (F.col("ts_us") - F.lag("ts_us").over(ordered())) / SECOND
-    return df.withColumn("gap", gap).groupBy(*by).agg(
-        F.percentile("gap", 0.5).alias("median_gap"), F.percentile("gap", 0.95).alias("p95_gap"), *(F.avg(F.when(F.col("gap").isNotNull(), (F.col("gap") > s).cast("int"))).alias(f"share_over_{s:g}") for s in limits_s)
-    )
+    rows = df.select(*by, gap.alias("gap"))
+    shares = {f"share_over_{s:g}": F.avg(F.when(F.col("gap").isNotNull(), (F.col("gap") > s).cast("int"))) for s in limits_s}
+    found = rows.groupBy(*by).agg(F.count("*").alias("__n"), *(c.alias(n) for n, c in shares.items()))
+    return with_quantiles(found, F.col("gap"), [0.5, 0.95], by, "__q", rows).select(*by, F.col("__q")[0].alias("median_gap"), F.col("__q")[1].alias("p95_gap"), *shares)
 
 
 def tick_size(df: DataFrame, price: str, by: Sequence[str] = ("inst_id",), low: float = 0.01) -> DataFrame:
     """(by, tick): the most frequent (least of equals) positive step between rows, of those at or below their `low` quantile; to 8 places."""
     step = F.bround(F.abs(F.col(price) - F.lag(price).over(ordered())), 8)
     steps = df.select(*by, step.alias("step")).where("step > 0").groupBy(*by, "step").agg(F.count("*").alias("n"))
-    limit = steps.groupBy(*by).agg(F.percentile("step", low, F.col("n")).alias("q"))
+    limit = quantiles(steps, F.col("step"), [low], by, weight=F.col("n")).withColumn("q", F.col("q")[0])
     best = Window.partitionBy(*by).orderBy(F.desc("n"), "step")
     return steps.join(limit, list(by)).where("step <= q").withColumn("__r", F.row_number().over(best)).where("__r = 1").select(*by, F.col("step").alias("tick"))
 
@@ -71,7 +72,7 @@ def tick_size_levels(df: DataFrame, price: str, by: Sequence[str] = ("inst_id",)
     """(by, tick): the least difference between neighbouring distinct prices (to 8 places) at or above their `low` quantile."""
     prices = df.select(*by, F.bround(price, 8).alias("p")).distinct()
     step = prices.withColumn("d", F.bround(F.col("p") - F.lag("p").over(Window.partitionBy(*by).orderBy("p")), 8)).where("d > 0")
-    limit = step.groupBy(*by).agg(F.percentile("d", low).alias("q"))
+    limit = quantiles(step, F.col("d"), [low], by).withColumn("q", F.col("q")[0])
     return step.join(limit, list(by)).where("d >= q").groupBy(*by).agg(F.min("d").alias("tick"))
 
 
@@ -101,13 +102,13 @@ def conditional_probabilities(df: DataFrame, conditions: dict[str, Column], targ
 
 def extreme_events(df: DataFrame, column: str, quantile: float, values: Sequence[str]) -> DataFrame:
     """Rows with abs(column) at or above its quantile: their number and the means of values. The quantile is one broadcast row."""
-    q = df.agg(F.percentile(F.abs(F.col(column)), quantile).alias("q"))
-    return df.crossJoin(F.broadcast(q)).where(F.abs(F.col(column)) >= F.col("q")).agg(F.count("*").alias("n"), *(F.avg(v).alias(f"mean_{v}") for v in values))
+    rows = with_quantiles(df, F.abs(F.col(column)), [quantile], out="__q")
+    return rows.where(F.abs(F.col(column)) >= F.col("__q")[0]).agg(F.count("*").alias("n"), *(F.avg(v).alias(f"mean_{v}") for v in values))
 
 
 def median_regimes(df: DataFrame, column: str, low: str = "low", high: str = "high", out: str = "regime") -> DataFrame:
-    q = df.agg(F.percentile(column, 0.5).alias("__q"))
-    return df.crossJoin(F.broadcast(q)).withColumn(out, F.when(F.col(column) <= F.col("__q"), low).when(F.col(column) > F.col("__q"), high)).drop("__q")
+    middle = F.col("__q")[0]
+    return with_quantiles(df, F.col(column), [0.5], out="__q").withColumn(out, F.when(F.col(column) <= middle, low).when(F.col(column) > middle, high)).drop("__q")
 
 
 def regime_stats(df: DataFrame, regime: str, value: str) -> DataFrame:
@@ -143,6 +144,6 @@ def reach_table(df: DataFrame, waits: Sequence[str], horizons_s: Sequence[int])
 
 
 def passage_summary(df: DataFrame, waits: Sequence[str]) -> DataFrame:
-    return long_form(df, waits).groupBy("feature").agg(
-        F.avg(F.col("x").isNotNull().cast("int")).alias("share"), *((F.percentile("x", q) / SECOND).alias(f"p{round(100 * q)}_s") for q in (0.5, 0.75, 0.9))
-    )
+    rows, points = long_form(df, waits), (0.5, 0.75, 0.9)
+    found = rows.groupBy("feature").agg(F.avg(F.col("x").isNotNull().cast("int")).alias("share"))
+    return with_quantiles(found, F.col("x"), points, ["feature"], "__q", rows).select("feature", "share", *((F.col("__q")[i] / SECOND).alias(f"p{round(100 * p)}_s") for i, p in enumerate(points)))
