@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -19,6 +19,34 @@ def with_rn(df: DataFrame, by: Sequence[str] = BY, order: Sequence[str] = ORDER)
     return df.withColumn("rn", F.row_number().over(ordered(by, order)).cast("bigint"))
 
 
+def numbered(df: DataFrame, by: Sequence[str] = BY, order: Sequence[str] = ORDER, out: str = "rn", bucket: int = 3600 * SECOND) -> DataFrame:
+    """with_rn (as column `out`), counted within time buckets whose offsets come from their totals, so one instrument is not one task. order must be unique in
+    an instrument if runs are to agree. Rows without a time are one bucket, the first."""
+    dealt = df.withColumn("__b", F.coalesce(F.floor(F.col(order[0]) / bucket), F.lit(-(1 << 62))))
+    before = Window.partitionBy(*(f"__k{i}" for i in range(len(by)))).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(by)), F.col("__b").alias("__c")).agg(F.count("*").alias("__t"))
+    offsets = totals.withColumn("__o", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)]
+    rn = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order)) + F.col("__o")
+    return dealt.join(offsets, [*same, F.col("__b") == F.col("__c")]).select(*df.columns, rn.cast("bigint").alias(out))
+
+
+def in_row_blocks(
+    df: DataFrame, build: Callable[[DataFrame, WindowSpec], DataFrame], before: int = 0, after: int = 0, by: Sequence[str] = BY, order: Sequence[str] = ORDER, block: int = 1 << 16
+) -> DataFrame:
+    """build(rows, window): columns that look at most `before` rows back and `after` rows ahead, over blocks of an instrument's consecutive
+    rows instead of all of them. A block gets so many rows of its neighbours, which are dropped after build."""
+    block = max(block, 2 * before, 2 * after)
+    rows = numbered(df, by, order, "__rn")
+    own, place = F.floor((F.col("__rn") - 1) / block), F.pmod(F.col("__rn") - 1, F.lit(block))
+    near = [F.struct(own.alias("b"), F.lit(True).alias("own"))]
+    near += [F.when(place >= block - before, F.struct((own + 1).alias("b"), F.lit(False).alias("own")))] if before else []
+    near += [F.when(place < after, F.struct((own - 1).alias("b"), F.lit(False).alias("own")))] if after else []
+    dealt = rows.withColumn("__d", F.explode(F.array_compact(F.array(*near)))).withColumns({"__blk": F.col("__d.b"), "__own": F.col("__d.own")}).drop("__d")
+    built = build(dealt, Window.partitionBy(*by, "__blk").orderBy("__rn"))
+    return built.where("__own").drop("__rn", "__blk", "__own")
+
+
 def full_frame(agg: Column, over: WindowSpec, rows: int, value: Column | None = None) -> Column:
     """agg over the last `rows` rows, NULL until there are as many (values, if one is given)."""
     frame = over.rowsBetween(1 - rows, 0)

@@ -6,19 +6,27 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import rowwise as R
 from ..functions.bins import tercile_buckets
-from ..functions.timewin import SECOND, full_frame, ordered, past_starts, prefix_sums, with_rn
+from ..functions.timewin import SECOND, full_frame, in_row_blocks, ordered, past_starts, prefix_sums, with_rn
 from ..schema import DEPTH, levels, ratio, safe_divide
 from .labels import Fees, direction_targets, future_values, profit_targets, tp_sl_label
 
 
 def baseline_features(df: DataFrame, tick: float, grid_ms: int, lookbacks_ms: Sequence[int] = (100, 500, 1000, 5000), depth: int = DEPTH) -> DataFrame:
-    """Row-wise features, then lags, ranges, volatility and mid changes over ceil(lookback / grid) rows of an instrument."""
-    w = ordered()
+    """Row-wise features, then lags, ranges, volatility and mid changes over ceil(lookback / grid) rows of an instrument, dealt in blocks."""
+    return in_row_blocks(df, lambda rows, w: _baseline(rows, w, tick, grid_ms, lookbacks_ms, depth), before=_rows_back(grid_ms, lookbacks_ms))
+
+
+def _rows_back(grid_ms: int, lookbacks_ms: Sequence[int]) -> int:
+    """Rows before its own that a feature sees: the longest look-back and the step into its first row."""
+    return max((ceil(ms / grid_ms) for ms in lookbacks_ms), default=0) + 1
+
+
+def _baseline(df: DataFrame, w: WindowSpec, tick: float, grid_ms: int, lookbacks_ms: Sequence[int], depth: int = DEPTH) -> DataFrame:
     first = {"spread": R.spread(), "relative_spread": R.relative_spread(), "microprice": R.microprice()}
     first |= {f"imbalance_top{k}": R.imbalance(k) for k in (1, 3, 5, depth)} | {f"{s}_volume_top{k}": R.top_volume(s, k) for s in ("bid", "ask") for k in (1, 3, 5, depth)}
     first |= R.best_distances(tick) | R.signed_distances(tick, depth) | R.cumulative_depth(depth)
@@ -118,22 +126,35 @@ class ModelingConfig:
 
 def modeling_dataset(df: DataFrame, config: ModelingConfig = ModelingConfig()) -> DataFrame:
     """Baseline features, direction and profit targets of each horizon and take-profit / stop-loss labels; rows whose moves are not all
-    known are dropped. Columns are added in one plan, never joined by position."""
-    rows = baseline_features(df, config.tick, config.grid_ms, config.lookbacks_ms)
-    names = []
+    known are dropped. Columns are added in one plan, never joined by position. With shift, all of them are one pass over blocks of rows."""
+    back, ahead = _rows_back(config.grid_ms, config.lookbacks_ms), max((ceil(ms / config.grid_ms) for ms in (*config.horizons_ms, *config.holding_ms)), default=0)
+    names = [f"{price}_h{ms}_move_ticks" for ms in config.horizons_ms for price in ("mid", "bid", "ask")]
+    if config.method == "shift":
+        both = lambda rows, w: _exits(_moves(_baseline(rows, w, config.tick, config.grid_ms, config.lookbacks_ms), config, w), config, w)
+        return in_row_blocks(df, both, back, ahead).dropna(subset=names)
+    rows = _moves(baseline_features(df, config.tick, config.grid_ms, config.lookbacks_ms), config)
+    return in_row_blocks(rows, lambda r, w: _exits(r, config, w), after=ahead).dropna(subset=names)
+
+
+def _moves(rows: DataFrame, config: ModelingConfig, over: WindowSpec | None = None) -> DataFrame:
+    """Direction and profit targets of each horizon."""
     for ms in config.horizons_ms:
-        rows = future_values(rows, ["mid_px", "bid_px_01", "ask_px_01"], ms, config.grid_ms, config.method)
+        rows = future_values(rows, ["mid_px", "bid_px_01", "ask_px_01"], ms, config.grid_ms, config.method, over)
         targets = {}
         for name, column in (("mid", "mid_px"), ("bid", "bid_px_01"), ("ask", "ask_px_01")):
             targets |= direction_targets(f"{name}_h{ms}", column, f"future_{column}", config.tick)
         targets |= {f"{k}_h{ms}": v for k, v in profit_targets(config.tick, fees=config.fees).items()}
-        names += [n for n in targets if n.endswith("_move_ticks")]
         rows = rows.withColumns(targets).drop("future_mid_px", "future_bid_px_01", "future_ask_px_01", "exact_match")
+    return rows
+
+
+def _exits(rows: DataFrame, config: ModelingConfig, over: WindowSpec) -> DataFrame:
+    """Take-profit / stop-loss labels."""
     for ms in config.holding_ms:
         steps = ceil(ms / config.grid_ms)
-        labels = {f"tp_sl_{side}_tp{a}_sl{b}_h{ms}": tp_sl_label(side, config.tick, a, b, steps, ordered()) for side in ("long", "short") for a in config.take_profit_ticks for b in config.stop_loss_ticks}
+        labels = {f"tp_sl_{side}_tp{a}_sl{b}_h{ms}": tp_sl_label(side, config.tick, a, b, steps, over) for side in ("long", "short") for a in config.take_profit_ticks for b in config.stop_loss_ticks}
         rows = rows.withColumns(labels)
-    return rows.dropna(subset=names)
+    return rows
 
 
 def metadata(df: DataFrame, config: ModelingConfig) -> dict:

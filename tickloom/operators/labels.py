@@ -37,12 +37,13 @@ def grid_regularity(df: DataFrame, grid_us: int, by: tuple[str, ...] = ("inst_id
     return found.withColumn("regular", F.coalesce(F.col("share") >= least, F.lit(False)))
 
 
-def future_values(df: DataFrame, columns: list[str], horizon_ms: int, grid_ms: int, method: str = "auto") -> DataFrame:
+def future_values(df: DataFrame, columns: list[str], horizon_ms: int, grid_ms: int, method: str = "auto", over: WindowSpec | None = None) -> DataFrame:
     """df with future_<c>: after ceil(horizon / grid) rows (shift), or at the first row at or after ts + horizon (nearest_forward, with
-    exact_match). auto takes shift for instruments whose times lie on the grid, nearest_forward for the others."""
+    exact_match). auto takes shift for instruments whose times lie on the grid, nearest_forward for the others.
+    over: the window of shift, if df is dealt in blocks of rows."""
     k = max(1, ceil(horizon_ms / grid_ms))
     if method == "shift":
-        return df.select("*", *(F.lead(c, k).over(ordered()).alias(f"future_{c}") for c in columns))
+        return df.select("*", *(F.lead(c, k).over(over or ordered()).alias(f"future_{c}") for c in columns))
     if method == "auto":
         on_grid = grid_regularity(df, grid_ms * 1000).select(F.col("inst_id").alias("__i"), F.col("regular").alias("__regular"))
         both = future_values(df, columns, horizon_ms, grid_ms, "nearest_forward").join(on_grid, F.col("inst_id").eqNullSafe(F.col("__i")), "left").drop("__i")
