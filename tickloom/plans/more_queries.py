@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import names
+from ..functions import names, rowwise
 from ..functions.timewin import SECOND
 from ..operators import assemble, book as B, eda, evaluate, labels, passage, stats
 from ..schema import levels
@@ -528,3 +528,29 @@ def modeling_sums(spark, d):
     """Every target of the modelling table at its default horizons, look-backs and exits."""
     kept = [*_modeling_columns(), *(f"{c}_h{ms}" for ms in _LOOK for c in ("mid_return", "spread_ticks_change"))]
     return _sums(assemble.modeling_dataset(V.book(spark, d)), kept)
+
+
+def _curve(side: str) -> str:
+    """Mean second difference of a side's distances in ticks, over those that are known."""
+    d = [f"(mid_px - bid_px_{i:02d}) / 0.01::DOUBLE" if side == "bid" else f"(ask_px_{i:02d} - mid_px) / 0.01::DOUBLE" for i in range(1, 11)]
+    return "list_avg([" + ", ".join(f"{d[i + 2]} - 2 * ({d[i + 1]}) + {d[i]}" for i in range(8)) + "])"
+
+
+_SIZED = " AND ".join(f"coalesce({s}_sz_{i:02d} > 0, false)" for s in ("bid", "ask") for i in range(1, 11))
+
+
+@query(
+    f"""SELECT event_id, round((mid_px - bid_px_01) / 0.01::DOUBLE, 6) AS mid_to_bid_ticks, round((ask_px_01 - mid_px) / 0.01::DOUBLE, 6) AS mid_to_ask_ticks,
+      round((ask_px_01 - bid_px_01) / nullif((bid_px_01 + ask_px_01) / 2, 0) * 1e4, 6) AS spread_bps,
+      round(((bid_px_01 * ask_sz_01 + ask_px_01 * bid_sz_01) / nullif(bid_sz_01 + ask_sz_01, 0) - mid_px) / 0.01::DOUBLE, 6) + 0.0 AS microprice_minus_mid_ticks,
+      round({_curve("bid")}, 6) + 0.0 AS bid_convexity, round({_curve("ask")}, 6) + 0.0 AS ask_convexity, {_SIZED} AND coalesce(bid_px_01 < ask_px_01, false) AS valid FROM book""",
+    "book",
+)
+def touch_distances(spark, d):
+    out = rowwise.best_distances(TICK) | {f"{s}_convexity": rowwise.book_shape(s, TICK)[f"{s}_convexity"] for s in ("bid", "ask")}
+    return V.book(spark, d).select("event_id", *(F.round(c, 6).alias(n) for n, c in out.items()), rowwise.valid_book().alias("valid"))
+
+
+@query("SELECT inst_id, ts_us, min((l_orderkey, l_linenumber, l_partkey))[1] AS l_orderkey FROM daily GROUP BY ALL", "daily")
+def dedup_keep_first(spark, d):
+    return stats.dedup(V.daily(spark, d), ["inst_id", "ts_us"], ["l_orderkey", "l_linenumber", "l_partkey"], "first").select("inst_id", "ts_us", "l_orderkey")
