@@ -9,6 +9,7 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 #: The string that the vocabulary file holds as an added token: the library cuts texts there before all else.
@@ -140,6 +141,24 @@ def longest_space(text: str) -> int:
     return max((m.end() - m.start() for m in re.finditer(r"\s+", text)), default=0) if len(text) > LONG_SPACE else 0
 
 
+def id_encoder(path: str, dtype: str = "<u4") -> Callable[[str], bytes]:
+    """A function from a text to its ids by the byte-level BPE .json file at `path`, as bytes of `dtype`, without added tokens.
+
+    Ids are those of the tokenizers library: made by tiktoken from the file's own ranks, which takes a fifth of the time (the
+    tests hold the two equal), and by the library itself for texts with a white-space run of over LONG_SPACE characters."""
+    encoding, special = rank_encoding(path)
+
+    def wide(text: str) -> bytes:
+        if longest_space(text) > LONG_SPACE:
+            return np.array(library_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype).tobytes()
+        return encoding.encode_to_numpy(text, disallowed_special=()).astype(dtype, copy=False).tobytes()
+
+    if special is None:
+        return wide
+    mark = np.array([special], dtype).tobytes()
+    return lambda text: mark.join(map(wide, text.split(SPECIAL))) if SPECIAL in text else wide(text)  # the library cuts there first
+
+
 @lru_cache(2)
 def merge_ranks(path: str) -> dict[tuple[str, str], int]:
     with open(path, encoding="utf-8") as f:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import LONG_SPACE, SPECIAL, library_tokenizer, longest_space, rank_encoding
+from .bpe import id_encoder
 from .shared import docs_in
 
 
@@ -47,18 +46,7 @@ def pack(
         raise ValueError(f"max_len {max_len} is not a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, special = rank_encoding(vocabulary)
-
-        def wide(text: str) -> bytes:
-            long = longest_space(text) > LONG_SPACE
-            ids = library_tokenizer(vocabulary).encode(text, add_special_tokens=False).ids if long else encoding.encode_ordinary(text)
-            return struct.pack(f"<{len(ids)}I", *ids)
-
-        def ids_of(text: str) -> bytes:
-            if special is None or SPECIAL not in text:
-                return wide(text)
-            return special.to_bytes(4, "little").join(map(wide, text.split(SPECIAL)))  # the library cuts there before all else
-
+        ids_of = id_encoder(vocabulary)
         end, task = end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         seen = [0] * max_len.bit_length()
         for batch, texts in docs_in(batches, 1, 1 << 20):

@@ -1,4 +1,4 @@
-"""Queries of the ten operators over their whole tables, and their SQL where DuckDB can express it."""
+"""Queries of the operators over their whole tables, and their SQL where DuckDB can express it."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from .quality import score_quality
 from .shared import cut, drop_path, shared_path
 from .simhash import near_duplicates
 from .token_count import count_tokens
+from .token_records import record_starts, write_records
 from .toxicity import labelled_sample, score_toxicity, train_toxicity
 from .warc import read_archives, write_archives
 
@@ -83,9 +84,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"))
 
 
+def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = shared_path(spark, "tokens")
+    write_records(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), root, end_id=2).agg(F.sum("records")).first()
+    found = cut(record_starts(spark, root).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32", "shard", "offset"), "records")
+    drop_path(spark, root)
+    return found
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op3_toxicity, op4_embedding_dedup, op5_simhash, op6_mixing, op7_langid, op8_warc, op9_token_count, op10_quality)
+    for f in (op1_packing, op2_line_dedup, op3_toxicity, op4_embedding_dedup, op5_simhash, op6_mixing, op7_langid, op8_warc, op9_token_count, op10_quality, op11_token_records)
 }
 
 _MIX_SQL = """
