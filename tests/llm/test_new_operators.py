@@ -1,5 +1,6 @@
 """Token records, Merkle manifest and source divergence against brute force; damage, tampering, nulls, ties, odd columns, empty tables."""
 
+import hashlib
 import os
 import random
 import struct
@@ -8,7 +9,7 @@ import zlib
 import pytest
 from test_llm import BPE, HARD, docs, fuzz, prose
 
-from tickloom.llm import queries, shared, token_records
+from tickloom.llm import merkle, queries, shared, token_records
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +80,94 @@ def test_damaged_records_are_named(spark):
         f.write(bytes([byte[0] ^ 4]))
     with pytest.raises(Exception, match="shard-.*payload is damaged"):
         token_records.read_records(spark, root).collect()
+
+
+def joined(parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf_of(doc_id, text, lang, source, n_chars):
+    return joined("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (doc_id, source, lang, n_chars, text))
+
+
+def tree_of(nodes, arity=16):
+    """(root, (place, siblings) of each leaf level by level)"""
+    paths, members = [[] for _ in nodes], [[i] for i in range(len(nodes))]
+    while len(nodes) > 1:
+        above, held = [], []
+        for a in range(0, len(nodes), arity):
+            run = nodes[a : a + arity]
+            for k in range(len(run)):
+                for i in members[a + k]:
+                    paths[i].append((k, run[:k] + run[k + 1 :]))
+            above.append(joined(run))
+            held.append([i for m in members[a : a + arity] for i in m])
+        nodes, members = above, held
+    return nodes[0], paths
+
+
+def manifest_brute(rows, tampered=lambda r: r, arity=16):
+    by = {}
+    for r in rows:
+        by.setdefault(r[3], []).append(r)
+    order = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    own = [sorted(by[s], key=lambda r: (r[0] is not None, r[0] or 0, leaf_of(*r))) for s in order]
+    trees = [tree_of([leaf_of(*r) for r in rs], arity) for rs in own]
+    root, tops = tree_of([t[0] for t in trees], arity)
+    out = []
+    for rs, (subroot, paths), top in zip(own, trees, tops, strict=True):
+        for r, path in zip(rs, paths, strict=True):
+            x = leaf_of(*tampered(r))
+            for place, siblings in path + top:
+                x = joined([*siblings[:place], x, *siblings[place:]])
+            out.append((r[0], leaf_of(*r), subroot, root, joined(d for _, s in path + top for d in s), x, x == root))
+    return out
+
+
+def lower_az(r):
+    if r[0] is None or r[1] is None or zlib.crc32(str(r[0]).encode()) % 5:
+        return r
+    return (r[0], "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r[1]), *r[2:])
+
+
+def merkle_rows(sizes, seed=3):
+    rng, rows = random.Random(seed), []
+    for source, n in sizes.items():
+        rows += [(rng.randrange(10**6), rng.choice([None, "", "Ab É", prose(rng, 5).title()]), rng.choice([None, "en"]), source, rng.choice([None, 7])) for _ in range(n)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(
+    "sizes",
+    [{"a": 1}, {None: 16}, {"a": 17}, {"a": 1, "b": 1}, {"b": 300, None: 1, "a": 16, "é": 273, "": 2}, {f"s{i}": 1 + i % 3 for i in range(40)}],
+    ids=str,
+)
+def test_op12_query(spark, tmp_path, sizes):
+    rows = merkle_rows(sizes)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, queries.op12_merkle(spark, str(tmp_path)).collect()))
+    assert got == sorted(manifest_brute(rows, lower_az))
+    assert len(rows) < 40 or not all(r[-1] for r in got)
+
+
+def test_merkle_of_odd_rows(spark, monkeypatch):
+    rows = merkle_rows({"a": 40, "b": 9})
+    rows = [(None, *r[1:]) for r in rows[:9]] + [rows[9]] * 6 + rows[15:]
+    df = spark.createDataFrame(rows, "id long, text string, lang string, source string, n_chars long")
+    leaf = merkle.record_digest(*(df[c] for c in ("id", "source", "lang", "n_chars", "text")))
+    leaves = df.select("id", "source", leaf.alias("leaf"), df["text"].alias("s"), df["text"].alias("tree"), df["text"].alias("spread"), df["text"].alias("a.b"))
+    for arity, most in ((2, 1 << 18), (3, 4)):
+        monkeypatch.setattr(merkle, "OPEN_CHILDREN", most)
+        found, held = merkle.merkle_manifest(leaves, arity)
+        got = merkle.fold_proofs(found, arity=arity)
+        assert {"s", "tree", "spread", "a.b"} < set(got.columns)
+        got = got.collect()
+        shared.drop_cuts(*held)
+        want = manifest_brute(rows, arity=arity)
+        key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+        assert sorted(((r.id, *(bytes(x).hex() for x in (r.leaf, r.subroot, r.root, r.proof_sha256, r.folded)), True) for r in got), key=key) == sorted(want, key=key)
+    found, held = merkle.merkle_manifest(leaves.where("false"))
+    assert found.count() == 0
+    with pytest.raises(ValueError):
+        merkle.fold(b"0" * 32, [], b"1" * 32)

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from .embedding_dedup import near_vectors
 from .langid import detect_language, train_languages
 from .line_dedup import dedup_passages
+from .merkle import fold_proofs, merkle_manifest, record_digest
 from .mixing import mix
 from .packing import pack
 from .quality import score_quality
-from .shared import cut, drop_path, shared_path
+from .shared import cut, drop_cuts, drop_path, shared_path
 from .simhash import near_duplicates
 from .token_count import count_tokens
 from .token_records import record_starts, write_records
@@ -92,9 +93,28 @@ def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf, tampered = record_digest(*values, F.col("text")), record_digest(*values, F.translate("text", upper, upper.lower()))
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = docs.select(F.col("doc_id").alias("id"), "source", leaf.alias("leaf"), F.when(changed, tampered).alias("tampered"))
+    rows, held = merkle_manifest(leaves)
+    found = fold_proofs(rows.withColumn("tampered", F.coalesce("tampered", "leaf")), "tampered")
+    text = lambda c: F.lower(F.hex(c))
+    found = found.select(
+        F.col("id").alias("doc_id"), *(text(c).alias(c) for c in ("leaf", "subroot", "root", "proof_sha256")), text("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+    found = cut(found, "manifest")
+    drop_cuts(*held)
+    return found
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op3_toxicity, op4_embedding_dedup, op5_simhash, op6_mixing, op7_langid, op8_warc, op9_token_count, op10_quality, op11_token_records)
+    for f in (op1_packing, op2_line_dedup, op3_toxicity, op4_embedding_dedup, op5_simhash, op6_mixing, op7_langid, op8_warc, op9_token_count, op10_quality, op11_token_records, op12_merkle)
 }
 
 _MIX_SQL = """
