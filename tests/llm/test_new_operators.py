@@ -3,13 +3,16 @@
 import hashlib
 import os
 import random
+import re
 import struct
 import zlib
+from collections import Counter
 
+import duckdb
 import pytest
 from test_llm import BPE, HARD, docs, fuzz, prose
 
-from tickloom.llm import merkle, queries, shared, token_records
+from tickloom.llm import divergence, merkle, queries, shared, token_records
 
 
 @pytest.fixture(scope="module")
@@ -171,3 +174,52 @@ def test_merkle_of_odd_rows(spark, monkeypatch):
     assert found.count() == 0
     with pytest.raises(ValueError):
         merkle.fold(b"0" * 32, [], b"1" * 32)
+
+
+def divergence_brute(rows):
+    """Rows (text, lang, source) to (lang, source, part, item, value, rank)."""
+    words = lambda t: ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t)]
+    docs = [(lang or "", source or "", words(text or "")) for text, lang, source in rows]
+    out = []
+    for lang in {d[0] for d in docs}:
+        own = [d for d in docs if d[0] == lang]
+        held = Counter(w for d in own for w in set(d[2]))
+        kept = sorted(w for w, n in held.items() if n >= 3)
+        among = Counter(w for d in own for w in d[2] if held[w] >= 3)
+        counts = {s: Counter(w for d in own if d[1] == s for w in d[2] if held[w] >= 3) for s in {d[1] for d in own}}
+
+        def share(c, w, v=len(kept)):
+            return 1 + 10**9 * (c[w] + 1) // (c.total() + v)
+
+        far = lambda p, q: (p - q) ** 2 // q
+        for s, c in counts.items():
+            pairs = [(sum(far(share(c, w), share(d, w)) for w in kept), t) for t, d in counts.items() if t != s]
+            terms = [(far(share(c, w), share(among, w)), w) for w in kept if c[w] and share(c, w) > share(among, w)]
+            for part, found, most in (("pair", pairs, None), ("term", terms, 200)):
+                found.sort(key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, item, value, i + 1) for i, (value, item) in enumerate(found[:most])]
+    return out
+
+
+def test_op13_query(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(prose(rng, 40, 900).replace("w", rng.choice("wWé")).translate({ord(str(i)): x for i, x in enumerate("abcdefghij")}), rng.choice(["en", "de", None, ""]), rng.choice(["a", "b", "c", None, "é"])) for _ in range(500)]
+    rows += [("x " * 4000, "en", "a"), (None, "fr", "a"), ("", "fr", "b"), ("only Two", "fr", "c"), ("only two", "fr", "c"), ("1 2 _ [] `", "it", None)]
+    rows += [("Éa ÉA éa a\x00b c\x7fd e@f 中文 x", "es", s) for s in ("a", "a", "b", "b")] + [rows[0]] * 5
+    df = spark.createDataFrame([(i % 7, *r, 1) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op13_divergence(spark, str(tmp_path)).select("lang", "source", "part", "item", "value", "rank").collect()
+    want = sorted(divergence_brute(rows))
+    assert sorted(map(tuple, got)) == want and {r[5] for r in want} >= {200} and ("fr", "a", "pair", "b", 0, 1) in want
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    made = db.execute(queries.ORACLE_SQL["op13_divergence"])
+    names = [c[0] for c in made.description]
+    assert sorted(tuple(r[names.index(c)] for c in ("lang", "source", "part", "item", "value", "rank")) for r in made.fetchall()) == want
+
+
+def test_divergence_of_odd_columns(spark):
+    df = spark.createDataFrame([("a b", "en", "x", 1), ("a c", "en", "x", 2), ("a", "en", "y", 3)], "`t.t` string, `l l` string, `n` string, term int").selectExpr("*", "1 as value", "2 as salt", "3 as source")
+    got = divergence.source_divergence(df, lang_col="l l", source_col="n", text_col="t.t")
+    assert sorted(map(tuple, got.collect())) == sorted(divergence_brute([("a b", "en", "x"), ("a c", "en", "x"), ("a", "en", "y")]))
+    assert divergence.source_divergence(df.where("false"), lang_col="l l", source_col="n", text_col="t.t").count() == 0

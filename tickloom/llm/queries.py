@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .divergence import source_divergence
 from .embedding_dedup import near_vectors
 from .langid import detect_language, train_languages
 from .line_dedup import dedup_passages
@@ -112,9 +113,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op3_toxicity, op4_embedding_dedup, op5_simhash, op6_mixing, op7_langid, op8_warc, op9_token_count, op10_quality, op11_token_records, op12_merkle)
+    for f in (op1_packing, op2_line_dedup, op3_toxicity, op4_embedding_dedup, op5_simhash, op6_mixing, op7_langid, op8_warc, op9_token_count, op10_quality, op11_token_records, op12_merkle, op13_divergence)
 }
 
 _MIX_SQL = """
@@ -168,4 +173,34 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM embeddings JOIN parts ON vec_id = parts.a LEFT JOIN degree ON vec_id = degree.a
 """
 
-ORACLE_SQL = {"op4_embedding_dedup": _VECTOR_SQL, "op6_mixing": _MIX_SQL, "op8_warc": _WARC_SQL}
+_DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT row_no, lang, source,
+         translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT row_no) >= 3),
+langs AS (SELECT lang, sum(n) AS total, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+sized AS (SELECT g.lang, g.source, coalesce(sum(o.n), 0) AS total FROM groups g LEFT JOIN own o ON g.lang = o.lang AND g.source = o.source GROUP BY ALL),
+shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(o.n, 0) AS n,
+         (1 + (1000000000::HUGEINT * (coalesce(o.n, 0) + 1)) // (s.total + l.v))::HUGEINT AS p,
+         (1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v))::HUGEINT AS q
+  FROM sized s JOIN langs l ON s.lang = l.lang JOIN kept k ON s.lang = k.lang
+  LEFT JOIN own o ON o.lang = s.lang AND o.source = s.source AND o.term = k.term),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(a.value, 0)::BIGINT AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN apart a ON a.lang = g.lang AND a.source = g.source AND a.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE_SQL = {"op13_divergence": _DIVERGENCE_SQL, "op4_embedding_dedup": _VECTOR_SQL, "op6_mixing": _MIX_SQL, "op8_warc": _WARC_SQL}
