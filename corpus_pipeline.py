@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.line_dedup import dedup_lines
+from tickloom.llm.line_dedup import dedup_passages
 from tickloom.llm.mixing import mixed_documents
 from tickloom.llm.packing import pack
 from tickloom.llm.quality import keep_quality
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _sized(dedup_lines(docs))
+    return _sized(dedup_passages(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
