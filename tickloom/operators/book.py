@@ -196,12 +196,37 @@ def dry_run(snapshot_levels: DataFrame, deltas: DataFrame, ranges: list[tuple[in
     return a.join(d, ["start_us", "end_us", "inst_id"], "full").na.fill(0, ["n_snapshots", "n_deltas"])
 
 
-def reconstruct_job(snapshot_levels: DataFrame, deltas: DataFrame, path: str, ranges: list[tuple[int, int]], **options) -> None:
-    """Reconstruct and append chunk by chunk under `path` (Hive layout), each chunk one Spark job over all instruments."""
-    from ..sources.tables import write_book
+def reconstruct_job(snapshot_levels: DataFrame, deltas: DataFrame, path: str, ranges: list[tuple[int, int]], **options) -> DataFrame:
+    """Reconstruct chunk by chunk under `path` (write_chunk), each chunk one Spark job over all instruments; (start_us, end_us, inst_id, anchor_us,
+    n_deltas, n_rows, status) of every chunk and instrument, from the manifest under `path`.
+
+    A chunk is in the manifest once its rows are written. A job that was stopped goes on with the chunks that are not; what a stopped one left
+    of a chunk is replaced, so a second run gives the same rows. status: `written`, `no anchor` (no snapshot at or before the chunk's
+    start), `no deltas` (none in the chunk; its snapshots' books are written in mode grid or where the chunk has snapshots of its own).
+    Deltas before the earliest anchor of a chunk are not read.
+    """
+    from ..cuts import path_exists
+    from ..sources.tables import write_chunk
 
+    spark, manifest = deltas.sparkSession, f"{path.rstrip('/')}/_manifest"
+    shape = "start_us bigint, end_us bigint, inst_id string, anchor_us bigint, n_deltas bigint, n_rows bigint, status string"
+    name = lambda a, z: f"{a}-{z}"
     for a, z in ranges:
-        write_book(reconstruct_chunk(snapshot_levels, deltas, a, z, **options), path)
+        if path_exists(spark, f"{manifest}/chunk={name(a, z)}/_SUCCESS"):
+            continue
+        at = snapshot_levels.where(F.col("ts_us") <= z).groupBy("inst_id").agg(F.max(F.when(F.col("ts_us") <= a, F.col("ts_us"))).alias("anchor_us"))
+        first = at.agg(F.min("anchor_us")).first()[0]
+        if first is not None:
+            write_chunk(reconstruct_chunk(snapshot_levels.where(F.col("ts_us") >= first), deltas.where(F.col("ts_us") >= first), a, z, **options), path, name(a, z))
+            rows = spark.read.parquet(path).where(F.col("chunk") == name(a, z)).select(F.col("inst_id").cast("string").alias("inst_id"))
+        else:
+            rows = spark.createDataFrame([], "inst_id string")
+        own = deltas.where(F.col("ts_us").between(a, z)).groupBy("inst_id").agg(F.count("*").alias("n_deltas"))
+        found = at.join(own, "inst_id", "full").join(rows.groupBy("inst_id").agg(F.count("*").alias("n_rows")), "inst_id", "left").na.fill(0, ["n_deltas", "n_rows"])
+        status = F.when(F.col("anchor_us").isNull(), "no anchor").when(F.col("n_deltas") == 0, "no deltas").otherwise("written")
+        found = found.select(F.lit(a).cast("bigint").alias("start_us"), F.lit(z).cast("bigint").alias("end_us"), F.col("inst_id").cast("string"), "anchor_us", "n_deltas", "n_rows", status.alias("status"))
+        found.write.mode("overwrite").parquet(f"{manifest}/chunk={name(a, z)}")
+    return spark.read.schema(shape).parquet(*(f"{manifest}/chunk={name(a, z)}" for a, z in ranges)) if ranges else spark.createDataFrame([], shape)
 
 
 def compare_levels(real: DataFrame, rec: DataFrame, keys: tuple[str, ...] = ("inst_id", "ts_us"), tol: float = 1e-9) -> DataFrame:

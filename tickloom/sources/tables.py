@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
-from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEPTH, book_columns, require
+from .shards import choose
 
 #: Columns of the scans.
 TRADE_COLUMNS = ("inst_id", "trade_id", "ts_event", "ts_ingest", "price", "size", "side")
@@ -113,6 +113,16 @@ def write_book(df: DataFrame, path: str, mode: str = "append", compression: str
     )
 
 
+def write_chunk(df: DataFrame, path: str, chunk: str, compression: str = "snappy") -> None:
+    """{path}/inst_id=/mode=/date=/chunk=: write_book's layout with the chunk below, of which a second write replaces what the first left."""
+    (
+        df.withColumns({"mode": F.col("reconstruction_mode"), "date": F.to_date(F.timestamp_micros("ts_us")), "chunk": F.lit(chunk)})
+        .repartition("inst_id", "mode", "date").sortWithinPartitions("inst_id", "ts_us")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression)
+        .partitionBy("inst_id", "mode", "date", "chunk").parquet(path)
+    )
+
+
 def read_book(spark: SparkSession, path: str, inst_id: str, start_us: int, end_us: int, mode: str | None = None) -> DataFrame:
     day = lambda us: F.to_date(F.timestamp_micros(F.lit(us)))
     df = spark.read.parquet(path).where((F.col("inst_id") == inst_id) & F.col("date").between(day(start_us), day(end_us)))
@@ -135,22 +145,34 @@ def shard_overlaps(lo: Column, hi: Column, start: Column, end: Column, closed: b
     return (lo <= end) & (hi >= start) if closed else (lo < end) & (hi > start)
 
 
-def read_shards(spark: SparkSession, directory: str, inst_id: str, start_us: int, end_us: int, prefix: str = "book_grid100ms") -> DataFrame:
-    """Rows in [start, end] of an instrument's hourly shards <prefix>_<inst>_<start>__<end>.parquet, only files that overlap are read.
+def read_shards(spark: SparkSession, directory: str, inst_id: str, start_us: int, end_us: int, time_col: str = "ts_us", shared_edge: str = "once") -> DataFrame:
+    """Rows in [start, end] of an instrument's shards (sources/shards.py) anywhere below a folder; only shards that overlap are read.
 
-    Names are listed through Hadoop's file system, so any store will do; rows of the time that two shards share come once.
+    Names are listed through Hadoop's file system and shards read by Spark, so any store will do. Rows of equal time all stay; those of
+    the time at which two shards meet, which both hold, are taken from the later one (shared_edge `twice`: from both).
     """
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
-    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    stamp = lambda t: int(datetime.strptime(t, "%Y-%m-%d_%H-%M-%S").replace(tzinfo=timezone.utc).timestamp()) * 1_000_000
-    keep = []
-    for name in sorted(s.getPath().getName() for s in status):
-        m = re.search(SHARD_NAME, name)
-        if m and name.startswith(f"{prefix}_{inst_id}_2") and stamp(m[1]) <= end_us and stamp(m[2]) >= start_us:
-            keep.append(f"{directory.rstrip('/')}/{name}")
-    if not keep:
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed, folders = [], [path]
+    while folders:
+        for s in system.listStatus(folders.pop()):
+            if s.getPath().getName().endswith(".parquet"):
+                listed.append(s.getPath().toString())
+            elif s.isDirectory():
+                folders.append(s.getPath())
+    found = choose(listed, inst_id, start_us, end_us, shared_edge)
+    if not found:
         raise FileNotFoundError(f"no shard of {inst_id} in {directory} overlaps")
-    return spark.read.parquet(*keep).where(F.col("ts_us").between(start_us, end_us)).dropDuplicates(["inst_id", "ts_us"])
+    df = spark.read.parquet(*(s.path for s in found))
+    kind = dict(df.dtypes)[time_col]
+    micros = lambda c: F.expr(f"timestampadd(MICROSECOND, {c}, timestamp_ntz'1970-01-01 00:00:00')") if kind == "timestamp_ntz" else F.timestamp_micros(F.expr(c)) if kind == "timestamp" else F.expr(c)
+    at = lambda us: micros(f"{us}L")
+    kept = df.where(F.col(time_col).between(at(start_us), at(end_us)))  # a predicate on the column itself: row groups are pruned
+    if edges := [s.hi for s in found if s.open_end]:
+        end = F.to_timestamp_ntz(F.regexp_extract("_metadata.file_path", SHARD_NAME.replace("$", ""), 2), F.lit("yyyy-MM-dd_HH-mm-ss"))
+        named = kept.withColumn("__hi", F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), end))
+        kept = named.where(~(F.col("__hi").isin(edges) & F.col(time_col).eqNullSafe(micros("__hi")))).drop("__hi")
+    return kept
 
 
 def overlapping_bounds(df: DataFrame, start_us: int, end_us: int) -> DataFrame:
