@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -53,6 +54,32 @@ def full_frame(agg: Column, over: WindowSpec, rows: int, value: Column | None =
     return F.when(F.count(F.lit(1) if value is None else value).over(frame) >= rows, agg.over(frame))
 
 
+def carried_last(
+    df: DataFrame, valued: DataFrame, value: str, key: str, ties: Sequence[str], order: Sequence[Column], out: str, by: Sequence[str] = BY, back: bool = True, bucket: int = 3600 * SECOND
+) -> DataFrame:
+    """df with `out`: the last non-NULL `value` up to and with the row, in `order` within `by`; back: key ascends, else it descends.
+
+    A scan in two passes over buckets of `key`: the last value of each bucket, which is one row, is carried over the buckets that follow, and
+    rows then look within their own bucket first. No window sorts more than a bucket. valued: the rows of df with a value, with `key` and `ties`
+    (columns that order rows of equal key as `order` does). Rows without a key are one bucket, the first.
+    """
+    at = F.coalesce(F.floor(F.col(key) / bucket), F.lit(-(1 << 62) if back else 1 << 62))
+    pick, turn = (F.max_by, F.asc) if back else (F.min_by, F.desc)
+    keyed = {c: f"__by{i}" for i, c in enumerate(by)}
+    lasts = valued.where(F.col(value).isNotNull()).groupBy(*(F.col(c).alias(k) for c, k in keyed.items()), at.alias("__at"))
+    lasts = lasts.agg(pick(F.struct(F.col(value).alias("v")), F.struct(key, *ties)).alias("__carry"))
+    # a bucket without values needs the carry too, so buckets are those of df
+    places = df.select(*(F.col(c).alias(k) for c, k in keyed.items()), at.alias("__at")).distinct()
+    same = [F.col(f"__p.{k}").eqNullSafe(F.col(f"__l.{k}")) for k in (*keyed.values(), "__at")]
+    both = places.alias("__p").join(lasts.alias("__l"), reduce(lambda x, y: x & y, same), "left").select("__p.*", "__carry")
+    before = Window.partitionBy(*keyed.values()).orderBy(turn("__at")).rowsBetween(Window.unboundedPreceding, -1)
+    carries = both.select(*keyed.values(), F.col("__at").alias("__cat"), F.last("__carry", ignorenulls=True).over(before).alias("__carry"))
+    own = Window.partitionBy(*by, "__at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = df.withColumn("__at", at).withColumn("__own", F.last(F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"))), ignorenulls=True).over(own))
+    met = [F.col(c).eqNullSafe(F.col(k)) for c, k in keyed.items()] + [F.col("__at") == F.col("__cat")]
+    return seen.join(carries, reduce(lambda x, y: x & y, met), "left").select(*df.columns, F.coalesce("__own", "__carry")["v"].alias(out))
+
+
 def asof(
     probes: DataFrame,
     points: DataFrame,
@@ -68,23 +95,25 @@ def asof(
     """probes with column `out`: `value` of the last point whose key is at or below probe_key (backward), or of the first one at
     or above it (forward). Among points of equal key, the last or first by `tie`, columns of points.
 
-    A union, one shuffle and one sort: the growing last-value window passes each row once, whatever the distance. With reach
-    (microseconds; no point farther away is wanted) rows are also dealt by time buckets of that length and each point is given
-    to the next bucket too, so one instrument is spread over many tasks.
+    A union whose last values are carried from one time bucket to the next (carried_last), so one instrument is spread over many tasks
+    whatever the distance. With reach (microseconds; no point farther away is wanted) rows are dealt by time buckets of that length and
+    each point is given to the next bucket too: one shuffle and one growing last-value window.
     """
     back = direction == "backward"
     struct = F.struct(*(F.col(c) for c in probes.columns))
     a = probes.select(*by, probe_key.alias("__k"), F.lit(1).alias("__p"), struct.alias("__row"))
     b = points.select(*by, point_key.alias("__k"), F.lit(0).alias("__p"), F.struct(value.alias("v")).alias("__v"), *(F.col(c).alias(f"__t{i}") for i, c in enumerate(tie)))
-    keys = list(by)
-    if reach:
-        bucket = F.floor(F.col("__k") / reach)
-        a = a.withColumn("__b", bucket)
-        b = b.withColumn("__b", F.explode(F.array(bucket, bucket + (1 if back else -1))))
-        keys.append("__b")
-    both = a.unionByName(b, allowMissingColumns=True)
     turn = (lambda c: F.col(c).asc()) if back else (lambda c: F.col(c).desc())
-    over = Window.partitionBy(*keys).orderBy(turn("__k"), F.col("__p").asc(), *(turn(f"__t{i}") for i in range(len(tie))))
+    order = [turn("__k"), F.col("__p").asc(), *(turn(f"__t{i}") for i in range(len(tie)))]
+    if not reach:
+        both = a.unionByName(b, allowMissingColumns=True)
+        found = carried_last(both, b, "__v", "__k", [f"__t{i}" for i in range(len(tie))], order, "__f", by, back).where("__p = 1")
+        return found.select("__row.*", F.col("__f.v").alias(out))
+    bucket = F.floor(F.col("__k") / reach)
+    a = a.withColumn("__b", bucket)
+    b = b.withColumn("__b", F.explode(F.array(bucket, bucket + (1 if back else -1))))
+    both = a.unionByName(b, allowMissingColumns=True)
+    over = Window.partitionBy(*by, "__b").orderBy(*order)
     found = F.last("__v", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("__f", found).where("__p = 1").select("__row.*", F.col("__f.v").alias(out))
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import with_quantiles
-from ..functions.timewin import SECOND
+from ..functions.timewin import SECOND, carried_last
 from ..schema import DEPTH, SIDES, level
+from .replay import carried_replay
 
 SEGMENT = ("inst_id", "seg_us")
 
@@ -77,14 +78,14 @@ def grid_emits(spans: DataFrame, step_us: int, segment: tuple[str, ...] = SEGMEN
 
 
 def assign_segments(rows: DataFrame, snapshot_times: DataFrame) -> DataFrame:
-    """rows with seg_us: the last snapshot time (inst_id, ts_us) at or before theirs; rows before the first are dropped.
-    A union and a growing window, as of any distance."""
+    """rows with seg_us: the last snapshot time (inst_id, ts_us) at or before theirs; rows before the first are dropped. As of any
+    distance, by values carried from one time bucket to the next."""
     struct = F.struct(*(F.col(c) for c in rows.columns))
     a = rows.select("inst_id", "ts_us", F.lit(1).alias("__p"), struct.alias("__row"))
     b = snapshot_times.select("inst_id", "ts_us", F.lit(0).alias("__p"), F.col("ts_us").alias("__s"))
-    over = Window.partitionBy("inst_id").orderBy("ts_us", "__p").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("seg_us", F.last("__s", ignorenulls=True).over(over))
-    return both.where("__p = 1 and seg_us is not null").select("__row.*", "seg_us")
+    both = a.unionByName(b, allowMissingColumns=True)
+    found = carried_last(both, b, "__s", "ts_us", ["__p"], [F.asc("ts_us"), F.asc("__p")], "seg_us")
+    return found.where("__p = 1 and seg_us is not null").select("__row.*", "seg_us")
 
 
 def segmented_replay(snapshot_levels: DataFrame, deltas: DataFrame, emits: DataFrame, depth: int = DEPTH, seq: tuple[str, ...] = ("seq",)) -> DataFrame:
@@ -93,8 +94,8 @@ def segmented_replay(snapshot_levels: DataFrame, deltas: DataFrame, emits: DataF
     start = snapshot_levels.select("inst_id", F.col("ts_us").alias("seg_us"), "ts_us", "side", "price", "size", *(F.lit(-1).alias(c) for c in seq))
     changes = assign_segments(deltas, times).select("inst_id", "seg_us", "ts_us", "side", "price", "size", *seq)
     at = assign_segments(emits.select("inst_id", "ts_us"), times)
-    found = states(validity(start.unionByName(changes), seq), at, depth)
-    return levels_to_wide(found, (*SEGMENT, "ts_us"), depth)
+    found = carried_replay(start.unionByName(changes), at.distinct(), depth, seq)
+    return found.where("bid_px_01 is not null or ask_px_01 is not null")
 
 
 def raw_to_wide(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -144,13 +145,14 @@ def aligned_start(at: Column, start_us: int, step_us: int) -> Column:
 
 def reconstruct_chunk(
     snapshot_levels: DataFrame, deltas: DataFrame, start_us: int, end_us: int, mode: str = "event", step_us: int = SECOND // 10,
-    policy: str = "snapshot_to_snapshot", depth: int = DEPTH, seq: tuple[str, ...] = ("seq",), bucket_us: int = 3600 * SECOND,
+    policy: str = "snapshot_to_snapshot", depth: int = DEPTH, seq: tuple[str, ...] = ("seq",), bucket_us: int | None = None, bucket_rows: int = 50_000,
 ) -> DataFrame:
     """Flat records of all instruments in [start, end]: level columns, mid_px, spread_px, anchor_snapshot_us, reconstruction_mode.
 
     policy snapshot_to_snapshot resets the book at every snapshot (chunk_segments), single keeps the anchor's book. event emits at
     every time of a delta, and a segment without deltas once, at its start; grid emits on the chunk's grid. Segments do not
-    overlap, so a time of an instrument comes once. Instruments without an anchor give nothing.
+    overlap, so a time of an instrument comes once. Instruments without an anchor give nothing. bucket_rows: see carried_replay;
+    bucket_us is of no use any more.
     """
     if mode not in ("event", "grid") or policy not in ("snapshot_to_snapshot", "single"):
         raise ValueError(f"unknown mode {mode!r} or policy {policy!r}")
@@ -168,8 +170,7 @@ def reconstruct_chunk(
         spans = segments.select(*SEGMENT, "next_us", aligned_start(F.col("out_start"), start_us, step_us).alias("start_us"), F.col("out_end").alias("end_us"))
         emits = spans.where("start_us <= end_us").select(*SEGMENT, "next_us", F.explode(F.sequence("start_us", "end_us", F.lit(step_us))).alias("ts_us"))
         emits = emits.where("next_us is null or ts_us < next_us").drop("next_us")
-    found = levels_to_wide(states(validity(opening.unionByName(changes), seq), emits, depth, bucket_us), (*SEGMENT, "ts_us"), depth)
-    rows = emits.join(found, [*SEGMENT, "ts_us"], "left")  # an empty book is a row too
+    rows = carried_replay(opening.unionByName(changes), emits, depth, seq, bucket_rows)
     return rows.withColumnRenamed("seg_us", "anchor_snapshot_us").withColumn("reconstruction_mode", F.lit(mode))
 
 
