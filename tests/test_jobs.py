@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions import names
+from tickloom.functions import names, roles
 from tickloom.functions.timewin import value_sums, with_average_rank_pct
 from tickloom.operators import book as B
 from tickloom.operators import eda, evaluate, labels, passage
@@ -46,17 +46,19 @@ def test_snapshot_sources(spark, tmp_path, monkeypatch):
 def test_names_and_feature_choice(spark):
     assert names.int_list("3, 1,") == [3, 1] and names.is_long_horizon("mid_return_300s") and not names.is_long_horizon("mid_return_30s")
     features = ["mid_px", "mid_return_5s", "mid_return_300s", "mid_return_3600s", "spread_regime"]
-    assert names.experiment_features(features, "SHORT_ONLY") == ["mid_return_5s"]
-    assert names.experiment_features(features, "SHORT_PLUS_3600") == ["mid_return_3600s", "mid_return_5s"]
-    assert names.experiment_features(features, "ALL_WITHOUT_PRICE") == features[1:] and names.experiment_features(features, "ALL_FEATURES") == features
+    assert roles.group_features(features, "SHORT_ONLY") == ["mid_return_5s"]
+    assert roles.group_features(features, "SHORT_PLUS_3600") == ["mid_return_3600s", "mid_return_5s"]
+    assert roles.group_features(features, "ALL_WITHOUT_PRICE") == features[1:] and roles.group_features(features, "ALL_FEATURES") == features
+    assert roles.group_features(["activity_regime", "update_regime", "x"], "SHORT_ONLY") == ["x"]
     with pytest.raises(ValueError):
-        names.experiment_features(features, "Z")
-    assert names.primary_target(["target_mid_dir_h500", "target_gross_profitable_h500"], 500) == "target_gross_profitable_h500"
-    with pytest.raises(ValueError):
-        names.primary_target(["x"], 500)
-    df = spark.createDataFrame([("a", 1.0, 1, 0, "s")], "inst_id string, x double, target_y int, target_z int, word string")
-    assert names.safe_features(df, "target_y") == (["x"], {"inst_id": "identifier / time column", "target_y": "target column", "target_z": "future/label-derived column", "word": "non-numeric feature"})
-    assert names.present(["b", "a"], ["a"]) == ["a"]
+        roles.group_features(features, "Z")
+    df = spark.createDataFrame([("a", 1.0, 1, 0, "s", 1)], "inst_id string, x double, target_y int, target_z int, word string, target_gross_profitable_h500 int")
+    assert roles.choose_target(df.withColumn("target_mid_dir_h500", F.lit(1)), 500) == "target_gross_profitable_h500"
+    for bad in ((df, 600), (df, 500, ["no"])):
+        with pytest.raises(ValueError):
+            roles.choose_target(*bad)
+    used, why = roles.model_features(df, "target_y")  # a table that declares nothing
+    assert used == ["x"] and why == {"inst_id": "is an identifier", "target_y": "is the target", "target_z": "is a target", "word": "is of type string", "target_gross_profitable_h500": "is a target"}
     assert set(names.feature_groups([5])) == {"price", "depth", "imbalance", "order_flow", "regime"}
 
 

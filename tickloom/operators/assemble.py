@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import rowwise as R
 from ..functions.bins import tercile_buckets
+from ..functions.roles import declare
 from ..functions.timewin import SECOND, full_frame, in_row_blocks, ordered, past_starts, prefix_sums, with_rn
 from ..schema import DEPTH, levels, ratio, safe_divide
-from .labels import Fees, direction_targets, future_values, profit_targets, tp_sl_label
+from .labels import Fees, direction_targets, future_values, profit_targets
+from .passage import entry_exits
 
 
 def baseline_features(df: DataFrame, tick: float, grid_ms: int, lookbacks_ms: Sequence[int] = (100, 500, 1000, 5000), depth: int = DEPTH) -> DataFrame:
@@ -108,32 +110,36 @@ def wallclock_features(df: DataFrame, tick: float, windows_s: Sequence[int] = (1
     moved = F.when(F.abs(F.col(f"mid_return_{1 if 1 in windows_s else min(windows_s)}s")) > large_move_ticks, F.col("ts_us"))
     last = F.last(moved, ignorenulls=True).over(ordered().rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("seconds_since_large_move", (F.col("ts_us") - last) / SECOND)
-    return rows.drop(*temp, *(f"s_{s}" for s in windows_s), *([] if keep_book else book), *(f"elapsed_{s}s" for s in windows_s))
+    rows = rows.drop(*temp, *(f"s_{s}" for s in windows_s), *([] if keep_book else book), *(f"elapsed_{s}s" for s in windows_s))
+    return declare(rows, df.columns)
 
 
 @dataclass(frozen=True)
 class ModelingConfig:
     tick: float = 0.1
     grid_ms: int = 100
-    horizons_ms: tuple[int, ...] = (500, 1000, 3000, 5000, 10000)
+    horizons_ms: tuple[int, ...] = (100, 150, 200, 250, 500, 1000)
     method: str = "shift"
-    take_profit_ticks: tuple[int, ...] = (2, 3)
-    stop_loss_ticks: tuple[int, ...] = (2, 3)
-    holding_ms: tuple[int, ...] = (1000,)
+    take_profit_ticks: tuple[int, ...] = (1, 2, 3)
+    stop_loss_ticks: tuple[int, ...] = (1, 2)
+    holding_ms: tuple[int, ...] = (100, 250, 500, 1000)
     fees: Fees = field(default_factory=Fees)
-    lookbacks_ms: tuple[int, ...] = (100, 500, 1000, 5000)
+    lookbacks_ms: tuple[int, ...] = (100, 200, 500, 1000)
 
 
 def modeling_dataset(df: DataFrame, config: ModelingConfig = ModelingConfig()) -> DataFrame:
     """Baseline features, direction and profit targets of each horizon and take-profit / stop-loss labels; rows whose moves are not all
-    known are dropped. Columns are added in one plan, never joined by position. With shift, all of them are one pass over blocks of rows."""
-    back, ahead = _rows_back(config.grid_ms, config.lookbacks_ms), max((ceil(ms / config.grid_ms) for ms in (*config.horizons_ms, *config.holding_ms)), default=0)
+    known are dropped. Columns are added in one plan, never joined by position. With shift, features and moves are one pass over blocks of
+    rows; the labels of all exits are one entry_passage over slim rows. Every column says what it is (functions/roles.py)."""
+    back, ahead = _rows_back(config.grid_ms, config.lookbacks_ms), max((ceil(ms / config.grid_ms) for ms in config.horizons_ms), default=0)
     names = [f"{price}_h{ms}_move_ticks" for ms in config.horizons_ms for price in ("mid", "bid", "ask")]
+    rows = entry_exits(df, config.tick, config.take_profit_ticks, config.stop_loss_ticks, {f"h{ms}": ceil(ms / config.grid_ms) for ms in config.holding_ms})
     if config.method == "shift":
-        both = lambda rows, w: _exits(_moves(_baseline(rows, w, config.tick, config.grid_ms, config.lookbacks_ms), config, w), config, w)
-        return in_row_blocks(df, both, back, ahead).dropna(subset=names)
-    rows = _moves(baseline_features(df, config.tick, config.grid_ms, config.lookbacks_ms), config)
-    return in_row_blocks(rows, lambda r, w: _exits(r, config, w), after=ahead).dropna(subset=names)
+        both = lambda rows, w: _moves(_baseline(rows, w, config.tick, config.grid_ms, config.lookbacks_ms), config, w)
+        rows = in_row_blocks(rows, both, back, ahead)
+    else:
+        rows = _moves(baseline_features(rows, config.tick, config.grid_ms, config.lookbacks_ms), config)
+    return declare(rows.dropna(subset=names), df.columns)
 
 
 def _moves(rows: DataFrame, config: ModelingConfig, over: WindowSpec | None = None) -> DataFrame:
@@ -148,15 +154,6 @@ def _moves(rows: DataFrame, config: ModelingConfig, over: WindowSpec | None = No
     return rows
 
 
-def _exits(rows: DataFrame, config: ModelingConfig, over: WindowSpec) -> DataFrame:
-    """Take-profit / stop-loss labels."""
-    for ms in config.holding_ms:
-        steps = ceil(ms / config.grid_ms)
-        labels = {f"tp_sl_{side}_tp{a}_sl{b}_h{ms}": tp_sl_label(side, config.tick, a, b, steps, over) for side in ("long", "short") for a in config.take_profit_ticks for b in config.stop_loss_ticks}
-        rows = rows.withColumns(labels)
-    return rows
-
-
 def metadata(df: DataFrame, config: ModelingConfig) -> dict:
     """Row count, time range and column families of a modeling dataset (one aggregation)."""
     r = df.agg(F.count("*").alias("n"), F.min("ts_us").alias("a"), F.max("ts_us").alias("z")).first()

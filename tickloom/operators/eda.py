@@ -202,10 +202,10 @@ def stability_by_thirds(df: DataFrame, targets: Sequence[str], order: str = "ts_
 
 
 def reconcile_ticks(by_steps: DataFrame, by_levels: DataFrame, within: float = 0.2) -> DataFrame:
-    """(inst_id, tick): the tick by steps if the one by levels lies within a fifth of it, else the smaller of the two."""
+    """(inst_id, tick): the tick by steps if it is there and less than `within` of the tick by levels away from that, else the tick by levels."""
     a, b = by_steps.select("inst_id", F.col("tick").alias("__a")), by_levels.select("inst_id", F.col("tick").alias("__b"))
-    close = F.abs(F.col("__a") - F.col("__b")) <= within * F.greatest("__a", "__b")
-    return a.join(b, "inst_id", "full").select("inst_id", F.when(close, F.col("__a")).otherwise(F.least("__a", "__b")).alias("tick"))
+    close = F.coalesce(F.try_divide(F.abs(F.col("__a") - F.col("__b")), "__b") < within, F.lit(False))
+    return a.join(b, "inst_id", "full").select("inst_id", F.when(close, F.col("__a")).otherwise(F.col("__b")).alias("tick"))
 
 
 def first_with_tick(ticks_by_shard: DataFrame, order: str = "shard") -> DataFrame:

@@ -48,15 +48,15 @@ def class_report(df: DataFrame, y: str) -> DataFrame:
     ).where(F.col(y).isNotNull())
 
 
-def confidence_buckets(df: DataFrame, y: str, score: str, edges: Sequence[float] = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)) -> DataFrame:
-    """Rows by confidence in [low, high), the last closed: n, coverage of all rows and hit rate of score >= 0.5; empty ones are left out."""
-    conf = F.greatest(F.col(score), 1 - F.col(score))
-    bucket = F.when(conf == edges[-1], len(edges) - 2)
-    for i in range(len(edges) - 1):
-        bucket = bucket.when((conf >= edges[i]) & (conf < edges[i + 1]), i)
-    n = F.sum("n").over(Window.partitionBy())
-    counts = df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg(((F.col(score) >= 0.5).cast("int") == F.col(y)).cast("int")).alias("hit_rate"))
-    return counts.withColumn("coverage", F.col("n") / n).where("bucket is not null")
+def confidence_buckets(df: DataFrame, y: str, score: str, edges: Sequence[float] = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)) -> DataFrame:
+    """Rows by the probability of label 1 in [low, high), the last bucket closed: n, share of all rows (coverage) and share of label 1
+    (hit_rate); empty buckets are left out."""
+    p = F.col(score)
+    bucket = F.when(p == edges[-1], len(edges) - 2)
+    for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+        bucket = bucket.when((p >= low) & (p < high), i)
+    counts = df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg(y).alias("hit_rate"))
+    return counts.withColumn("coverage", F.col("n") / F.sum("n").over(Window.partitionBy())).where("bucket is not null")
 
 
 def reliability(df: DataFrame, y: str, score: str, bins: int = 10) -> DataFrame:
@@ -223,11 +223,11 @@ def group_experiment(df: DataFrame, label: str, features: Sequence[str], groups:
 
     from pyspark.ml.functions import vector_to_array
 
-    from ..functions.names import experiment_features
+    from ..functions.roles import group_features
 
     split, parts = time_split(df, order, train, 1 - train, least=options.pop("least", 1000)), []
     for group in groups:
-        chosen = experiment_features(features, group)
+        chosen = group_features(features, group)
         scored = train_gbt(split.where("split = 'train'"), chosen, label, **options).transform(split.where("split <> 'train'"))
         scored = scored.select(F.col(label).alias("y"), F.round(vector_to_array("probability")[1], 6).alias("p"))
         parts.append(ranking_metrics(scored, "y", "p").select(F.lit(group).alias("group"), F.lit(len(chosen)).alias("n_features"), "roc_auc", "average_precision"))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import with_quantiles
-from ..functions.timewin import SECOND
+from ..functions.roles import declare
+from ..functions.timewin import BY, SECOND, numbered
 
 
 def excursions(df: DataFrame, horizon_s: int, tick: float, mid: str = "mid_px", by: Sequence[str] = ("inst_id",), key: str = "event_id", bucket_s: int | None = None) -> DataFrame:
@@ -98,6 +99,80 @@ def first_passage(df: DataFrame, horizon_s: int, tick: float, ticks: Sequence[fl
     return rows.groupBy(*by, "__b").applyInPandas(scan, f"{parts}, {key} {kind}, {columns}")
 
 
+def entry_passage(
+    df: DataFrame, steps: int, tick: float, sides: dict[str, str], takes: Sequence[float], stops: Sequence[float], mid: str = "mid_px", key: str = "event_id",
+    by: Sequence[str] = BY, block: int = 1 << 16,
+) -> DataFrame:
+    """(by, key, <side>_take_<k>, <side>_stop_<k>): how many rows on the mid first gains (loses) k ticks on the row's own entry price, within
+    `steps` rows; NULL if it does not. sides: the column of the entry price of `long` and of `short`.
+
+    Rows are numbered by time buckets and dealt in blocks with a halo of `steps`; a task finds all rows' first hits by doubling jumps over the
+    extremes of the mid, whose levels come from another column, so no row holds a list and time grows with the logarithm of steps.
+    """
+    block = max(block, 2 * steps)
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    slim = df.select(*by, "ts_us", key, F.col(mid).cast("double").alias("__mid"), *(F.col(c).cast("double").alias(f"__{side}") for side, c in sides.items()))
+    rows = numbered(slim, by, ("ts_us", key), "__rn")
+    own = F.floor((F.col("__rn") - 1) / block)
+    rows = rows.withColumn("__own", own).withColumn("__b", F.explode(F.sequence(F.floor((F.col("__rn") - 1 - steps) / block), own))).where("__b >= 0")
+    wanted = [(side, what, k) for side in sides for what, ks in (("take", takes), ("stop", stops)) for k in ks]
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__rn", kind="stable")
+        x, n = pdf["__mid"].to_numpy(), len(pdf)
+        anchors = np.flatnonzero((pdf["__own"] == pdf["__b"]).to_numpy())
+        out = pdf.iloc[anchors][[*by, key]]
+        ends = np.minimum(anchors + 1 + steps, n)
+        extremes = {}
+        for sign in (1.0, -1.0):
+            tops = [x * sign]
+            while 1 << len(tops) <= min(n, steps):  # tops[j][i]: the greatest of 2^j rows from i on
+                w, last = 1 << (len(tops) - 1), tops[-1]
+                tops.append(np.fmax(last, np.r_[last[w:], np.full(min(w, n), -np.inf)][:n]))
+            extremes[sign] = tops
+        for side, what, k in wanted:
+            entry = pdf[f"__{side}"].to_numpy()[anchors]
+            sign = 1.0 if (side == "long") == (what == "take") else -1.0
+            tops, at = extremes[sign], anchors + 1
+            with np.errstate(invalid="ignore"):
+                reached = lambda top: (top - sign * entry) / tick >= k  # noqa: E731, B023
+                for j in range(len(tops) - 1, -1, -1):
+                    inside = at + (1 << j) <= ends
+                    at = np.where(inside & ~reached(tops[j][np.minimum(at, n - 1)]), at + (1 << j), at)
+                hit = (at < ends) & reached(tops[0][np.minimum(at, n - 1)])
+            rows_on = pd.array(at - anchors, dtype="Int32")
+            rows_on[~hit] = pd.NA
+            out[f"{side}_{what}_{k:g}"] = rows_on
+        return out
+
+    parts = ", ".join(f"`{c}` {kind(c)}" for c in (*by, key))
+    return rows.groupBy(*by, "__b").applyInPandas(scan, ", ".join([parts, *(f"{side}_{what}_{k:g} int" for side, what, k in wanted)]))
+
+
+def entry_exits(
+    df: DataFrame, tick: float, takes: Sequence[float], stops: Sequence[float], holds: dict[str, int], mid: str = "mid_px", key: str = "event_id", by: Sequence[str] = BY
+) -> DataFrame:
+    """df with tp_sl_<side>_tp<take>_sl<stop>_<name> for each holding time (name: rows): 1 if the mid first gains `take` ticks on the entry (long: the
+    best bid, short: the best ask) within so many rows, -1 if it first loses `stop` or both fall on one row, else 0. All labels come from one
+    entry_passage of the longest holding time. (by, key) must be unique."""
+    if not (takes and stops and holds):
+        return df
+    passed = entry_passage(df, max(holds.values()), tick, {"long": "bid_px_01", "short": "ask_px_01"}, takes, stops, mid, key, by)
+    names = {c: f"__k{i}" for i, c in enumerate((*by, key))}
+    for c, n in names.items():
+        passed = passed.withColumnRenamed(c, n)
+    joined = df.join(passed, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()], "left")
+    within = lambda c, rows: F.when(F.col(c) <= rows, F.col(c))
+    out = {}
+    for name, rows in holds.items():
+        for side in ("long", "short"):
+            for a in takes:
+                for b in stops:
+                    tp, sl = within(f"{side}_take_{a:g}", rows), within(f"{side}_stop_{b:g}", rows)
+                    out[f"tp_sl_{side}_tp{a}_sl{b}_{name}"] = F.when(tp.isNotNull() & (sl.isNull() | (tp < sl)), 1).when(sl.isNotNull(), -1).otherwise(0)
+    return joined.select(*df.columns, *(v.alias(k) for k, v in out.items()))
+
+
 def first_wins(target: str, adverse: str):
     """1 if `target` is reached and `adverse` is not, or later; else 0 (also if both are reached at one row)."""
     t, a = F.col(target), F.col(adverse)
@@ -164,7 +239,7 @@ def targets_dataset(
     if drop_incomplete:
         for fits in whole:
             rows = rows.where(fits)
-    return rows.select(*df.columns, *(c.alias(n) for n, c in out.items()))
+    return declare(rows.select(*df.columns, *(c.alias(n) for n, c in out.items())), df.columns)
 
 
 def half_pairs(thresholds: Sequence[int], shares: Sequence[float] = (0.5, 0.75)) -> list[tuple[int, int]]:

@@ -68,10 +68,10 @@ def tick_size(df: DataFrame, price: str, by: Sequence[str] = ("inst_id",), low:
     return steps.join(limit, list(by)).where("step <= q").withColumn("__r", F.row_number().over(best)).where("__r = 1").select(*by, F.col("step").alias("tick"))
 
 
-def tick_size_levels(df: DataFrame, price: str, by: Sequence[str] = ("inst_id",), low: float = 0.001) -> DataFrame:
-    """(by, tick): the least difference between neighbouring distinct prices (to 8 places) at or above their `low` quantile."""
-    prices = df.select(*by, F.bround(price, 8).alias("p")).distinct()
-    step = prices.withColumn("d", F.bround(F.col("p") - F.lag("p").over(Window.partitionBy(*by).orderBy("p")), 8)).where("d > 0")
+def tick_size_levels(df: DataFrame, price: str, by: Sequence[str] = ("inst_id",), low: float = 0.001, digits: int = 12) -> DataFrame:
+    """(by, tick): the least difference between neighbouring distinct prices (to `digits` places) at or above their `low` quantile and 1e-12."""
+    prices = df.select(*by, F.bround(price, digits).alias("p")).distinct()
+    step = prices.withColumn("d", F.col("p") - F.lag("p").over(Window.partitionBy(*by).orderBy("p"))).where("d > 1e-12")
     limit = quantiles(step, F.col("d"), [low], by).withColumn("q", F.col("q")[0])
     return step.join(limit, list(by)).where("d >= q").groupBy(*by).agg(F.min("d").alias("tick"))
 

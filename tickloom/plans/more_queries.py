@@ -332,10 +332,10 @@ def stability_by_thirds(spark, d):
 
 
 @query(
-    f"""WITH p AS (SELECT DISTINCT inst_id, round_even(mid_px, 8) AS p FROM ticks), s AS (SELECT inst_id, round_even(p - lag(p) OVER (PARTITION BY inst_id ORDER BY p), 8) AS d FROM p), q AS (SELECT inst_id, quantile_cont(d, 0.001) AS q FROM s WHERE d > 0 GROUP BY inst_id),
-    b AS (SELECT s.inst_id, min(d) AS b FROM s JOIN q ON s.inst_id = q.inst_id WHERE d > 0 AND d >= q GROUP BY s.inst_id), st AS (SELECT inst_id, round_even(abs(mid_px - lag(mid_px) OVER w), 8) AS step FROM ticks {_F}), c AS (SELECT inst_id, step, count(*) AS n FROM st WHERE step > 0 GROUP BY ALL),
+    f"""WITH p AS (SELECT DISTINCT inst_id, round_even(mid_px, 12) AS p FROM ticks), s AS (SELECT inst_id, p - lag(p) OVER (PARTITION BY inst_id ORDER BY p) AS d FROM p), q AS (SELECT inst_id, quantile_cont(d, 0.001) AS q FROM s WHERE d > 1e-12 GROUP BY inst_id),
+    b AS (SELECT s.inst_id, min(d) AS b FROM s JOIN q ON s.inst_id = q.inst_id WHERE d > 1e-12 AND d >= q GROUP BY s.inst_id), st AS (SELECT inst_id, round_even(abs(mid_px - lag(mid_px) OVER w), 8) AS step FROM ticks {_F}), c AS (SELECT inst_id, step, count(*) AS n FROM st WHERE step > 0 GROUP BY ALL),
     q2 AS (SELECT inst_id, quantile_cont(step, 0.01) AS q FROM st WHERE step > 0 GROUP BY inst_id), a AS (SELECT c.inst_id, arg_min(step, (-n, step)) AS a FROM c JOIN q2 ON c.inst_id = q2.inst_id WHERE step <= q GROUP BY c.inst_id)
-    SELECT a.inst_id, round(CASE WHEN abs(a - b) <= 0.2 * greatest(a, b) THEN a ELSE least(a, b) END, 8) AS tick FROM a JOIN b ON a.inst_id = b.inst_id""",
+    SELECT a.inst_id, round(CASE WHEN abs(a - b) / b < 0.2 THEN a ELSE b END, 8) AS tick FROM a JOIN b ON a.inst_id = b.inst_id""",
     "ticks",
 )
 def reconciled_tick(spark, d):
@@ -492,10 +492,10 @@ _PRICES = {"mid": "mid_px", "bid": "bid_px_01", "ask": "ask_px_01"}
 _EXITS = {f"tp_sl_{side}_tp{a}_sl{b}_h1000": (side, a, b) for side in ("long", "short") for a in (2, 3) for b in (2, 3)}
 
 
-def _modeling_columns() -> dict[str, str]:
+def _modeling_columns(moves=_MOVES, exits=_EXITS) -> dict[str, str]:
     """Each target of the modelling table over rows with f<h>_<price>, the price after h ms, and path, the mids of the next second."""
     out = {}
-    for h in _MOVES:
+    for h in moves:
         for name, c in _PRICES.items():
             move = f"((f{h}_{name} - {c}) / 0.1::DOUBLE)"
             out |= {f"{name}_h{h}_move_ticks": move, f"{name}_h{h}_dir": f"CASE WHEN {move} > 0.5 THEN 1 WHEN {move} < -0.5 THEN -1 ELSE 0 END"}
@@ -504,19 +504,20 @@ def _modeling_columns() -> dict[str, str]:
             gross, cost = f"{gain} / 0.1::DOUBLE", f"({entry} * 0.0002::DOUBLE + {leave} * 0.0007::DOUBLE) / 0.1::DOUBLE"
             out |= {f"gross_profitable_{side}_h{h}": f"coalesce({gross} >= 1, false)::INT", f"net_profitable_{side}_h{h}": f"coalesce({gross} - {cost} >= 0, false)::INT"}
         out |= {f"{kind}_profitable_any_h{h}": f"greatest({out[f'{kind}_profitable_long_h{h}']}, {out[f'{kind}_profitable_short_h{h}']})" for kind in ("gross", "net")}
-    for name, (side, take, stop) in _EXITS.items():
+    for name, (side, take, stop) in exits.items():
+        steps = -(-int(name.rpartition("_h")[2]) // 100)
         gain = "(m - bid_px_01) / 0.1::DOUBLE" if side == "long" else "(ask_px_01 - m) / 0.1::DOUBLE"
-        tp, sl = (f"coalesce(list_position(list_transform(path, lambda m: coalesce({gain} {test}, false)), true), 0)" for test in (f">= {take}", f"<= -{stop}"))
+        tp, sl = (f"coalesce(list_position(list_transform(path[1:{steps}], lambda m: coalesce({gain} {test}, false)), true), 0)" for test in (f">= {take}", f"<= -{stop}"))
         out[name] = f"CASE WHEN {tp} > 0 AND ({sl} = 0 OR {tp} < {sl}) THEN 1 WHEN {sl} > 0 THEN -1 ELSE 0 END"
     return out
 
 
-def _modeling_sql() -> str:
-    future = ", ".join(f"lead({c}, {h // 100}) OVER w AS f{h}_{name}" for h in _MOVES for name, c in _PRICES.items())
-    back = ", ".join(f"{_D('mid_px', ms // 100)} / nullif(lag(mid_px, {ms // 100}) OVER w, 0) AS mid_return_h{ms}, {_D('spread_px', ms // 100)} / 0.1::DOUBLE AS spread_ticks_change_h{ms}" for ms in _LOOK)
-    known = " AND ".join(f"f{h}_{name} IS NOT NULL AND {c} IS NOT NULL" for h in _MOVES for name, c in _PRICES.items())
-    named = _modeling_columns()
-    kept = [*named, *(f"{c}_h{ms}" for ms in _LOOK for c in ("mid_return", "spread_ticks_change"))]
+def _modeling_sql(moves=_MOVES, looks=_LOOK, exits=_EXITS) -> str:
+    future = ", ".join(f"lead({c}, {-(-h // 100)}) OVER w AS f{h}_{name}" for h in moves for name, c in _PRICES.items())
+    back = ", ".join(f"{_D('mid_px', ms // 100)} / nullif(lag(mid_px, {ms // 100}) OVER w, 0) AS mid_return_h{ms}, {_D('spread_px', ms // 100)} / 0.1::DOUBLE AS spread_ticks_change_h{ms}" for ms in looks)
+    known = " AND ".join(f"f{h}_{name} IS NOT NULL AND {c} IS NOT NULL" for h in moves for name, c in _PRICES.items())
+    named = _modeling_columns(moves, exits)
+    kept = [*named, *(f"{c}_h{ms}" for ms in looks for c in ("mid_return", "spread_ticks_change"))]
     return (
         f"WITH f AS (SELECT *, {future}, {back}, list(mid_px) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS path FROM book {_F}), o AS (SELECT f.*, {', '.join(f'{v} AS {k}' for k, v in named.items())} FROM f WHERE {known}) "
         f"SELECT inst_id, count(*) AS n, {', '.join(f'round(sum({c})::DOUBLE, 2) AS {c}' for c in kept)} FROM o GROUP BY inst_id"
@@ -525,8 +526,22 @@ def _modeling_sql() -> str:
 
 @query(_modeling_sql(), "book")
 def modeling_sums(spark, d):
-    """Every target of the modelling table at its default horizons, look-backs and exits."""
+    """Every target of the modelling table at long horizons and look-backs."""
     kept = [*_modeling_columns(), *(f"{c}_h{ms}" for ms in _LOOK for c in ("mid_return", "spread_ticks_change"))]
+    config = assemble.ModelingConfig(horizons_ms=_MOVES, lookbacks_ms=_LOOK, take_profit_ticks=(2, 3), stop_loss_ticks=(2, 3), holding_ms=(1000,))
+    return _sums(assemble.modeling_dataset(V.book(spark, d), config), kept)
+
+
+_DEFAULTS = (
+    (100, 150, 200, 250, 500, 1000), (100, 200, 500, 1000),
+    {f"tp_sl_{side}_tp{a}_sl{b}_h{ms}": (side, a, b) for ms in (100, 250, 500, 1000) for side in ("long", "short") for a in (1, 2, 3) for b in (1, 2)},
+)
+
+
+@query(_modeling_sql(*_DEFAULTS), "book")
+def modeling_defaults(spark, d):
+    """Every target of the modelling table in its default configuration: six horizons, four look-backs, 48 exits."""
+    kept = [*_modeling_columns(_DEFAULTS[0], _DEFAULTS[2]), *(f"{c}_h{ms}" for ms in _DEFAULTS[1] for c in ("mid_return", "spread_ticks_change"))]
     return _sums(assemble.modeling_dataset(V.book(spark, d)), kept)
 
 

@@ -497,7 +497,8 @@ def class_balance_weights(spark, d):
 
 
 @query(
-    "WITH c AS (SELECT y, score, greatest(score, 1 - score) AS c FROM scores), b AS (SELECT *, CASE WHEN c = 1 THEN 4 WHEN c >= 0.9 THEN 4 WHEN c >= 0.8 THEN 3 WHEN c >= 0.7 THEN 2 WHEN c >= 0.6 THEN 1 ELSE 0 END AS bucket FROM c) SELECT bucket, count(*) AS n, avg(((score >= 0.5)::INT = y)::INT) AS hit_rate, count(*) / (SELECT count(*) FROM b)::DOUBLE AS coverage FROM b GROUP BY bucket",
+    "WITH b AS (SELECT y, CASE WHEN score >= 0.9 THEN 5 WHEN score >= 0.8 THEN 4 WHEN score >= 0.7 THEN 3 WHEN score >= 0.6 THEN 2 WHEN score >= 0.5 THEN 1 ELSE 0 END AS bucket FROM scores) "
+    "SELECT bucket, count(*) AS n, avg(y) AS hit_rate, count(*) / (SELECT count(*) FROM b)::DOUBLE AS coverage FROM b GROUP BY bucket",
     "scores",
 )
 def confidence_buckets(spark, d):
@@ -596,4 +597,4 @@ def snapshot_choice(spark, d):
     return one_snapshot_id(rows).groupBy("inst_id", "ts_us", "snapshot_id").agg(F.count("*").alias("n"))
 
 
-from . import more_queries  # noqa: E402, F401  registers its queries in QUERIES and ORACLE_SQL
+from . import job_queries, more_queries  # noqa: E402, F401  register their queries in QUERIES and ORACLE_SQL
