@@ -33,10 +33,10 @@ def numbered(df: DataFrame, by: Sequence[str] = BY, order: Sequence[str] = ORDER
 
 
 def in_row_blocks(
-    df: DataFrame, build: Callable[[DataFrame, WindowSpec], DataFrame], before: int = 0, after: int = 0, by: Sequence[str] = BY, order: Sequence[str] = ORDER, block: int = 1 << 16
+    df: DataFrame, build: Callable[[DataFrame, WindowSpec], DataFrame], before: int = 0, after: int = 0, by: Sequence[str] = BY, order: Sequence[str] = ORDER, block: int = 1 << 16, rn: str | None = None
 ) -> DataFrame:
     """build(rows, window): columns that look at most `before` rows back and `after` rows ahead, over blocks of an instrument's consecutive
-    rows instead of all of them. A block gets so many rows of its neighbours, which are dropped after build."""
+    rows instead of all of them. A block gets so many rows of its neighbours, which are dropped after build. rn: keep the row's number as this column."""
     block = max(block, 2 * before, 2 * after)
     rows = numbered(df, by, order, "__rn")
     own, place = F.floor((F.col("__rn") - 1) / block), F.pmod(F.col("__rn") - 1, F.lit(block))
@@ -45,7 +45,8 @@ def in_row_blocks(
     near += [F.when(place < after, F.struct((own - 1).alias("b"), F.lit(False).alias("own")))] if after else []
     dealt = rows.withColumn("__d", F.explode(F.array_compact(F.array(*near)))).withColumns({"__blk": F.col("__d.b"), "__own": F.col("__d.own")}).drop("__d")
     built = build(dealt, Window.partitionBy(*by, "__blk").orderBy("__rn"))
-    return built.where("__own").drop("__rn", "__blk", "__own")
+    built = built.where("__own").drop("__blk", "__own")
+    return built.withColumnRenamed("__rn", rn) if rn else built.drop("__rn")
 
 
 def full_frame(agg: Column, over: WindowSpec, rows: int, value: Column | None = None) -> Column:
@@ -124,9 +125,11 @@ def prefix_sums(df: DataFrame, columns: Sequence[str], by: Sequence[str] = BY, o
     dealt = df.withColumn("__b", F.floor(F.col(order[0]) / bucket))
     totals = dealt.groupBy(*by, "__b").agg(*(F.sum(c).alias(f"__t_{c}") for c in columns))
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "__b", *(F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in columns))
+    keys = {c: f"__k{i}" for i, c in enumerate((*by, "__b"))}
+    offsets = totals.select(*(F.col(c).alias(k) for c, k in keys.items()), *(F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in columns))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()))  # rows without an instrument or a time stay
     own = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = dealt.select("*", *(F.sum(c).over(own).alias(f"__s_{c}") for c in columns)).join(offsets, [*by, "__b"])
+    summed = dealt.select("*", *(F.sum(c).over(own).alias(f"__s_{c}") for c in columns)).join(offsets, same)
     return summed.select(*df.columns, *((F.coalesce(f"__s_{c}", F.lit(0)) + F.col(f"__o_{c}")).alias(f"cum_{c}") for c in columns))
 
 

@@ -6,13 +6,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from math import ceil
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from ..cuts import cut
 from ..functions import rowwise as R
 from ..functions.bins import tercile_buckets
 from ..functions.roles import declare
-from ..functions.timewin import SECOND, full_frame, in_row_blocks, ordered, past_starts, prefix_sums, with_rn
+from ..functions.timewin import SECOND, carried_last, full_frame, in_row_blocks, ordered, past_starts, prefix_sums
 from ..schema import DEPTH, levels, ratio, safe_divide
 from .labels import Fees, direction_targets, future_values, profit_targets
 from .passage import entry_exits
@@ -49,9 +50,9 @@ def _baseline(df: DataFrame, w: WindowSpec, tick: float, grid_ms: int, lookbacks
     return rows.withColumns(out).drop("__ret", "__changed")
 
 
-def step_flows(df: DataFrame, depth: int = DEPTH) -> DataFrame:
+def step_flows(df: DataFrame, depth: int = DEPTH, over: WindowSpec | None = None) -> DataFrame:
     """Per row, sizes added and removed since the last row, summed over the levels of a side (by rank); zero on the first row."""
-    w, out = ordered(), {}
+    w, out = over or ordered(), {}
     for side in ("bid", "ask"):
         change = [F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0)) for c in levels(side, "sz", depth)]
         zero = F.lit(0.0)
@@ -65,53 +66,63 @@ def wallclock_features(df: DataFrame, tick: float, windows_s: Sequence[int] = (1
     regime edges, which are full-sample quantiles of each instrument.
 
     A window's start is the first row at or after ts - w, found for all windows by one as-of union of slim rows; sums over a window
-    are differences of prefix sums, so cost does not depend on its length.
+    are differences of prefix sums, so cost does not depend on its length. What a row knows of itself and its predecessor is made in blocks
+    of numbered rows and written once, slim rows with running sums and the window features once each: later steps read the columns they need
+    of these, and df is read twice (numbers, rows), however many windows there are. No task sorts an instrument.
     """
     book = [c for c in df.columns if c.startswith(("bid_px_", "bid_sz_", "ask_px_", "ask_sz_"))]
-    rows = with_rn(df)
-    rows = rows.withColumns({f"imbalance_{k}": R.imbalance(k, skip_null=False) for k in (1, 3, 5, depth)})
-    rows = rows.withColumns(R.depth_group(tick, depth) | R.book_shape("bid", tick, depth) | R.book_shape("ask", tick, depth))
-    rows = rows.withColumns({"spread_ticks": F.col("spread_px") / tick, "spread_over_mid": safe_divide(F.col("spread_px"), F.col("mid_px"))})
-    step = F.coalesce((F.col("mid_px") - F.lag("mid_px").over(ordered())) / tick, F.lit(0.0))
-    rows = step_flows(rows.withColumn("step", step), depth).withColumn("step_sq", F.col("step") * F.col("step"))
+    depths = (1, 3, 5, depth)
     summed = ("step", "step_sq", "bid_added", "bid_removed", "ask_added", "ask_removed")
-    rows = prefix_sums(rows, summed)
-    names = ("ts_us", "rn", "mid_px", *(f"imbalance_{k}" for k in (1, 3, 5, depth)), *(f"cum_{c}" for c in summed), *summed)
-    temp = ["rn", "step", "step_sq", *(f"cum_{c}" for c in summed)]
-    starts = past_starts(rows.select("inst_id", "event_id", *names), windows_s, F.struct(*names))
-    rows = rows.join(starts, ["inst_id", "rn"], "left")
+
+    def of_row(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        step = F.coalesce((F.col("mid_px") - F.lag("mid_px").over(w)) / tick, F.lit(0.0))
+        own = {f"imbalance_{k}": R.imbalance(k, skip_null=False) for k in depths} | R.depth_group(tick, depth) | R.book_shape("bid", tick, depth) | R.book_shape("ask", tick, depth)
+        own |= {"spread_ticks": F.col("spread_px") / tick, "spread_over_mid": safe_divide(F.col("spread_px"), F.col("mid_px")), "step": step}
+        return step_flows(rows.withColumns(own), depth, w).withColumn("step_sq", F.col("step") * F.col("step"))
+
+    base = cut(in_row_blocks(df, of_row, before=1, rn="rn"), "wallclock")
+    imbalances = [f"imbalance_{k}" for k in depths]
+    slim = base.select("inst_id", "event_id", "ts_us", "rn", "mid_px", "spread_ticks", *imbalances, *summed)
+    keyed = cut(prefix_sums(slim, summed), "sums")
+    names = ("ts_us", "rn", "mid_px", *imbalances, *(f"cum_{c}" for c in summed), *summed)
+    starts = past_starts(keyed.select("inst_id", "event_id", *names), windows_s, F.struct(*names)).withColumnsRenamed({"inst_id": "__i", "rn": "__rn"})
+    met = keyed.join(starts, F.col("inst_id").eqNullSafe(F.col("__i")) & (F.col("rn") == F.col("__rn")), "left")
+    found: dict[str, Column] = {}
     for s in windows_s:
-        rows = rows.withColumn("__s", F.col(f"s_{s}"))
-        start = lambda c: F.col(f"__s.{c}")
+        start = lambda c, s=s: F.col(f"s_{s}.{c}")
         elapsed = (F.col("ts_us") - start("ts_us")) / SECOND
         move = (F.col("mid_px") - start("mid_px")) / tick
         n = (F.col("rn") - start("rn")).cast("double")
         sx, sq = F.col("cum_step") - start("cum_step"), F.col("cum_step_sq") - start("cum_step_sq")
         flow = {c: F.col(f"cum_{c}") - start(f"cum_{c}") + start(c) for c in summed[2:]}  # the step into the start counts
         bid, ask = flow["bid_added"] - flow["bid_removed"], flow["ask_added"] - flow["ask_removed"]
-        rows = rows.withColumns(
-            {f"mid_return_{s}s": move, f"mid_velocity_{s}s": safe_divide(move, elapsed), f"elapsed_{s}s": elapsed}
-            | {f"realized_vol_{s}s": F.when(n >= 2, F.sqrt(F.greatest((sq - sx * sx / n) / (n - 1), F.lit(0.0))))}
-            | {f"imbalance_{k}_delta_{s}s": F.col(f"imbalance_{k}") - start(f"imbalance_{k}") for k in (1, 3, 5, depth)}
-            | {f"{c}_{s}s": x for c, x in flow.items()}
-            | {f"bid_net_flow_{s}s": bid, f"ask_net_flow_{s}s": ask, f"order_flow_imbalance_{s}s": ratio(bid - ask, F.abs(bid) + F.abs(ask))}
-            | {f"update_intensity_{s}s": F.col("rn") - start("rn") + 1}
-        ).drop("__s")
+        found |= {f"mid_return_{s}s": move, f"mid_velocity_{s}s": safe_divide(move, elapsed)}
+        found |= {f"realized_vol_{s}s": F.when(n >= 2, F.sqrt(F.greatest((sq - sx * sx / n) / (n - 1), F.lit(0.0))))}
+        found |= {f"{c}_delta_{s}s": F.col(c) - start(c) for c in imbalances} | {f"{c}_{s}s": x for c, x in flow.items()}
+        found |= {f"bid_net_flow_{s}s": bid, f"ask_net_flow_{s}s": ask, f"order_flow_imbalance_{s}s": ratio(bid - ask, F.abs(bid) + F.abs(ask))}
+        found |= {f"update_intensity_{s}s": F.col("rn") - start("rn") + 1}
+    first = F.col("s_1.rn") if 1 in windows_s else F.lit(None).cast("bigint")
+    rows = cut(met.select("inst_id", "event_id", "ts_us", "rn", "spread_ticks", first.alias("__start"), *(c.alias(n) for n, c in found.items())), "windows")
+    more = []
     if 1 in windows_s:
         before = rows.select(F.col("inst_id").alias("__i"), F.col("rn").alias("__rn"), F.struct("mid_velocity_1s", "imbalance_5_delta_1s", "ts_us").alias("__s"))
-        rows = rows.join(before, F.col("inst_id").eqNullSafe(F.col("__i")) & (F.col("s_1.rn") == F.col("__rn")), "left").drop("__i", "__rn")
+        rows = rows.join(before, F.col("inst_id").eqNullSafe(F.col("__i")) & (F.col("__start") == F.col("__rn")), "left").drop("__i", "__rn")
         elapsed = (F.col("ts_us") - F.col("__s.ts_us")) / SECOND
-        rows = rows.withColumns(
-            {n: safe_divide(F.col(c) - F.col(f"__s.{c}"), elapsed) for n, c in (("mid_acceleration_1s", "mid_velocity_1s"), ("imbalance_5_acceleration_1s", "imbalance_5_delta_1s"))}
-        ).drop("__s")
+        pairs = (("mid_acceleration_1s", "mid_velocity_1s"), ("imbalance_5_acceleration_1s", "imbalance_5_delta_1s"))
+        rows = rows.withColumns({n: safe_divide(F.col(c) - F.col(f"__s.{c}"), elapsed) for n, c in pairs}).drop("__s")
+        more = [n for n, _ in pairs]
     vol = f"realized_vol_{30 if 30 in windows_s else max(windows_s)}s"
     intensity = f"update_intensity_{5 if 5 in windows_s else min([w for w in windows_s if w >= 5] or windows_s)}s"
-    rows = tercile_buckets(rows, {vol: "volatility_regime", "spread_ticks": "spread_regime", intensity: "activity_regime"}, by=("inst_id",))
+    regimes = {vol: "volatility_regime", "spread_ticks": "spread_regime", intensity: "activity_regime"}
     moved = F.when(F.abs(F.col(f"mid_return_{1 if 1 in windows_s else min(windows_s)}s")) > large_move_ticks, F.col("ts_us"))
-    last = F.last(moved, ignorenulls=True).over(ordered().rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("seconds_since_large_move", (F.col("ts_us") - last) / SECOND)
-    rows = rows.drop(*temp, *(f"s_{s}" for s in windows_s), *([] if keep_book else book), *(f"elapsed_{s}s" for s in windows_s))
-    return declare(rows, df.columns)
+    rows = tercile_buckets(rows, regimes, by=("inst_id",)).withColumn("__moved", moved)
+    rows = carried_last(rows, rows, "__moved", "ts_us", ("event_id",), [F.asc("ts_us"), F.asc("event_id")], "__last")
+    since = ((F.col("ts_us") - F.col("__last")) / SECOND).alias("seconds_since_large_move")
+    made = [*found, *more, *regimes.values()]
+    rows = rows.select(F.col("inst_id").alias("__i"), F.col("rn").alias("__rn"), *made, since)
+    whole = base.join(rows, F.col("inst_id").eqNullSafe(F.col("__i")) & (F.col("rn") == F.col("__rn")))
+    kept = [c for c in base.columns if c not in ("rn", "step", "step_sq") and (keep_book or c not in book)]
+    return declare(whole.select(*kept, *made, "seconds_since_large_move"), df.columns)
 
 
 @dataclass(frozen=True)
