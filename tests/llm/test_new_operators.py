@@ -1,5 +1,6 @@
 """Token records, Merkle manifest and source divergence against brute force; damage, tampering, nulls, ties, odd columns, empty tables."""
 
+import gzip
 import hashlib
 import os
 import random
@@ -10,9 +11,9 @@ from collections import Counter
 
 import duckdb
 import pytest
-from test_llm import BPE, HARD, docs, fuzz, prose
+from test_llm import BPE, HARD, docs, fuzz, prose, record
 
-from tickloom.llm import divergence, merkle, queries, shared, token_records
+from tickloom.llm import divergence, merkle, queries, shared, token_records, warc
 
 
 @pytest.fixture(scope="module")
@@ -227,3 +228,17 @@ def test_divergence_of_odd_columns(spark):
     got = divergence.source_divergence(df, lang_col="l l", source_col="n", text_col="t.t")
     assert sorted(map(tuple, got.collect())) == sorted(divergence_brute([("a b", "en", "x"), ("a c", "en", "x"), ("a", "en", "y")]))
     assert divergence.source_divergence(df.where("false"), lang_col="l l", source_col="n", text_col="t.t").count() == 0
+
+
+def test_salvage_takes_no_record_out_of_a_payload():
+    quoted = record(99, b"never written")
+    for wrap in (bytes, gzip.compress):
+        bad = bytearray(record(1, b"a page about archives\r\n\r\n" + quoted + b"tail"))
+        bad[bad.index(b"tail") + 1] ^= 1
+        data = b"".join(map(wrap, (record(0, b"x"), bytes(bad), record(2, b"y"))))
+        found = list(warc.salvage(data))
+        assert [w[0]["x-page-id"] for kind, *_, w in found if kind == "record"] == ["0", "2"]
+        assert [(kind, why) for kind, *_, why in found if kind == "gap"] == [("gap", "block digest differs")]
+        assert sum(b - a for _, a, b, _ in found) == len(data)
+    cut = record(1, b"p" * 50)[:-30] + record(2, b"z")  # its length leads nowhere: the next version line is searched for
+    assert [w[0]["x-page-id"] for kind, *_, w in warc.salvage(cut) if kind == "record"] == ["2"]

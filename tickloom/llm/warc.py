@@ -31,6 +31,19 @@ def record_bytes(headers: dict[str, str], block: bytes) -> bytes:
     return VERSION + b"\r\n" + head + b"\r\n" + block + b"\r\n\r\n"
 
 
+def framed_end(data: bytes, at: int) -> int | None:
+    """Where the record at `at` ends by its own length, if what follows confirms it: its two line ends, then a version line, a member or
+    nothing more. Such a record is whole in itself, even if its digest fails, so no record is looked for inside it."""
+    begin = data.find(b"\r\n\r\n", at)
+    if begin < 0 or not _VERSION_LINE.match(data, at) or not (length := _LENGTH.search(data, at, begin + 2)):
+        return None
+    end = begin + 4 + int(length[1])
+    if data[end : end + 4] != b"\r\n\r\n":
+        return None
+    end += 4
+    return end if end == len(data) or data.startswith(_MEMBER, end) or _VERSION_LINE.match(data, end) else None
+
+
 def parse_record(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     """(end, headers in lower case, block) of the record at `at`; ValueError with the failed check."""
     if not _VERSION_LINE.match(data, at):
@@ -101,7 +114,7 @@ def _records_in(plain: bytes) -> list[tuple[dict[str, str], bytes]]:
             here, headers, block = parse_record(plain, line.start())
             found.append((headers, block))
         except ValueError:
-            here = line.start() + 1
+            here = framed_end(plain, line.start()) or line.start() + 1
     return found
 
 
@@ -109,7 +122,8 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     """("record", begin, end, (headers, block)) or ("gap", begin, end, failed check), in order and without holes.
 
     At each place a gzip member or a plain record is read and checked. If that fails, the next member or version line whose
-    record passes all checks is searched for; the bytes up to it are one gap. A member that fails (a fault in its stream, its
+    record passes all checks is searched for; the bytes up to it are one gap. A record that only fails in itself (its digest differs,
+    but it ends where its length says and another follows) is one gap: what its payload quotes is no record. A member that fails (a fault in its stream, its
     end missing, one bad record among many) is a gap as a whole, but those of its records that pass their own checks are
     given too, before the gap and with an empty span.
     """
@@ -125,6 +139,10 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
         try:
             end, found = read(at)
         except ValueError as e:
+            if whole := framed_end(data, at):
+                yield "gap", at, whole, str(e)
+                at = whole
+                continue
             why, here, end = str(e), at + 1, size
             if data.startswith(_MEMBER, at):
                 for one in _records_in(_plain_of(data, at)):
@@ -143,6 +161,9 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
                     if data.startswith(_MEMBER, here) and _records_in(_plain_of(data, here)):
                         end, found = here, []  # a failed member with records of its own: a gap by itself
                         break
+                    if framed_end(data, here):
+                        end, found = here, []  # so is a failed record that is whole
+                        break
                     here += 1
             yield "gap", at, here, why
             at = here
