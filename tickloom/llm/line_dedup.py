@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, docs_in, drop_cuts, free_names, map_batches, quoted
+from .shared import cut, docs_in, drop_cuts, map_batches, may_hold, quoted
 
 _ODD = 0x9E3779B97F4A7C15  # multiplier of the rolling hash, any odd 64-bit number
 _MASK = (1 << 64) - 1
@@ -131,7 +131,7 @@ def _repeated_runs(slim: DataFrame, hashed: DataFrame, run, grow: bool) -> DataF
     # written: a join whose sides are plain shuffles can be split where one hash is hot, one with an aggregate in it cannot
     repeated = cut(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     candidates = hashed.join(repeated, "h").groupBy("id", "th").agg(F.collect_set("a").alias("starts"))
-    candidates = candidates.select(F.col("id").alias("cid"), F.col("th").alias("cth"), "starts")
+    candidates = cut(candidates.select(F.col("id").alias("cid"), F.col("th").alias("cth"), "starts"), "candidates")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in docs_in(batches, 2, 2 << 20, binary=True):
@@ -144,7 +144,8 @@ def _repeated_runs(slim: DataFrame, hashed: DataFrame, run, grow: bool) -> DataF
             columns = [pa.array(c, pa.int32()) for c in columns[:2]] + [pa.array(c, pa.binary()) for c in columns[2:]]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *columns], names=["id", "th", "a", "b", "data", "before", "after"])
 
-    near = slim.join(candidates, slim["id"].eqNullSafe(candidates["cid"]) & (slim["th"] == candidates["cth"]))
+    wanted = may_hold(slim, "th", candidates, "cth", "held").where("held")  # most texts need no shuffle
+    near = wanted.join(candidates, F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")))
     read = cut(near.select("id", "th", "t", "starts").mapInArrow(spans, f"id {kind}, th bigint, a int, b int, data binary, before binary, after binary"), "spans")
     place = F.struct("id", "th", "a")
     first = read.groupBy("data").agg(F.min(F.struct("id", "th", "a", "before", "after")).alias("first"), F.max(place).alias("last"))
@@ -162,7 +163,7 @@ def _repeated_runs(slim: DataFrame, hashed: DataFrame, run, grow: bool) -> DataF
     if grow:
         more = more.select("id", "th", "a", "b", "before", "after", "fbefore", "fafter").mapInArrow(larger, f"id {kind}, th bigint, a int, b int")
     runs = cut(more.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("runs")), "runs")
-    drop_cuts(repeated, read, first)
+    drop_cuts(repeated, candidates, read, first)
     return runs
 
 
@@ -218,8 +219,7 @@ def _pair_runs(slim: DataFrame, hashes: DataFrame, runs: DataFrame) -> DataFrame
 
 def _without(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str, removed_col: str | None) -> DataFrame:
     """docs without the lines of their runs."""
-    text = F.col(quoted(text_col)).cast("string")
-    hashed_as, gone_id, gone_hash, gone_runs = free_names(docs, "th", "gid", "gth", "gone")
+    gone_id, gone_hash, gone_runs = "gid", "gth", "gone"
     gone = runs.groupBy("id", "th").agg(F.flatten(F.collect_list("runs")).alias(gone_runs)).select(F.col("id").alias(gone_id), F.col("th").alias(gone_hash), gone_runs)
     at, n_columns = docs.columns.index(text_col), len(docs.columns)
     kept = [T.StructField(f.name, T.StringType(), f.nullable) if i == at else f for i, f in enumerate(docs.schema.fields)]
@@ -240,9 +240,15 @@ def _without(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str, remov
             columns = [pa.array(new, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(n_columns)]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(removed, pa.int64())] if removed_col else [])], names=names)
 
-    rows = docs.withColumn(hashed_as, F.xxhash64(text))
-    joined = rows.join(gone, F.col(quoted(id_col)).eqNullSafe(F.col(gone_id)) & (F.col(hashed_as) == F.col(gone_hash)), "left")
-    return map_batches(joined.select(*(text.alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns), gone_runs), clean, schema)
+    gone = cut(gone, "gone")
+    rows = docs.toDF(*(f"c{i}" for i in range(n_columns)))  # whatever the columns' names
+    body = F.col(f"c{at}").cast("string")
+    rows = may_hold(rows.withColumn("th", F.xxhash64(body)), "th", gone, gone_hash, "held")
+    columns = [body.alias(f"c{i}") if i == at else F.col(f"c{i}") for i in range(n_columns)]
+    own = F.col(f"c{docs.columns.index(id_col)}").eqNullSafe(F.col(gone_id)) & (F.col("th") == F.col(gone_hash))
+    touched = map_batches(rows.where("held").join(gone, own, "left").select(*columns, gone_runs), clean, schema)
+    others = rows.where("not held").select(*columns, *([F.lit(0).cast("bigint")] if removed_col else [])).toDF(*names)
+    return touched.union(others)
 
 
 def passage_runs(docs: DataFrame, rules: ChunkRules = ChunkRules(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -64,6 +64,21 @@ def drop_cuts(*cuts: DataFrame) -> None:
         drop_path(df.sparkSession, df._cut_path)
 
 
+#: Bits of may_hold's bitmap: 8 MB, whatever the number of keys.
+BITMAP_BITS = 1 << 26
+
+
+def may_hold(df: DataFrame, hash_col: str, keys: DataFrame, key_col: str, flag: str) -> DataFrame:
+    """df with `flag`: false only where hash_col is none of the 64-bit hashes key_col of keys. A bitmap of BITMAP_BITS bits, 4 KB a row, is sent
+    to all tasks, so rows that meet nothing need not be shuffled with their texts; the more keys, the more rows pass for nothing."""
+    of = lambda c: F.pmod(c, F.lit(BITMAP_BITS)) + 1  # noqa: E731  bitmap functions count from 1
+    bits = keys.select(of(F.col(key_col)).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bits_of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    met = df.withColumn("at", of(F.col(hash_col))).join(F.broadcast(bits), F.bitmap_bucket_number("at") == F.col("bits_of"), "left")
+    spot = F.expr("cast(bitmap_bit_position(at) as int)")
+    byte = F.conv(F.hex(F.substring("bits", (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.select(*(F.col(quoted(c)) for c in df.columns), F.coalesce(F.floor(byte / F.pow(F.lit(2), spot % 8)) % 2 == 1, F.lit(False)).alias(flag))
+
+
 def quoted(name: str) -> str:
     """A column's name for F.col, whatever characters it holds."""
     return "`" + name.replace("`", "``") + "`"
