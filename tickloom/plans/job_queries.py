@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..cuts import cut, drop_path, shared_path
-from ..functions import names, roles
+from ..functions import names, ranged, roles
 from ..functions.timewin import SECOND
-from ..operators import assemble, book as B, passage
+from ..operators import assemble, book as B, passage, stability
 from ..sources import shards
 from . import views as V
 from .more_queries import _END, _EVENTS, _OPEN, _REBUILD, _START, _opening, _targets_sql
@@ -136,3 +136,39 @@ def entry_price_exits(spark, d):
     """Sixteen exits of up to 150 rows by one first passage from each row's own entry price."""
     rows = V.book(spark, d).select("inst_id", "event_id", "ts_us", "mid_px", "bid_px_01", "ask_px_01")
     return passage.entry_exits(rows, TICK, (500, 3000), (700, 5000), {"r10": 10, "r150": 150}).drop("inst_id", "ts_us", "mid_px", "bid_px_01", "ask_px_01")
+
+
+_NEAR = """WITH f AS (SELECT unnest([{'feature': 'score', 'x': score}, {'feature': 'root', 'x': sqrt(doc_id::DOUBLE)}]) AS f, y FROM scores WHERE y IS NOT NULL),
+  l AS (SELECT f.feature AS feature, f.x AS x, y, row_number() OVER () AS id, count(*) OVER (PARTITION BY f.feature, y) AS c FROM f WHERE f.x IS NOT NULL),
+  k AS (SELECT * FROM l WHERE c > 1),
+  e AS (SELECT feature, id, x, c, least(3, c - 1) AS used, list_sort(list_filter([{'d': abs(v - x), 'v': v} for v in [lag(x, 1) OVER w, lag(x, 2) OVER w, lag(x, 3) OVER w, lead(x, 1) OVER w, lead(x, 2) OVER w, lead(x, 3) OVER w]], lambda s: s.v IS NOT NULL)) AS ds
+        FROM k WINDOW w AS (PARTITION BY feature, y ORDER BY x, id)),
+  r AS (SELECT feature, id, x, c, used, ds[used].d AS r, ds[used].v AS v FROM e),
+  b AS (SELECT *, CASE WHEN r = 0 THEN x WHEN v < x THEN v ELSE x - r END AS lo, CASE WHEN r = 0 THEN x WHEN v > x THEN v ELSE x + r END AS hi FROM r),
+  m AS (SELECT b.feature, b.id, any_value(b.c) AS c, any_value(b.used) AS used, count(*) AS m FROM b JOIN b o ON o.feature = b.feature AND ((b.r = 0 AND o.x = b.x) OR (b.r > 0 AND o.x > b.lo AND o.x < b.hi)) GROUP BY b.feature, b.id),
+  h AS (SELECT i, -0.5772156649015329::DOUBLE + sum(CASE WHEN i > 1 THEN 1.0::DOUBLE / (i - 1) ELSE 0 END) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS psi FROM (SELECT range AS i FROM range(1, (SELECT count(*) + 2 FROM scores)))),
+  s AS (SELECT feature, count(*) AS n, avg(hk.psi) - avg(hc.psi) - avg(hm.psi) AS rest FROM m JOIN h hk ON hk.i = m.used JOIN h hc ON hc.i = m.c JOIN h hm ON hm.i = m.m GROUP BY feature)
+  SELECT feature, n, round(greatest(0, psi + rest), 6) AS mutual_info FROM s JOIN h ON h.i = s.n"""
+
+
+@query(_NEAR, "scores")
+def nearest_information(spark, d):
+    """Mutual information with the label by nearest neighbours: a score with many ties and a feature without any."""
+    rows = V.scores(spark, d).withColumn("root", F.sqrt(F.col("doc_id").cast("double")))
+    return ranged.nearest_information(rows, ["score", "root"], "y").select("feature", "n", F.round("mutual_info", 6).alias("mutual_info"))
+
+
+@query(
+    """WITH p AS (SELECT (mid_px > 60)::INT AS y, event_id % 97 AS s, least((row_number() OVER (ORDER BY ts_us, event_id) - 1) * 3 // count(*) OVER (), 2)::INT AS part FROM ticks),
+    r AS (SELECT part, y, s, rank() OVER (PARTITION BY part ORDER BY s) + (count(*) OVER (PARTITION BY part, s) - 1) / 2e0 AS r FROM p),
+    a AS (SELECT part, count(*) AS n, avg(y) AS positive_rate, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y) * (count(*) - sum(y))) AS auc FROM r GROUP BY part),
+    g AS (SELECT part, s, sum(y) AS pos, count(*) AS n FROM p GROUP BY ALL), h AS (SELECT part, pos, sum(pos) OVER w AS tp, sum(n) OVER w AS ab FROM g WINDOW w AS (PARTITION BY part ORDER BY s DESC)),
+    q AS (SELECT part, sum(pos * (tp / ab::DOUBLE)) / sum(pos) AS ap FROM h GROUP BY part)
+    SELECT part, n, round(positive_rate, 9) AS positive_rate, round(auc, 9) AS roc_auc, round(ap, 9) AS average_precision FROM a JOIN q USING (part)""",
+    "ticks",
+)
+def stability_of_score(spark, d):
+    """Area under the curve and average precision of a score in thirds of the rows by time."""
+    rows = V.ticks(spark, d).selectExpr("ts_us", "event_id", "CAST(mid_px > 60 AS INT) AS y", "CAST(event_id % 97 AS DOUBLE) AS s")
+    found = stability.stability_of_score(rows, "y", "s", ["ts_us", "event_id"])
+    return found.select("part", "n", *(F.round(c, 9).alias(c) for c in ("positive_rate", "roc_auc", "average_precision")))
