@@ -130,7 +130,8 @@ def _repeated_runs(slim: DataFrame, hashed: DataFrame, run, grow: bool) -> DataF
     kind = slim.schema["id"].dataType.simpleString()
     # written: a join whose sides are plain shuffles can be split where one hash is hot, one with an aggregate in it cannot
     repeated = cut(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
-    candidates = hashed.join(repeated, "h").groupBy("id", "th").agg(F.collect_set("a").alias("starts"))
+    # one kind of join at every size: what is shuffled grows with the input, not by leaps where a side gets too large to be sent whole
+    candidates = hashed.join(repeated.hint("merge"), "h").groupBy("id", "th").agg(F.collect_set("a").alias("starts"))
     candidates = cut(candidates.select(F.col("id").alias("cid"), F.col("th").alias("cth"), "starts"), "candidates")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +146,12 @@ def _repeated_runs(slim: DataFrame, hashed: DataFrame, run, grow: bool) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *columns], names=["id", "th", "a", "b", "data", "before", "after"])
 
     wanted = may_hold(slim, "th", candidates, "cth", "held").where("held")  # most texts need no shuffle
-    near = wanted.join(candidates, F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")))
+    near = wanted.join(candidates.hint("merge"), F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")))
     read = cut(near.select("id", "th", "t", "starts").mapInArrow(spans, f"id {kind}, th bigint, a int, b int, data binary, before binary, after binary"), "spans")
     place = F.struct("id", "th", "a")
     first = read.groupBy("data").agg(F.min(F.struct("id", "th", "a", "before", "after")).alias("first"), F.max(place).alias("last"))
     first = cut(first.select("data", F.expr("struct(first.id, first.th, first.a)").alias("place"), "first.before", "first.after", "last").where("place <> last").select("data", "place", F.col("before").alias("fbefore"), F.col("after").alias("fafter")), "first")
-    more = read.join(first, "data").where(~place.eqNullSafe(F.col("place")))
+    more = read.join(first.hint("merge"), "data").where(~place.eqNullSafe(F.col("place")))
 
     def larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +211,7 @@ def _pair_runs(slim: DataFrame, hashes: DataFrame, runs: DataFrame) -> DataFrame
         return [(i, j + 1, b"\n".join(lines[i : j + 1]), None, None) for i, j in zip(full, full[1:], strict=False) if i in starts]
 
     found = runs.select(F.col("id").alias("rid"), F.col("th").alias("rth"), "runs")
-    joined = hashes.join(found, hashes["id"].eqNullSafe(found["rid"]) & (hashes["th"] == found["rth"]), "left")
+    joined = hashes.join(found.hint("merge"), hashes["id"].eqNullSafe(found["rid"]) & (hashes["th"] == found["rth"]), "left")
     pairs = cut(joined.select("id", "th", "worded", "pairs", "runs").mapInArrow(left, f"id {kind}, th bigint, a int, h bigint"), "pairs")
     out = _repeated_runs(slim, pairs, read, False)
     drop_cuts(pairs)
@@ -246,7 +247,7 @@ def _without(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str, remov
     rows = may_hold(rows.withColumn("th", F.xxhash64(body)), "th", gone, gone_hash, "held")
     columns = [body.alias(f"c{i}") if i == at else F.col(f"c{i}") for i in range(n_columns)]
     own = F.col(f"c{docs.columns.index(id_col)}").eqNullSafe(F.col(gone_id)) & (F.col("th") == F.col(gone_hash))
-    touched = map_batches(rows.where("held").join(gone, own, "left").select(*columns, gone_runs), clean, schema)
+    touched = map_batches(rows.where("held").join(gone.hint("merge"), own, "left").select(*columns, gone_runs), clean, schema)
     others = rows.where("not held").select(*columns, *([F.lit(0).cast("bigint")] if removed_col else [])).toDF(*names)
     return touched.union(others)
 
