@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cuts import cut
 from ..functions.quantiles import with_quantiles
 from ..functions.timewin import SECOND, carried_last
 from ..schema import DEPTH, SIDES, level
@@ -283,6 +284,41 @@ def order_forensics(real: DataFrame, deltas: DataFrame, k: int, orders: dict[str
     return flagged.orderBy(F.desc_nulls_last(first), "inst_id", "ts_us").limit(k)
 
 
+def sampled_points(real: DataFrame, share: float, seed: int = 42, keys: tuple[str, ...] = ("inst_id", "ts_us")) -> DataFrame:
+    """The keys of a seeded share of real's points: those whose hash lies below it, whatever else the table holds."""
+    text = F.concat_ws("#", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys))
+    spot = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return real.select(*keys).distinct().where(spot < int(share * (1 << 32)))
+
+
+def sampled_forensics(
+    real: DataFrame, deltas: DataFrame, k: int, orders: dict[str, tuple[str, ...]], share: float = 0.1, seed: int = 42, depth: int = DEPTH, bucket_rows: int = 50_000
+) -> DataFrame:
+    """The k worst of a seeded sample of real's points (level rows) under the first order of the deltas within a time, and how they fare
+    under the second: (inst_id, ts_us, max_px_diff_<order>, max_sz_diff_<order> of both, improved).
+
+    Two phases: the sample is replayed once; the k worst points, a bounded table, are written, and only their instruments' deltas up to
+    their last point are replayed again. improved: the price difference shrinks, or the size difference where prices stay."""
+    (first, a), (second, b) = orders.items()
+
+    def against(points: DataFrame, seq: tuple[str, ...], name: str) -> DataFrame:
+        until = points.groupBy(F.col("inst_id").alias("__i")).agg(F.max("ts_us").alias("__until"))
+        own = deltas.join(until, F.col("inst_id").eqNullSafe(F.col("__i")) & (F.col("ts_us") <= F.col("__until"))).select(*deltas.columns)
+        rec = carried_replay(own.withColumn("seg_us", F.lit(0)), points.withColumn("seg_us", F.lit(0)), depth, seq, bucket_rows)
+        at = points.select(F.col("inst_id").alias("__i"), F.col("ts_us").alias("__t"))
+        asked = real.join(at, F.col("inst_id").eqNullSafe(F.col("__i")) & (F.col("ts_us") == F.col("__t")), "left_semi")
+        found = compare_levels(asked, wide_to_levels(rec, depth=depth))
+        return found.select("inst_id", "ts_us", F.col("max_px_diff").alias(f"max_px_diff_{name}"), F.col("max_sz_diff").alias(f"max_sz_diff_{name}"))
+
+    px, sz = f"max_px_diff_{first}", f"max_sz_diff_{first}"
+    worst_of = cut(against(sampled_points(real, share, seed), a, first).orderBy(F.desc_nulls_last(px), F.desc_nulls_last(sz), "inst_id", "ts_us").limit(k), "worst")
+    again = against(worst_of.select("inst_id", "ts_us"), b, second).withColumnsRenamed({"inst_id": "__i", "ts_us": "__t"})
+    both = worst_of.join(again, F.col("inst_id").eqNullSafe(F.col("__i")) & (F.col("ts_us") == F.col("__t"))).drop("__i", "__t")
+    less = lambda what: F.col(f"max_{what}_diff_{second}") < F.col(f"max_{what}_diff_{first}")
+    same = F.col(f"max_px_diff_{second}") == F.col(px)
+    return both.withColumn("improved", F.coalesce(less("px") | (same & less("sz")), F.lit(False)))
+
+
 def sanity_counters(points: DataFrame) -> DataFrame:
     """Crossed books, sizes at or below zero, match shares and worst differences over all compared points, one row."""
     return points.agg(

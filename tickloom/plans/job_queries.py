@@ -10,6 +10,7 @@ from ..cuts import cut, drop_path, shared_path
 from ..functions import names, ranged, roles
 from ..functions.timewin import SECOND
 from ..operators import assemble, book as B, passage, stability
+from ..operators.replay import carried_replay
 from ..sources import shards
 from . import views as V
 from .more_queries import _END, _EVENTS, _OPEN, _REBUILD, _START, _opening, _targets_sql
@@ -172,3 +173,25 @@ def stability_of_score(spark, d):
     rows = V.ticks(spark, d).selectExpr("ts_us", "event_id", "CAST(mid_px > 60 AS INT) AS y", "CAST(event_id % 97 AS DOUBLE) AS s")
     found = stability.stability_of_score(rows, "y", "s", ["ts_us", "event_id"])
     return found.select("part", "n", *(F.round(c, 9).alias(c) for c in ("positive_rate", "roc_auc", "average_precision")))
+
+
+def _ordered_book(name: str, seq: str) -> str:
+    return f"""{name}_live AS (SELECT e.inst_id, e.ts_us, c.side, c.price, arg_max(c.size, (c.ts_us, {seq})) AS size FROM s e JOIN x c ON c.inst_id = e.inst_id AND c.ts_us <= e.ts_us GROUP BY ALL),
+    {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY inst_id, ts_us, side ORDER BY CASE WHEN side = 'bid' THEN -price ELSE price END) AS level FROM {name}_live WHERE size > 0) WHERE level <= 10)"""
+
+
+@query(
+    f"""WITH x AS (SELECT inst_id, ts_us // {2 * DAY} * {2 * DAY} AS ts_us, seq, side, price, size FROM deltas), t AS (SELECT DISTINCT inst_id, ts_us FROM x),
+    s AS (SELECT * FROM t WHERE ('0x' || substr(md5('42#' || inst_id || '#' || ts_us), 1, 8))::BIGINT < {int(0.5 * (1 << 32))}), {_ordered_book('good', 'c.seq')}, {_ordered_book('bad', '-c.seq')},
+    f AS (SELECT inst_id, ts_us, max(abs(g.price - b.price)) AS px, max(abs(g.size - b.size)) AS sz FROM good g FULL JOIN bad b USING (inst_id, ts_us, side, level) GROUP BY ALL),
+    w AS (SELECT * FROM f ORDER BY px DESC NULLS LAST, sz DESC NULLS LAST, inst_id, ts_us LIMIT 12)
+    SELECT inst_id, ts_us, round(px, 9) AS max_px_diff_back, sz AS max_sz_diff_back, 0e0 AS max_px_diff_fixed, 0e0 AS max_sz_diff_fixed, coalesce(px > 0 OR sz > 0, false) AS improved FROM w""",
+    "deltas",
+)
+def sampled_forensics(spark, d):
+    """Half of the times of two days each: the twelve that differ most from the book if changes of a time are played backwards, and what the right order mends."""
+    rows = V.deltas(spark, d).withColumn("ts_us", F.floor(F.col("ts_us") / (2 * DAY)) * (2 * DAY)).withColumn("back", -F.col("seq"))
+    times = rows.select("inst_id", "ts_us").distinct().withColumn("seg_us", F.lit(0))
+    real = B.wide_to_levels(carried_replay(rows.withColumn("seg_us", F.lit(0)), times))
+    found = B.sampled_forensics(real, rows, 12, {"back": ("back",), "fixed": ("seq",)}, share=0.5)
+    return found.withColumn("max_px_diff_back", F.round("max_px_diff_back", 9))
