@@ -10,7 +10,7 @@ from ..operators import assemble, book as B, eda, evaluate, labels, passage, sta
 from ..schema import levels
 from ..sources import tables
 from . import views as V
-from .queries import HOUR, W, query
+from .queries import HOUR, W, TARGET_NAME, query
 from .views import DAY, TICK
 
 _F = "WINDOW w AS (PARTITION BY inst_id ORDER BY ts_us, event_id)"
@@ -21,22 +21,18 @@ def _r(df, *keep, **rounded):
     return df.select(*keep, *(F.round(c, n).alias(c) for c, n in rounded.items()))
 
 
-_NAMES = [
-    "long_hit_up_300t_before_down_150t_within_60s", "long_hit_up_300t_before_down_300t_within_60s", "short_hit_down_300t_before_up_within_60s", "long_hit_up_5t_within_30s",
-    "short_max_adverse_excursion_ticks_within_120s", "long_max_favorable_excursion_ticks_within_30s", "mid_px", "long_hit_up_within_5s",
-]
 _HIT = "regexp_extract(name, '^(?:long|short)_hit_(?:up|down)_([0-9]+)t(?:_before_(?:up|down)(?:_[0-9]+t)?)?_within_[0-9]+s$', 1)"
 
 
 @query(
-    f"""WITH n AS (SELECT unnest({_NAMES!r}) AS name), t AS (SELECT *, try_cast(nullif({_HIT}, '') AS INT) AS threshold_ticks, regexp_matches(name, '_excursion_ticks_within_[0-9]+s$') AS ex, regexp_matches(name, '_before_(up|down)_within') AS sym FROM n),
+    f"""WITH n AS (SELECT DISTINCT {TARGET_NAME} FROM events), t AS (SELECT *, try_cast(nullif({_HIT}, '') AS INT) AS threshold_ticks, regexp_matches(name, '_excursion_ticks_within_[0-9]+s$') AS ex, regexp_matches(name, '_before_(up|down)_within') AS sym FROM n),
     a AS (SELECT *, CASE WHEN threshold_ticks IS NOT NULL THEN CASE WHEN sym THEN threshold_ticks ELSE try_cast(nullif(regexp_extract(name, '_before_(?:up|down)_([0-9]+)t_', 1), '') AS INT) END END AS adverse_ticks FROM t)
     SELECT name, CASE WHEN ex THEN 'regression' WHEN threshold_ticks IS NOT NULL THEN 'binary' END AS kind, CASE WHEN ex OR threshold_ticks IS NOT NULL THEN split_part(name, '_', 1) END AS direction, threshold_ticks, adverse_ticks,
       CASE WHEN ex OR threshold_ticks IS NOT NULL THEN try_cast(regexp_extract(name, 'within_([0-9]+)s$', 1) AS INT) END AS horizon_sec, threshold_ticks = adverse_ticks AS symmetric, CASE WHEN ex THEN split_part(name, '_', 3) END AS excursion_type,
       coalesce(threshold_ticks >= 260, false) AS eligible FROM a"""
 )
 def target_name_fields(spark, d):
-    rows = spark.createDataFrame([(n,) for n in _NAMES], "name string")
+    rows = V.events(spark, d).selectExpr(TARGET_NAME).distinct()
     return rows.withColumns(names.target_fields(F.col("name")) | {"eligible": names.modeling_eligible(F.col("name"))})
 
 

@@ -275,7 +275,7 @@ def anchor_lookup(spark, d):
     return anchor(V.ticks(spark, d), F.lit(1705276800000000)).select("inst_id", "ts_us", "event_id")
 
 
-_REAL = "real AS (SELECT inst_id, ts_us, side, level, price, size FROM (" + " UNION ALL ".join(f"SELECT inst_id, ts_us, event_id, '{s}' AS side, {i} AS level, {s}_px_{i:02d} AS price, {s}_sz_{i:02d} AS size FROM book" for s in ("bid", "ask") for i in (1, 2, 3)) + ") WHERE size > 0 AND event_id % 10 = 0)"
+_REAL = "real AS (SELECT inst_id, ts_us, side, level, price, size FROM (" + " UNION ALL ".join(f"SELECT inst_id, ts_us, event_id, '{s}' AS side, {i} AS level, {s}_px_{i:02d} AS price, {s}_sz_{i:02d} AS size FROM book" for s in ("bid", "ask") for i in range(1, DEPTH + 1)) + ") WHERE size > 0)"
 
 
 @query(
@@ -286,7 +286,7 @@ _REAL = "real AS (SELECT inst_id, ts_us, side, level, price, size FROM (" + " UN
     "book",
 )
 def snapshot_validation(spark, d):
-    real = B.wide_to_levels(V.book(spark, d).where("event_id % 10 = 0"), depth=3)
+    real = B.wide_to_levels(V.book(spark, d))
     rec = real.where("size <> 11").withColumn("price", F.col("price") + (F.col("size") % 3) / 1e2).withColumn("size", F.col("size") + F.col("level"))
     return B.compare_levels(real, rec).select("inst_id", "ts_us", F.round("max_px_diff", 6).alias("max_px_diff"), "max_sz_diff", F.round("mean_sz_diff", 6).alias("mean_sz_diff"), "top1_bid_match", "top1_ask_match", "n_compared")
 
@@ -345,10 +345,11 @@ def occurrence_join(spark, d):
     return joined.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
-@query("SELECT a.event_id, b.event_id AS found FROM ticks a ASOF LEFT JOIN (SELECT * FROM ticks WHERE event_id % 7 = 0) b ON a.inst_id = b.inst_id AND a.ts_us >= b.ts_us", "ticks")
+@query(f"SELECT a.event_id, b.event_id AS found FROM ticks a ASOF LEFT JOIN (SELECT *, ts_us + {HOUR * SECOND // 2} AS seen FROM ticks) b ON a.inst_id = b.inst_id AND a.ts_us >= b.seen", "ticks")
 def asof_backward(spark, d):
+    """What a stream that arrives half an hour late has brought by each row's time."""
     t = V.ticks(spark, d)
-    return asof(t, t.where("event_id % 7 = 0"), F.col("ts_us"), F.col("ts_us"), F.col("event_id")).select("event_id", "found")
+    return asof(t, t, F.col("ts_us"), F.col("ts_us") + HOUR * SECOND // 2, F.col("event_id")).select("event_id", "found")
 
 
 @query(f"SELECT a.event_id, b.event_id AS found FROM ticks a ASOF LEFT JOIN ticks b ON a.inst_id = b.inst_id AND a.ts_us - {HOUR * SECOND} >= b.ts_us", "ticks")
@@ -552,16 +553,23 @@ def multiclass_metrics(spark, d):
     return evaluate.multiclass_report(V.scores(spark, d).withColumn("p", (F.col("score") >= 0.5).cast("int")), "y", "p")
 
 
-_NAMES = ["long_hit_up_300t_before_down_150t_within_60s", "short_hit_down_300t_before_up_within_60s", "long_hit_up_5t_within_30s", "short_max_adverse_excursion_ticks_within_120s", "mid_px"]
+#: A target's (or another column's) name made from an event: eight forms with the event's own numbers.
+TARGET_NAME = (
+    "CASE event_id % 8 WHEN 0 THEN concat('long_hit_up_', event_id % 500 + 1, 't_before_down_', event_id % 250 + 1, 't_within_', event_id % 180 + 1, 's') "
+    "WHEN 1 THEN concat('long_hit_up_', event_id % 500 + 1, 't_before_down_', event_id % 500 + 1, 't_within_', event_id % 180 + 1, 's') "
+    "WHEN 2 THEN concat('short_hit_down_', event_id % 500 + 1, 't_before_up_within_', event_id % 180 + 1, 's') WHEN 3 THEN concat('long_hit_up_', event_id % 500 + 1, 't_within_', event_id % 180 + 1, 's') "
+    "WHEN 4 THEN concat('short_max_adverse_excursion_ticks_within_', event_id % 180 + 1, 's') WHEN 5 THEN concat('long_max_favorable_excursion_ticks_within_', event_id % 180 + 1, 's') "
+    "WHEN 6 THEN concat('mid_return_', event_id % 180 + 1, 's') ELSE concat('long_hit_up_', 'within_', event_id % 180 + 1, 's') END AS name"
+)
 
 
 @query(
-    "SELECT * FROM (VALUES ('" + "'), ('".join(_NAMES) + "')) n(name), LATERAL (SELECT CASE WHEN name LIKE '%\\_before\\_%t\\_within%' ESCAPE '\\' AND regexp_matches(name, 'before_(up|down)_[0-9]') THEN 'asymmetric' WHEN name LIKE '%before%' THEN 'symmetric' WHEN name LIKE '%\\_hit\\_%' ESCAPE '\\' THEN 'hit' WHEN name LIKE '%excursion%' THEN 'excursion' END AS kind, "
-    "CASE WHEN name LIKE '%within%' THEN split_part(name, '_', 1) END AS direction, try_cast(nullif(regexp_extract(name, 'hit_[a-z]+_([0-9]+)t', 1), '') AS INT) AS threshold, try_cast(nullif(regexp_extract(name, 'before_[a-z]+_([0-9]+)t', 1), '') AS INT) AS adverse, try_cast(nullif(regexp_extract(name, 'within_([0-9]+)s', 1), '') AS INT) AS horizon_s, "
-    "CASE WHEN name LIKE '%within%' THEN (regexp_matches(name, 'before_(up|down)_within'))::INT END AS symmetric, CASE WHEN name LIKE '%excursion%' THEN regexp_extract(name, 'max_([a-z]+)_', 1) END AS excursion_type)"
+    f"SELECT * FROM (SELECT DISTINCT {TARGET_NAME} FROM events) n, LATERAL (SELECT CASE WHEN name LIKE '%\\_before\\_%t\\_within%' ESCAPE '\\' AND regexp_matches(name, 'before_(up|down)_[0-9]') THEN 'asymmetric' WHEN name LIKE '%before%' THEN 'symmetric' WHEN regexp_matches(name, '_hit_[a-z]+_[0-9]') THEN 'hit' WHEN name LIKE '%excursion%' THEN 'excursion' END AS kind, "
+    "CASE WHEN name LIKE '%within%' AND name NOT LIKE '%up_within%' OR name LIKE '%before%' THEN split_part(name, '_', 1) END AS direction, try_cast(nullif(regexp_extract(name, 'hit_[a-z]+_([0-9]+)t', 1), '') AS INT) AS threshold, try_cast(nullif(regexp_extract(name, 'before_[a-z]+_([0-9]+)t', 1), '') AS INT) AS adverse, CASE WHEN name NOT LIKE 'long_hit_up_within%' THEN try_cast(nullif(regexp_extract(name, 'within_([0-9]+)s', 1), '') AS INT) END AS horizon_s, "
+    "CASE WHEN name LIKE '%within%' AND name NOT LIKE 'long_hit_up_within%' THEN (regexp_matches(name, 'before_(up|down)_within'))::INT END AS symmetric, CASE WHEN name LIKE '%excursion%' THEN regexp_extract(name, 'max_([a-z]+)_', 1) END AS excursion_type)"
 )
 def target_name_parse(spark, d):
-    rows = spark.createDataFrame([(n,) for n in _NAMES], "name string")
+    rows = V.events(spark, d).selectExpr(TARGET_NAME).distinct()
     return rows.withColumns(names.pattern_fields(F.col("name")))
 
 
