@@ -11,7 +11,7 @@ from ..functions import names, ranged, roles
 from ..functions.timewin import SECOND
 from ..operators import assemble, book as B, passage, stability
 from ..operators.replay import carried_replay
-from ..sources import shards
+from ..sources import deltas, shards, tables
 from . import views as V
 from .more_queries import _END, _EVENTS, _OPEN, _REBUILD, _START, _opening, _targets_sql
 from .queries import query
@@ -195,3 +195,57 @@ def sampled_forensics(spark, d):
     real = B.wide_to_levels(carried_replay(rows.withColumn("seg_us", F.lit(0)), times))
     found = B.sampled_forensics(real, rows, 12, {"back": ("back",), "fixed": ("seq",)}, share=0.5)
     return found.withColumn("max_px_diff_back", F.round("max_px_diff_back", 9))
+
+
+_IMBALANCE_5 = (lambda b, a: f"(({b}) - ({a})) / nullif(({b}) + ({a}), 0)")(*(" + ".join(f"{side}_sz_{i:02d}" for i in range(1, 6)) for side in ("bid", "ask")))
+_ONE_SECOND = ("mid_velocity_1s", "mid_acceleration_1s", "imbalance_5_delta_1s", "imbalance_5_acceleration_1s", "spread_ticks", "spread_over_mid", "seconds_since_large_move")
+
+
+@query(
+    f"""WITH r AS (SELECT inst_id, event_id, ts_us // {HOUR} AS t, mid_px, spread_px, {_IMBALANCE_5} AS i5, row_number() OVER (PARTITION BY inst_id ORDER BY ts_us // {HOUR}, event_id) AS rn FROM book),
+    x AS (SELECT *, min(rn) OVER (PARTITION BY inst_id ORDER BY t RANGE BETWEEN {SECOND} PRECEDING AND CURRENT ROW) AS s_rn, t - {SECOND} >= min(t) OVER (PARTITION BY inst_id) AS ok FROM r),
+    f AS (SELECT x.*, (x.mid_px - b.mid_px) / 0.01::DOUBLE AS move, ((x.mid_px - b.mid_px) / 0.01::DOUBLE) / nullif((x.t - b.t) / 1e6, 0) AS v, x.i5 - b.i5 AS d FROM x LEFT JOIN r b ON b.inst_id = x.inst_id AND x.ok AND b.rn = x.s_rn),
+    g AS (SELECT f.*, (f.v - p.v) / nullif((f.t - p.t) / 1e6, 0) AS a, (f.d - p.d) / nullif((f.t - p.t) / 1e6, 0) AS da FROM f LEFT JOIN f p ON p.inst_id = f.inst_id AND f.ok AND p.rn = f.s_rn),
+    h AS (SELECT *, (t - max(CASE WHEN abs(move) > 500 THEN t END) OVER (PARTITION BY inst_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)) / 1e6 AS since FROM g)
+    SELECT inst_id, count(*) AS n, round(sum(v), 2) AS mid_velocity_1s, round(sum(a), 2) AS mid_acceleration_1s, round(sum(d), 2) AS imbalance_5_delta_1s, round(sum(da), 2) AS imbalance_5_acceleration_1s,
+      round(sum(spread_px / 0.01::DOUBLE), 2) AS spread_ticks, round(sum(spread_px / nullif(mid_px, 0)), 2) AS spread_over_mid, round(sum(since), 2) AS seconds_since_large_move FROM h GROUP BY inst_id""",
+    "book",
+)
+def wallclock_one_second(spark, d):
+    """The one-second columns of the wall-clock builder, over the book with an hour's time in a second: velocity, both accelerations, time since a large move."""
+    rows = V.book(spark, d).withColumn("ts_us", F.floor(F.col("ts_us") / HOUR))
+    built = assemble.wallclock_features(rows, TICK, (1,), large_move_ticks=500.0)
+    return built.groupBy("inst_id").agg(F.count("*").alias("n"), *(F.round(F.sum(c), 2).alias(c) for c in _ONE_SECOND))
+
+
+@query(
+    "WITH d AS (SELECT inst_id, ts_us, seq, CASE WHEN seq % 4 = 0 THEN upper(side) WHEN seq % 4 = 1 THEN CASE side WHEN 'bid' THEN '1' ELSE '2' END ELSE side END AS raw, price, size FROM deltas), "
+    "s AS (SELECT *, CASE lower(raw) WHEN 'bid' THEN 'bid' WHEN '1' THEN 'bid' WHEN 'ask' THEN 'ask' WHEN '2' THEN 'ask' END AS side FROM d) SELECT inst_id, side, count(*) AS n, round(sum(price), 6) AS price_sum FROM s GROUP BY ALL",
+    "deltas",
+)
+def normalised_sides(spark, d):
+    """Sides given as text in either case or as numbers, brought to bid and ask."""
+    rows = V.deltas(spark, d)
+    raw = F.when(F.col("seq") % 4 == 0, F.upper("side")).when(F.col("seq") % 4 == 1, F.when(F.col("side") == "bid", "1").otherwise("2")).otherwise(F.col("side"))
+    named = rows.withColumn("side", deltas.side_name(raw))
+    return named.groupBy("inst_id", "side").agg(F.count("*").alias("n"), F.round(F.sum("price"), 6).alias("price_sum"))
+
+
+@query(
+    f"SELECT inst_id, count(*) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us FROM book WHERE ts_us >= {_START} AND ts_us < {_START + 3 * DAY} AND inst_id = 'click' GROUP BY inst_id",
+    "book",
+)
+def half_open_scan(spark, d):
+    """An instrument's rows in [start, end): the scan by days."""
+    found = tables.scan(V.book(spark, d), "click", _START, _START + 3 * DAY, "ts_us", ["inst_id", "ts_us"], closed=False)
+    return tables.presence(found)
+
+
+@query(
+    f"SELECT inst_id, count(*) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us FROM (SELECT DISTINCT inst_id, ts_us // {DAY} * {DAY} AS ts_us FROM deltas) WHERE ts_us > {1704067200 * SECOND + 2 * DAY} AND ts_us <= {1704067200 * SECOND + 9 * DAY} GROUP BY inst_id",
+    "deltas",
+)
+def snapshot_times_between(spark, d):
+    """Snapshot times in (start, end]."""
+    begin = 1704067200 * SECOND + 2 * DAY
+    return tables.presence(tables.snapshot_times(_opening(V.deltas(spark, d)), begin, begin + 7 * DAY))
