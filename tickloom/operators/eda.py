@@ -11,7 +11,7 @@ from ..functions import rowwise as R
 from ..functions.bins import quantile_bin
 from ..functions.quantiles import quantiles, with_quantiles
 from ..functions.timewin import SECOND, ordered
-from ..schema import ratio
+from ..schema import float_divide, float_ln, ratio
 from .stats import long_form
 
 
@@ -24,11 +24,11 @@ def filled(x: Column) -> Column:
 
 
 def micro_features() -> dict[str, Column]:
-    """Imbalance and microprice less mid filled with 0, the latter also in basis points, and the spread in basis points (NULL at no mid)."""
+    """Imbalance and microprice less mid filled with 0, the latter also in basis points, and the spread in basis points, both infinite at a mid of zero."""
     mid = F.col("mid_px")
     return {
         "imbalance_filled": filled(R.imbalance(1)), "microprice_diff": filled(R.microprice() - mid),
-        "micro_minus_mid_bps": ratio(R.microprice() - mid, mid) * 1e4, "spread_bps": ratio(F.col("spread_px"), mid) * 1e4,
+        "micro_minus_mid_bps": float_divide(R.microprice() - mid, mid) * 1e4, "spread_bps": float_divide(F.col("spread_px"), mid) * 1e4,
     }
 
 

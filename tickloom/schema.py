@@ -50,6 +50,23 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
+def float_divide(a: Column, b: Column) -> Column:
+    """Division as floating point has it, also where ANSI is on: by zero an infinity, zero by zero NaN."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / F.nullif(b, F.lit(0.0)))
+
+
+def float_ln(x: Column) -> Column:
+    """Natural logarithm as floating point has it: minus infinity at zero. Below zero it is NULL."""
+    return F.when(x == 0, F.lit(float("-inf"))).otherwise(F.ln(x))
+
+
+def round_scaled(x: Column, places: int) -> Column:
+    """x times a power of ten, rounded half away from zero, and divided again, as DuckDB rounds: F.round rounds the decimal digits that a double prints as, which
+    differs where x lies next to a half."""
+    scale = F.lit(10.0**places)
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.round(x * scale) / scale)
+
+
 def prepare(df: DataFrame, time_col: str = "ts_event", needed: Iterable[str] = ("mid_px", "spread_px"), numeric: Iterable[str] = ()) -> DataFrame:
     """Input of the builders: times and numbers coerced (what does not parse is NULL), rows without a needed value dropped."""
     needed = list(needed)
