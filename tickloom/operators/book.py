@@ -113,12 +113,12 @@ def chunk_ranges(start_us: int, end_us: int, hours: int) -> list[tuple[int, int]
     return [(a, min(a + step, end_us)) for a in range(start_us, end_us, step)]
 
 
-def to_long(book: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(inst_id, ts_us, level, side, price, size) for heat maps: every level whose columns are there, up to the first level without
+def to_long(book: DataFrame, depth: int = DEPTH, keys: tuple[str, ...] = ("inst_id", "ts_us")) -> DataFrame:
+    """(keys, level, side, price, size) for heat maps: every level whose columns are there, up to the first level without
     them; levels with NULL prices or sizes stay."""
     have = next((i - 1 for i in range(1, depth + 1) if level("bid", "px", i) not in book.columns), depth)
     items = F.array(*(F.struct(F.lit(i).alias("level"), F.lit(s).alias("side"), F.col(level(s, "px", i)).alias("price"), F.col(level(s, "sz", i)).alias("size")) for i in range(1, have + 1) for s in SIDES))
-    return book.select("inst_id", "ts_us", F.explode(items).alias("l")).select("inst_id", "ts_us", "l.*")
+    return book.select(*keys, F.explode(items).alias("l")).select(*keys, "l.*")
 
 
 def padded_levels(rows: DataFrame, depth: int = DEPTH, keys: tuple[str, ...] = ("inst_id", "ts_us")) -> DataFrame:

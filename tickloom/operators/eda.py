@@ -134,10 +134,10 @@ def shocks(df: DataFrame, depth_change: str, imbalance: str, low: float = 0.01,
     return rows.withColumns({"liquidity_shock": flag(F.col(depth_change) <= F.col("__lo")[0]), "imbalance_spike": flag(F.abs(F.col(imbalance)) >= F.col("__hi")[0])}).drop("__lo", "__hi")
 
 
-def level_heat(long_rows: DataFrame) -> DataFrame:
+def level_heat(long_rows: DataFrame, order: Sequence[str] = ("ts_us",)) -> DataFrame:
     """Of level rows (inst_id, ts_us, side, level, size): log1p of the size, its share of the (time, side) total (0 if that is 0),
-    its change since the level's last time (0 at first), and a dense time index from 0 an instrument."""
-    side, lvl = Window.partitionBy("inst_id", "ts_us", "side"), Window.partitionBy("inst_id", "side", "level").orderBy("ts_us")
+    its change since the level's last row in `order` (0 at first), and a dense time index from 0 an instrument."""
+    side, lvl = Window.partitionBy("inst_id", "ts_us", "side"), Window.partitionBy("inst_id", "side", "level").orderBy(*order)
     return long_rows.withColumns({
         "log_size": F.log1p("size"), "size_share": filled(ratio(F.col("size"), F.sum("size").over(side))), "size_diff": filled(F.col("size") - F.lag("size").over(lvl)),
         "ts_index": F.dense_rank().over(Window.partitionBy("inst_id").orderBy("ts_us")) - 1,
