@@ -54,11 +54,12 @@ def lag_features(columns: Sequence[str], rows: Sequence[int]) -> dict[str, Colum
 
 
 def partial_windows(column: str = "mid_px", rows: Sequence[int] = (10, 50, 100, 300), tick: float | None = None, step_rows: int = 100) -> dict[str, Column]:
-    """Windows that may be partial. pct_change_p; std of log returns over p rows from max(5, p // 10) values on; std of mid changes
+    """Windows that may be partial. pct_change_p; std of log returns over p rows from max(5, p // 10) values on (NaN where a value has come
+    to zero, whose return is minus infinity; the return from zero is NULL); std of mid changes
     over 10 rows, 0 while unknown; with a tick, the std of changes in ticks over step_rows rows from max(2, step_rows // 4) values on."""
     w = ordered()
     x, back = F.col(column), F.lag(column).over(w)
-    ret = F.ln(F.nullif(x, F.lit(0.0)) / F.nullif(back, F.lit(0.0)))
+    ret = float_ln(ratio(x, back))
 
     def std(value: Column, p: int, least: int) -> Column:
         frame = w.rowsBetween(1 - p, 0)
