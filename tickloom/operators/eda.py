@@ -42,8 +42,8 @@ def order_flow_proxy() -> dict[str, Column]:
 
 
 def trend_features(rows: Sequence[int] = (50, 100, 300)) -> dict[str, Column]:
-    """Log mid, its slope over n rows (NULL before), and the share of the best sizes lost since the last row (NULL after size 0)."""
-    w, y = ordered(), F.ln("mid_px")
+    """Log mid (minus infinity at zero), its slope over n rows (NULL before), and the share of the best sizes lost since the last row (NULL after size 0)."""
+    w, y = ordered(), float_ln(F.col("mid_px"))
     out = {"log_mid": y} | {f"log_mid_slope_{n}": (y - F.lag(y, n).over(w)) / n for n in rows}
     return out | {f"{s}_size_drop_pct": -ratio(_change(f"{s}_sz_01"), F.lag(f"{s}_sz_01").over(w)) for s in ("bid", "ask")}
 
