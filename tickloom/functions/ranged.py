@@ -36,6 +36,17 @@ def ranged(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: Colum
     return met.select(*df.columns, (F.col(out) + F.col("__before")).alias(out), total)
 
 
+def with_average_rank_pct_by(df: DataFrame, column: str, by: Sequence[str], out: str = "pct") -> DataFrame:
+    """df with `out`: the rank of the non-NULL values within `by`, ties averaged, by their number. Values are counted first, so that rows are never
+    sorted or gathered by group; the counts, one row a group and value, are ranked by ranges, written and joined back."""
+    per = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__n"))
+    ranks = ranged(per, by, [column], F.col("__n"), "__below", "__all")
+    names = {c: f"__r{i}" for i, c in enumerate((*by, column))}
+    pct = (F.col("__below") - (F.col("__n") - 1) / 2) / F.col("__all")
+    ranks = cut(ranks.select(*(F.col(c).alias(n) for c, n in names.items()), pct.alias("__pct")), "ranks")
+    return df.join(ranks, _same(list(names.items())), "left").select(*df.columns, F.col("__pct").alias(out))
+
+
 def in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: dict[str, tuple[str, int]], block: int = 1 << 16) -> DataFrame:
     """df with neighbours in `order` within `by`: columns maps a name to (column, how many rows ahead; negative: back). Blocks of `block` rows with a halo."""
     reach = max(abs(k) for _, k in columns.values())
