@@ -29,7 +29,15 @@ def numbered(df: DataFrame, by: Sequence[str] = BY, order: Sequence[str] = ORDER
     offsets = totals.withColumn("__o", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
     same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)]
     rn = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order)) + F.col("__o")
-    return dealt.join(offsets, [*same, F.col("__b") == F.col("__c")]).select(*df.columns, rn.cast("bigint").alias(out))
+    # offsets are one row a bucket: broadcast, so that rows are shuffled once, for the window
+    return dealt.join(F.broadcast(offsets), [*same, F.col("__b") == F.col("__c")]).select(*df.columns, rn.cast("bigint").alias(out))
+
+
+def time_bucket(df: DataFrame, column: str = "ts_us", rows: int = 1 << 16, most: int = 3600 * SECOND) -> int:
+    """Microseconds of a time bucket that holds some `rows` rows of df on average, `most` at most: where many rows share little time, buckets of an hour
+    would be an instrument each. Reads one column once."""
+    n, a, z = df.agg(F.count(column), F.min(column), F.max(column)).first()
+    return most if not n else max(1, min(most, (z - a + 1) * rows // n))
 
 
 def in_row_blocks(
@@ -78,7 +86,7 @@ def carried_last(
     own = Window.partitionBy(*by, "__at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     seen = df.withColumn("__at", at).withColumn("__own", F.last(F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"))), ignorenulls=True).over(own))
     met = [F.col(c).eqNullSafe(F.col(k)) for c, k in keyed.items()] + [F.col("__at") == F.col("__cat")]
-    return seen.join(carries, reduce(lambda x, y: x & y, met), "left").select(*df.columns, F.coalesce("__own", "__carry")["v"].alias(out))
+    return seen.join(F.broadcast(carries), reduce(lambda x, y: x & y, met), "left").select(*df.columns, F.coalesce("__own", "__carry")["v"].alias(out))
 
 
 def asof(
@@ -129,7 +137,7 @@ def prefix_sums(df: DataFrame, columns: Sequence[str], by: Sequence[str] = BY, o
     offsets = totals.select(*(F.col(c).alias(k) for c, k in keys.items()), *(F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in columns))
     same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()))  # rows without an instrument or a time stay
     own = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = dealt.select("*", *(F.sum(c).over(own).alias(f"__s_{c}") for c in columns)).join(offsets, same)
+    summed = dealt.select("*", *(F.sum(c).over(own).alias(f"__s_{c}") for c in columns)).join(F.broadcast(offsets), same)
     return summed.select(*df.columns, *((F.coalesce(f"__s_{c}", F.lit(0)) + F.col(f"__o_{c}")).alias(f"cum_{c}") for c in columns))
 
 

@@ -8,7 +8,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.timewin import SECOND, asof, ordered
+from ..cuts import cut
+from ..functions.timewin import SECOND, asof, in_row_blocks, ordered
 
 
 @dataclass(frozen=True)
@@ -31,9 +32,12 @@ def future_move(mid: str, rows: int, threshold: float, over: WindowSpec) -> Colu
 
 def grid_regularity(df: DataFrame, grid_us: int, by: tuple[str, ...] = ("inst_id",), least: float = 0.999) -> DataFrame:
     """Share of gaps of exactly grid_us between distinct times, over all rows; regular false and share NULL for under two times."""
-    times = df.select(*by, "ts_us").distinct()
-    gap = F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy(*by).orderBy("ts_us"))
-    found = times.withColumn("gap", gap).groupBy(*by).agg(F.avg(F.when(F.col("gap").isNotNull(), (F.col("gap") == grid_us).cast("int"))).alias("share"))
+    # gaps are counted within time buckets; the gap into a bucket is that from the last time of the bucket before, one row a bucket
+    times = df.select(*by, "ts_us").distinct().withColumn("__b", F.coalesce(F.floor(F.col("ts_us") / (3600 * SECOND)), F.lit(-(1 << 62))))
+    gap = F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy(*by, "__b").orderBy("ts_us"))
+    own = times.withColumn("gap", gap).groupBy(*by, "__b").agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("z"), F.count("gap").alias("n"), F.count_if(F.col("gap") == grid_us).alias("k"))
+    into = F.col("a") - F.lag("z").over(Window.partitionBy(*by).orderBy("__b"))
+    found = own.withColumn("into", into).groupBy(*by).agg(((F.sum("k") + F.count_if(F.col("into") == grid_us)) / F.nullif(F.sum("n") + F.count("into"), F.lit(0))).alias("share"))
     return found.withColumn("regular", F.coalesce(F.col("share") >= least, F.lit(False)))
 
 
@@ -45,12 +49,10 @@ def future_values(df: DataFrame, columns: list[str], horizon_ms: int, grid_ms: i
     if method == "shift":
         return df.select("*", *(F.lead(c, k).over(over or ordered()).alias(f"future_{c}") for c in columns))
     if method == "auto":
-        on_grid = grid_regularity(df, grid_ms * 1000).select(F.col("inst_id").alias("__i"), F.col("regular").alias("__regular"))
-        both = future_values(df, columns, horizon_ms, grid_ms, "nearest_forward").join(on_grid, F.col("inst_id").eqNullSafe(F.col("__i")), "left").drop("__i")
-        both = both.withColumns({f"__s_{c}": F.lead(c, k).over(ordered()) for c in columns})
-        shifted = {f"future_{c}": F.when(F.col("__regular"), F.col(f"__s_{c}")).otherwise(F.col(f"future_{c}")) for c in columns}
-        exact = F.when(F.col("__regular"), F.when(F.col(f"__s_{columns[0]}").isNotNull(), True)).otherwise(F.col("exact_match"))
-        return both.withColumns(shifted | {"exact_match": exact}).select(*df.columns, *shifted, "exact_match")
+        on, off = _by_grid(df, grid_ms * 1000)
+        shifted = in_row_blocks(on, lambda rows, w: future_values(rows, columns, horizon_ms, grid_ms, "shift", w), after=k)
+        shifted = shifted.withColumn("exact_match", F.when(F.col(f"future_{columns[0]}").isNotNull(), True))
+        return shifted.unionByName(future_values(off, columns, horizon_ms, grid_ms, "nearest_forward"))
     if method != "nearest_forward":
         raise ValueError(f"unknown alignment {method!r}")
     value = F.struct(*(F.col(c) for c in columns), "ts_us")
@@ -58,12 +60,30 @@ def future_values(df: DataFrame, columns: list[str], horizon_ms: int, grid_ms: i
     return found.select("*", *(F.col(f"__f.{c}").alias(f"future_{c}") for c in columns), (F.col("__f.ts_us") == F.col("ts_us") + horizon_ms * 1000).alias("exact_match")).drop("__f")
 
 
+def _by_grid(df: DataFrame, grid_us: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the instruments whose times lie on the grid, and the others."""
+    flags = cut(grid_regularity(df, grid_us).select(F.col("inst_id").alias("__i"), "regular"), "grid")
+    rows = df.join(F.broadcast(flags), F.col("inst_id").eqNullSafe(F.col("__i")), "left").drop("__i")
+    return rows.where("regular").drop("regular"), rows.where("regular is null or not regular").drop("regular")
+
+
 def tick_direction_targets(df: DataFrame, tick: float, grid_ms: int, horizons_ms: tuple[int, ...] = (500, 1000, 3000, 5000, 10000), steps: tuple[int, ...] = (1, 2, 3), method: str = "auto") -> DataFrame:
     """df with, for each horizon h: mid_move_ticks_h<h>, best_bid_ and best_ask_move_ticks_h<h>, target_mid_dir_h<h> (beyond half a tick),
-    target_mid_ge_<n>tick_h<h>, target_mid_le_minus_<n>tick_h<h> and exact_h<h> (alignment). Moves are NULL in the tail, labels 0."""
+    target_mid_ge_<n>tick_h<h>, target_mid_le_minus_<n>tick_h<h> and exact_h<h> (alignment). Moves are NULL in the tail, labels 0.
+    auto: rows of instruments on the grid are shifted in blocks, those of the others looked up; they part once, whatever the number of horizons."""
+    if method == "auto":
+        on, off = _by_grid(df, grid_ms * 1000)
+        ahead = max((max(1, ceil(h / grid_ms)) for h in horizons_ms), default=0)
+        shifted = in_row_blocks(on, lambda rows, w: _tick_targets(rows, tick, grid_ms, horizons_ms, steps, "shift", w), after=ahead)
+        shifted = shifted.withColumns({f"exact_h{h}": F.when(F.col(f"exact_h{h}"), True) for h in horizons_ms})
+        return shifted.unionByName(_tick_targets(off, tick, grid_ms, horizons_ms, steps, "nearest_forward"))
+    return _tick_targets(df, tick, grid_ms, horizons_ms, steps, method)
+
+
+def _tick_targets(df: DataFrame, tick: float, grid_ms: int, horizons_ms: tuple[int, ...], steps: tuple[int, ...], method: str, over: WindowSpec | None = None) -> DataFrame:
     names = list(df.columns)
     for h in horizons_ms:
-        df = future_values(df, ["mid_px", "bid_px_01", "ask_px_01"], h, grid_ms, method)
+        df = future_values(df, ["mid_px", "bid_px_01", "ask_px_01"], h, grid_ms, method, over)
         move = lambda c: (F.col(f"future_{c}") - F.col(c)) / tick
         mid = move("mid_px")
         out = {f"mid_move_ticks_h{h}": mid, f"best_bid_move_ticks_h{h}": move("bid_px_01"), f"best_ask_move_ticks_h{h}": move("ask_px_01")}
