@@ -41,12 +41,12 @@ def time_bucket(df: DataFrame, column: str = "ts_us", rows: int = 1 << 16, most:
 
 
 def in_row_blocks(
-    df: DataFrame, build: Callable[[DataFrame, WindowSpec], DataFrame], before: int = 0, after: int = 0, by: Sequence[str] = BY, order: Sequence[str] = ORDER, block: int = 1 << 16, rn: str | None = None
+    df: DataFrame, build: Callable[[DataFrame, WindowSpec], DataFrame], before: int = 0, after: int = 0, by: Sequence[str] = BY, order: Sequence[str] = ORDER, block: int = 1 << 16, rn: str | None = None, bucket: int = 3600 * SECOND
 ) -> DataFrame:
     """build(rows, window): columns that look at most `before` rows back and `after` rows ahead, over blocks of an instrument's consecutive
-    rows instead of all of them. A block gets so many rows of its neighbours, which are dropped after build. rn: keep the row's number as this column."""
+    rows instead of all of them. A block gets so many rows of its neighbours, which are dropped after build. rn: keep the row's number as this column. bucket: see numbered."""
     block = max(block, 2 * before, 2 * after)
-    rows = numbered(df, by, order, "__rn")
+    rows = numbered(df, by, order, "__rn", bucket)
     own, place = F.floor((F.col("__rn") - 1) / block), F.pmod(F.col("__rn") - 1, F.lit(block))
     near = [F.struct(own.alias("b"), F.lit(True).alias("own"))]
     near += [F.when(place >= block - before, F.struct((own + 1).alias("b"), F.lit(False).alias("own")))] if before else []

@@ -13,7 +13,7 @@ from ..cuts import cut
 from ..functions import rowwise as R
 from ..functions.bins import tercile_buckets
 from ..functions.roles import declare
-from ..functions.timewin import SECOND, carried_last, full_frame, in_row_blocks, ordered, past_starts, prefix_sums
+from ..functions.timewin import SECOND, carried_last, full_frame, in_row_blocks, ordered, past_starts, prefix_sums, time_bucket
 from ..schema import DEPTH, levels, ratio, safe_divide
 from .labels import Fees, direction_targets, future_values, profit_targets
 from .passage import entry_exits
@@ -66,9 +66,9 @@ def wallclock_features(df: DataFrame, tick: float, windows_s: Sequence[int] = (1
     regime edges, which are full-sample quantiles of each instrument.
 
     A window's start is the first row at or after ts - w, found for all windows by one as-of union of slim rows; sums over a window
-    are differences of prefix sums, so cost does not depend on its length. What a row knows of itself and its predecessor is made in blocks
-    of numbered rows and written once, slim rows with running sums and the window features once each: later steps read the columns they need
-    of these, and df is read twice (numbers, rows), however many windows there are. No task sorts an instrument.
+    are differences of prefix sums, so cost does not depend on its length. What a row knows of its predecessor is made in blocks
+    of numbered rows and written once, what it knows of itself when it is read again, so columns that nobody asks for are never made, slim rows with running sums and the window features once each: later steps read the columns they need
+    of these, and df is read three times (time span, numbers, rows), however many windows there are. No task sorts an instrument.
     """
     book = [c for c in df.columns if c.startswith(("bid_px_", "bid_sz_", "ask_px_", "ask_sz_"))]
     depths = (1, 3, 5, depth)
@@ -76,14 +76,16 @@ def wallclock_features(df: DataFrame, tick: float, windows_s: Sequence[int] = (1
 
     def of_row(rows: DataFrame, w: WindowSpec) -> DataFrame:
         step = F.coalesce((F.col("mid_px") - F.lag("mid_px").over(w)) / tick, F.lit(0.0))
-        own = {f"imbalance_{k}": R.imbalance(k, skip_null=False) for k in depths} | R.depth_group(tick, depth) | R.book_shape("bid", tick, depth) | R.book_shape("ask", tick, depth)
-        own |= {"spread_ticks": F.col("spread_px") / tick, "spread_over_mid": safe_divide(F.col("spread_px"), F.col("mid_px")), "step": step}
-        return step_flows(rows.withColumns(own), depth, w).withColumn("step_sq", F.col("step") * F.col("step"))
+        return step_flows(rows.withColumn("step", step), depth, w).withColumn("step_sq", F.col("step") * F.col("step"))
 
-    base = cut(in_row_blocks(df, of_row, before=1, rn="rn"), "wallclock")
+    bucket = time_bucket(df)
+    base = cut(in_row_blocks(df, of_row, before=1, rn="rn", bucket=bucket), "wallclock")
+    own = {f"imbalance_{k}": R.imbalance(k, skip_null=False) for k in depths} | R.depth_group(tick, depth) | R.book_shape("bid", tick, depth) | R.book_shape("ask", tick, depth)
+    own |= {"spread_ticks": F.col("spread_px") / tick, "spread_over_mid": safe_divide(F.col("spread_px"), F.col("mid_px"))}
+    base = base.withColumns(own).select(*df.columns, *own, *summed, "rn")
     imbalances = [f"imbalance_{k}" for k in depths]
     slim = base.select("inst_id", "event_id", "ts_us", "rn", "mid_px", "spread_ticks", *imbalances, *summed)
-    keyed = cut(prefix_sums(slim, summed), "sums")
+    keyed = cut(prefix_sums(slim, summed, bucket=bucket), "sums")
     names = ("ts_us", "rn", "mid_px", *imbalances, *(f"cum_{c}" for c in summed), *summed)
     starts = past_starts(keyed.select("inst_id", "event_id", *names), windows_s, F.struct(*names)).withColumnsRenamed({"inst_id": "__i", "rn": "__rn"})
     met = keyed.join(starts, F.col("inst_id").eqNullSafe(F.col("__i")) & (F.col("rn") == F.col("__rn")), "left")
@@ -116,7 +118,7 @@ def wallclock_features(df: DataFrame, tick: float, windows_s: Sequence[int] = (1
     regimes = {vol: "volatility_regime", "spread_ticks": "spread_regime", intensity: "activity_regime"}
     moved = F.when(F.abs(F.col(f"mid_return_{1 if 1 in windows_s else min(windows_s)}s")) > large_move_ticks, F.col("ts_us"))
     rows = tercile_buckets(rows, regimes, by=("inst_id",)).withColumn("__moved", moved)
-    rows = carried_last(rows, rows, "__moved", "ts_us", ("event_id",), [F.asc("ts_us"), F.asc("event_id")], "__last")
+    rows = carried_last(rows, rows, "__moved", "ts_us", ("event_id",), [F.asc("ts_us"), F.asc("event_id")], "__last", bucket=bucket)
     since = ((F.col("ts_us") - F.col("__last")) / SECOND).alias("seconds_since_large_move")
     made = [*found, *more, *regimes.values()]
     rows = rows.select(F.col("inst_id").alias("__i"), F.col("rn").alias("__rn"), *made, since)
