@@ -64,3 +64,20 @@ def test_float_division_and_logarithm(spark):
         float_divide(F.col("a"), F.lit(None).cast("double")), float_ln(F.col("a") * 0), float_ln(F.col("a")), float_ln(-F.col("a")),
     ).first()
     assert r[0] == math.inf and r[1] == -math.inf and math.isnan(r[2]) and r[3] == 0.25 and r[4] is None and r[5] == -math.inf and r[6] == 0.0 and r[7] is None
+
+
+DUST = [(1_700_000_000_000_000 + i * 1_000_003, "a" if i % 50 == 24 else "b", 20.01 + i // 50 % 7 * 1e-5) for i in range(3000)]  # the rows of "a" have equal sizes and mids that differ little
+
+
+@pytest.mark.parametrize(("name", "column"), [("flow_proxies", "microprice_diff"), ("flow_proxies", "micro_minus_mid_bps")])
+def test_zero_keeps_its_sign_as_in_sql(spark, tmp_path, name, column):
+    got, want = compared(spark, tmp_path, name, DUST)
+    place = sorted(QUERIES[name](spark, str(tmp_path)).columns).index(column)
+    assert len(got) == len(DUST) and any(r[place] == "-0.0" for r in want) and got == want
+
+
+def test_rounding_to_zero_keeps_the_sign(spark):
+    x = [-1e-9, 1e-9, -0.0, 0.0, -4e-7, -6e-7, float("inf"), float("-inf"), float("nan"), None]
+    want = [r[0] for r in duckdb.sql("SELECT round(x, 6) FROM (SELECT unnest(?) AS x)", params=[x]).fetchall()]
+    rows = spark.createDataFrame(list(enumerate(x)), "i int, x double")
+    assert [repr(r[0]) for r in rows.orderBy("i").select(round_scaled(F.col("x"), 6)).collect()] == list(map(repr, want))

@@ -62,9 +62,10 @@ def float_ln(x: Column) -> Column:
 
 def round_scaled(x: Column, places: int) -> Column:
     """x times a power of ten, rounded half away from zero, and divided again, as DuckDB rounds: F.round rounds the decimal digits that a double prints as, which
-    differs where x lies next to a half."""
+    differs where x lies next to a half, and forgets the sign of what it rounds to zero."""
     scale = F.lit(10.0**places)
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.round(x * scale) / scale)
+    whole = F.round(x * scale)
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).when(whole == 0, x * 0.0).otherwise(whole / scale)
 
 
 def prepare(df: DataFrame, time_col: str = "ts_event", needed: Iterable[str] = ("mid_px", "spread_px"), numeric: Iterable[str] = ()) -> DataFrame:
