@@ -69,7 +69,7 @@ def test_float_division_and_logarithm(spark):
 DUST = [(1_700_000_000_000_000 + i * 1_000_003, "a" if i % 50 == 24 else "b", 20.01 + i // 50 % 7 * 1e-5) for i in range(3000)]  # the rows of "a" have equal sizes and mids that differ little
 
 
-@pytest.mark.parametrize(("name", "column"), [("flow_proxies", "microprice_diff"), ("flow_proxies", "micro_minus_mid_bps")])
+@pytest.mark.parametrize(("name", "column"), [("flow_proxies", "microprice_diff"), ("flow_proxies", "micro_minus_mid_bps"), ("trend_features", "log_mid_slope_50"), ("trend_features", "bid_size_drop_pct")])
 def test_zero_keeps_its_sign_as_in_sql(spark, tmp_path, name, column):
     got, want = compared(spark, tmp_path, name, DUST)
     place = sorted(QUERIES[name](spark, str(tmp_path)).columns).index(column)
