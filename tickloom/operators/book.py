@@ -244,16 +244,31 @@ def compare_wide(real: DataFrame, rec: DataFrame, keys: tuple[str, ...] = ("inst
     """compare_levels of wide rows, rec with one row a key: rows are joined whole and their levels told apart afterwards, so that one shuffle of
     wide rows is all. NULL prices and sizes at or below zero are no levels."""
 
-    def sides(df: DataFrame, name: str) -> DataFrame:
-        held = lambda s, i: F.when(F.col(level(s, "sz", i)) > 0, F.struct(F.col(level(s, "px", i)).alias("px"), F.col(level(s, "sz", i)).alias("sz")))
-        known = lambda s, i: F.when(F.col(level(s, "px", i)).isNotNull(), held(s, i))
-        return df.select(*keys, *(known(s, i).alias(f"{name}_{s}_{i}") for s in SIDES for i in range(1, depth + 1)))
+    found = lambda df, name: df.select(*keys, *_known_levels(name, "", depth))
+    return _compared(_pairs(found(real, "real").join(found(rec, "rec"), list(keys), "full"), keys, depth), keys, tol)
 
-    met = sides(real, "real").join(sides(rec, "rec"), list(keys), "full")
+
+def compare_paired(rows: DataFrame, keys: tuple[str, ...] = ("inst_id", "ts_us"), depth: int = DEPTH, tol: float = 1e-9) -> DataFrame:
+    """compare_wide of wide rows that carry their replayed book as rec_<level column>: no join."""
+    both = rows.select(*keys, *_known_levels("real", "", depth), *_known_levels("rec", "rec_", depth))
+    return _compared(_pairs(both, keys, depth), keys, tol)
+
+
+def _known_levels(name: str, prefix: str, depth: int) -> list[Column]:
+    """(px, sz) of each level as <name>_<side>_<i>, NULL where the price is NULL or the size not above zero."""
+
+    def known(s: str, i: int) -> Column:
+        px, sz = (F.col(prefix + level(s, w, i)) for w in ("px", "sz"))
+        return F.when(px.isNotNull() & (sz > 0), F.struct(px.alias("px"), sz.alias("sz"))).alias(f"{name}_{s}_{i}")
+
+    return [known(s, i) for s in SIDES for i in range(1, depth + 1)]
+
+
+def _pairs(met: DataFrame, keys: tuple[str, ...], depth: int) -> DataFrame:
+    """A row a level that either side of met (real_<side>_<i>, rec_<side>_<i>) has."""
     parts = lambda n, s, i: (F.col(f"{n}_{s}_{i}.px").alias(f"{n}_px"), F.col(f"{n}_{s}_{i}.sz").alias(f"{n}_sz"))
     items = F.array(*(F.struct(F.lit(s).alias("side"), F.lit(i).alias("level"), *parts("real", s, i), *parts("rec", s, i)) for s in SIDES for i in range(1, depth + 1)))
-    both = met.select(*keys, F.explode(items).alias("l")).select(*keys, "l.*").where("real_px is not null or rec_px is not null")
-    return _compared(both, keys, tol)
+    return met.select(*keys, F.explode(items).alias("l")).select(*keys, "l.*").where("real_px is not null or rec_px is not null")
 
 
 def _compared(both: DataFrame, keys: tuple[str, ...], tol: float) -> DataFrame:
