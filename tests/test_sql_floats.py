@@ -81,3 +81,11 @@ def test_rounding_to_zero_keeps_the_sign(spark):
     want = [r[0] for r in duckdb.sql("SELECT round(x, 6) FROM (SELECT unnest(?) AS x)", params=[x]).fetchall()]
     rows = spark.createDataFrame(list(enumerate(x)), "i int, x double")
     assert [repr(r[0]) for r in rows.orderBy("i").select(round_scaled(F.col("x"), 6)).collect()] == list(map(repr, want))
+
+
+def test_level_heat_takes_all_levels(spark, tmp_path):
+    rows = [(1_700_000_000_000_000 + i * 1_000_000, "ab"[i % 2], 20.0 + i) for i in range(30)]
+    got, want = compared(spark, tmp_path, "level_heat", rows)
+    assert len(got) == 20 * len(rows) and got == want
+    found = QUERIES["level_heat"](spark, str(tmp_path)).groupBy("side", "level").count().collect()
+    assert sorted(found) == sorted((side, level, len(rows)) for side in ("bid", "ask") for level in range(1, 11))

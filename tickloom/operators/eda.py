@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,14 +137,28 @@ def shocks(df: DataFrame, depth_change: str, imbalance: str, low: float = 0.01,
     return rows.withColumns({"liquidity_shock": flag(F.col(depth_change) <= F.col("__lo")[0]), "imbalance_spike": flag(F.abs(F.col(imbalance)) >= F.col("__hi")[0])}).drop("__lo", "__hi")
 
 
-def level_heat(long_rows: DataFrame, order: Sequence[str] = ("ts_us",)) -> DataFrame:
+def level_heat(long_rows: DataFrame, order: Sequence[str] = ("ts_us",), bucket: int = 3600 * SECOND) -> DataFrame:
     """Of level rows (inst_id, ts_us, side, level, size): log1p of the size, its share of the (time, side) total (0 if that is 0),
-    its change since the level's last row in `order` (0 at first), and a dense time index from 0 an instrument."""
-    side, lvl = Window.partitionBy("inst_id", "ts_us", "side"), Window.partitionBy("inst_id", "side", "level").orderBy(*order)
-    return long_rows.withColumns({
-        "log_size": F.log1p("size"), "size_share": filled(ratio(F.col("size"), F.sum("size").over(side))), "size_diff": filled(F.col("size") - F.lag("size").over(lvl)),
-        "ts_index": F.dense_rank().over(Window.partitionBy("inst_id").orderBy("ts_us")) - 1,
-    })
+    its change since the level's last row in `order` (0 at first), and a dense time index from 0 an instrument.
+
+    Windows lie within time buckets (microseconds), all on one shuffle; a bucket begins with the last size of each level and the number of times before it, from
+    one row a bucket, side and level. Rows without a time are one bucket, the first."""
+    rows = long_rows.withColumn("__b", F.coalesce(F.floor(F.col("ts_us") / bucket), F.lit(-(1 << 62))))
+    at, slot = ("inst_id", "__b"), ("inst_id", "side", "level")
+    ends = rows.groupBy(*at, "side", "level").agg(F.max_by(F.struct("size"), F.struct(*order)).alias("__last"))
+    carry = ends.select(*(F.col(c).alias(f"__k_{c}") for c in (*slot, "__b")), F.lag("__last").over(Window.partitionBy(*slot).orderBy("__b")).alias("__carry"))
+    times = rows.select(*at, "ts_us").distinct().groupBy(*at).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("inst_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    counts = times.select(F.col("inst_id").alias("__t_inst_id"), F.col("__b").alias("__t___b"), F.coalesce(before, F.lit(0)).alias("__before"))
+    same = lambda prefix, keys: reduce(and_, (F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in keys))
+    rows = rows.withColumn("__rank", F.dense_rank().over(Window.partitionBy(*at).orderBy("ts_us")))
+    rows = rows.withColumn("__total", F.sum("size").over(Window.partitionBy(*at, "ts_us", "side")))
+    rows = rows.withColumn("__back", F.lag(F.struct("size")).over(Window.partitionBy(*at, "side", "level").orderBy(*order)))
+    rows = rows.join(F.broadcast(carry), same("__k_", (*slot, "__b")), "left").join(F.broadcast(counts), same("__t_", at), "left")
+    return rows.select(
+        *long_rows.columns, F.log1p("size").alias("log_size"), filled(ratio(F.col("size"), F.col("__total"))).alias("size_share"),
+        filled(F.col("size") - F.coalesce("__back", "__carry")["size"]).alias("size_diff"), (F.col("__rank") - 1 + F.col("__before")).cast("int").alias("ts_index"),
+    )
 
 
 def pivot_2d(df: DataFrame, a: str, b: str, y: str, q: int = 5, least: int = 10) -> DataFrame:
